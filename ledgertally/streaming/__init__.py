@@ -1,0 +1 @@
+"""Every question reads finite dumps, so there is no streaming operator here."""
