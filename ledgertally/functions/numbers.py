@@ -63,9 +63,13 @@ def double_text(value: Column) -> Column:
     Plain digits from 1e-4 up to below 1e16, exponent form outside of it.
     """
     size = F.abs(value)
-    digits = F.rtrim(F.lit("0"), value.try_cast("decimal(38,20)").cast("string"))
+    digits = F.rtrim(value.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     java = F.regexp_replace(value.cast("string"), r"\.0E", "E")
-    signed = F.regexp_replace(java, r"E([0-9])", "e+$1")
-    padded = F.regexp_replace(F.regexp_replace(signed, "E-", "e-"), r"e([+-])([0-9])$", "e$10$2")
-    return F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain).otherwise(padded)
+    signed = F.regexp_replace(F.regexp_replace(java, r"E([0-9])", "e+$1"), "E-", "e-")
+    padded = F.regexp_replace(signed, r"e([+-])([0-9])$", "e$10$2")
+    return (
+        F.when(size == 0, F.lit("0.0"))
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(padded)
+    )
