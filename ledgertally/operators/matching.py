@@ -16,6 +16,8 @@ from ledgertally.functions.numbers import add_up, as_double, is_number, times
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
+HEAVY_MENTIONS = 1_000_000
+SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -39,6 +41,7 @@ def listed_totals(
     attributes: Sequence[str] = (),
     dedupe_right: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    heavy_mentions: int = HEAVY_MENTIONS,
 ) -> DataFrame:
     """Totals of the facts per key (and ``also``), for the listed keys, with the list's attributes.
 
@@ -48,6 +51,7 @@ def listed_totals(
     When the list is measured to be small, its keys are broadcast to drop other facts before anything is shuffled;
     otherwise the collapsed facts are joined by a shuffle. The result is the same.
     """
+    on = [key]
     mentions = listed.select(F.col(listed_key).alias(key), *attributes)
     counted = mentions.groupBy(key, *attributes).agg(F.count("*").alias("copies"))
     if dedupe_right:
@@ -59,7 +63,27 @@ def listed_totals(
     totals = facts.groupBy(key, *also).agg(
         *[add_up(facts, value).alias(value) for value in values], F.count("*").alias("rows")
     )
-    return totals.join(counted, key, "inner").select(key, *also, *attributes, *values, "rows", "copies")
+    if attributes and not small:
+        totals, counted = _spread_heavy(totals, counted, key, attributes, heavy_mentions)
+        on = [key, "salt"]
+    return totals.join(counted, on, "inner").select(key, *also, *attributes, *values, "rows", "copies")
+
+
+def _spread_heavy(
+    totals: DataFrame, counted: DataFrame, key: str, attributes: Sequence[str], heavy_mentions: int
+) -> tuple[DataFrame, DataFrame]:
+    """Spread a key that the list gives very many attributes over several tasks.
+
+    Heavy keys are at most (list rows / heavy_mentions), so their set is small however long the list is. Their list
+    rows are split by salt, their totals are given to every salt; all other keys keep salt 0.
+    """
+    heavy = counted.groupBy(key).agg(F.count("*").alias("mentions")).where(F.col("mentions") > heavy_mentions)
+    heavy = F.broadcast(heavy.select(key, F.lit(True).alias("heavy")))
+    salt = F.pmod(F.xxhash64(*attributes), F.lit(SALTS)).cast("int")
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counted = counted.join(heavy, key, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(0))
+    totals = totals.join(heavy, key, "left").withColumn("salt", F.explode(salts))
+    return totals.drop("heavy"), counted.drop("heavy")
 
 
 def sum_listed(joined: DataFrame, keys: Sequence[str], value: str, name: str = "total") -> DataFrame:
@@ -85,10 +109,3 @@ def top_listed(joined: DataFrame, keys: Sequence[str], value: str, k: int = 10)
     ranked = joined.orderBy(F.desc(value), *keys).limit(k)
     repeated = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k)))))
     return repeated.orderBy(F.desc(value), *keys).limit(k).select(*keys, value)
-
-
-def all_listed(joined: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Every joined row, a key named n times given n times."""
-    if is_number(joined, value):
-        joined = joined.withColumn(value, as_double(joined, value))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*keys, value)

@@ -55,7 +55,7 @@ def rendered(df: DataFrame, separator: str = ",") -> Column:
 
 
 def report_csv(
-    spark: SparkSession, source: str, target: str, names: Sequence[str], form: str = "pairs", types: str | None = None
+    spark: SparkSession, source: str, target: str, names: Sequence[str], form: str = "pairs"
 ) -> None:
     """Turn a JSON result file (``pairs`` or ``rendered``) into one CSV with these column names."""
     reader = {"pairs": read_pairs, "rendered": read_rendered}[form]
