@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from ledgertally.functions.checks import is_plain
+
 SECONDS_PER_DAY = 86400
 
 
@@ -23,10 +25,10 @@ def date_month(moment: Column) -> Column:
 
 
 def month_of(column: Column, data_type: T.DataType) -> Column:
-    """Month index of a column of any type that can hold a moment; epoch seconds when numeric or text."""
+    """Month index of a column of any type that can hold a moment; epoch seconds when numeric or (checked) text."""
     if isinstance(data_type, T.StringType):
-        whole = column.try_cast("bigint")
-        return epoch_month(F.coalesce(whole, F.floor(column.try_cast("double")).try_cast("bigint")))
+        rounded = F.floor(column.try_cast("double")).try_cast("bigint")
+        return epoch_month(F.when(is_plain(column), column.try_cast("bigint")).otherwise(rounded))
     if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
         return date_month(column)
     if isinstance(data_type, T.TimestampType):

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ledgertally.functions.checks import is_plain
+
 WHOLE = "decimal(28,0)"
 EXACT = "decimal(38,0)"
 
 
 def number(text: Column) -> Column:
     """Split a text that passed ``is_float`` into its exact or its floating part."""
-    plain = ~(text.contains(".") | text.contains("e") | text.contains("E"))
-    whole = F.when(plain, text.try_cast(WHOLE))
+    whole = F.when(is_plain(text), text.try_cast(WHOLE))
     return F.struct(whole.alias("whole"), F.when(whole.isNull(), text.try_cast("double")).alias("rest"))
 
 

@@ -1,111 +1,152 @@
-"""Inner joins of a very large fact table with a list of keys, and sums over the result.
-
-The list (contracts, scams) may name a key more than once, and every mention counts: the joins are inner joins, not
-semi-joins. Joining row by row would then send each hot key, and each of its mentions, through one task. Here
-both sides are first collapsed, with partial sums before their shuffles, to one row per key: the facts to totals, the
-list to ``copies``. The join is one to few, and a mention count becomes a factor.
+"""Inner joins of a very large fact table with a list of keys, and sums over the joined rows.
+
+The list (contracts, scams) may name a key more than once, with the same or with other attributes, and every mention
+counts: these are inner joins, not semi-joins. The list is first collapsed to one row per key and attributes with its
+number of mentions, ``copies``, so that repeated mentions become a factor instead of rows. Then it is measured, and
+one of three plans with the same result is taken:
+
+* small, few attributes per key — broadcast the list and add up straight into the groups asked for; the only shuffle
+  carries one row per group and task, whatever the skew of the facts;
+* small, but some key has many attributes — broadcast its keys to drop all other facts, collapse the facts per key,
+  join after that;
+* large — collapse both sides per key, partial sums before the shuffle, and join by shuffle; a key with very many
+  attributes is spread over several tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertally.functions.numbers import add_up, as_double, is_number, times
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
-HEAVY_MENTIONS = 1_000_000
+DIRECT_FAN_OUT = 16
+HEAVY_FAN_OUT = 1_000_000
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a side instead of guessing: its rows and text bytes, summed where they are, against a bound.
+@dataclass(frozen=True)
+class KeyList:
+    """A collapsed and measured list: ``rows`` has ``key, *attributes, copies``."""
 
-    This reads the (already pruned) columns of the list once and brings one number to the driver.
-    """
+    rows: DataFrame
+    key: str
+    attributes: tuple[str, ...]
+    small: bool
+    fan_out: int
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row as far as its texts and a fixed overhead tell."""
     width = F.lit(ROW_OVERHEAD_BYTES)
     for name in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    return (df.agg(F.sum(width.cast("bigint"))).first()[0] or 0) <= limit
+    return width.cast("bigint")
 
 
-def listed_totals(
-    facts: DataFrame,
+def key_list(
     listed: DataFrame,
     key: str,
     listed_key: str,
-    values: Sequence[str],
-    also: Sequence[str] = (),
     attributes: Sequence[str] = (),
     dedupe_right: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    heavy_mentions: int = HEAVY_MENTIONS,
-) -> DataFrame:
-    """Totals of the facts per key (and ``also``), for the listed keys, with the list's attributes.
-
-    Gives ``key, *also, *attributes, *values, rows, copies``: the values and ``rows`` summed over the facts once, and
-    how often the list names that key with those attributes (1 with ``dedupe_right``).
+) -> KeyList:
+    """Collapse a list and measure it: its bytes, and the most attributes any key has.
 
-    When the list is measured to be small, its keys are broadcast to drop other facts before anything is shuffled;
-    otherwise the collapsed facts are joined by a shuffle. The result is the same.
+    The measurement runs one job over the used columns of the list, and brings two numbers to the driver. With
+    ``dedupe_right`` a repeated mention counts once.
     """
-    on = [key]
-    mentions = listed.select(F.col(listed_key).alias(key), *attributes)
-    counted = mentions.groupBy(key, *attributes).agg(F.count("*").alias("copies"))
+    mentions = listed.select(F.col(listed_key).alias(key), *attributes).where(F.col(key).isNotNull())
+    rows = mentions.groupBy(key, *attributes).agg(F.count("*").alias("copies"))
     if dedupe_right:
-        counted = counted.withColumn("copies", F.lit(1).cast("bigint"))
-    small = fits_broadcast(mentions, broadcast_bytes)
-    if small:
-        facts = facts.join(F.broadcast(mentions.select(key)), key, "left_semi")
-        counted = F.broadcast(counted)
-    totals = facts.groupBy(key, *also).agg(
-        *[add_up(facts, value).alias(value) for value in values], F.count("*").alias("rows")
-    )
-    if attributes and not small:
-        totals, counted = _spread_heavy(totals, counted, key, attributes, heavy_mentions)
-        on = [key, "salt"]
-    return totals.join(counted, on, "inner").select(key, *also, *attributes, *values, "rows", "copies")
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    if attributes:
+        per_key = rows.groupBy(key).agg(F.sum(row_bytes(rows)).alias("bytes"), F.count("*").alias("fan_out"))
+        size, fan_out = per_key.agg(F.sum("bytes"), F.max("fan_out")).first()
+    else:
+        size, fan_out = rows.agg(F.sum(row_bytes(rows))).first()[0], 1
+    return KeyList(rows, key, tuple(attributes), (size or 0) <= broadcast_bytes, fan_out or 0)
+
 
+def listed_totals(
+    facts: DataFrame, listed: KeyList, values: Sequence[str], also: Sequence[str] = (), heavy: int = HEAVY_FAN_OUT
+) -> DataFrame:
+    """Totals of the facts per listed key, ``also`` and attributes.
+
+    Gives ``key, *also, *attributes, *values, rows, copies``: values and ``rows`` over the facts once, and how often the
+    list has that row.
+    """
+    key, attributes = listed.key, listed.attributes
+    columns = [key, *also, *attributes, *values, "rows", "copies"]
+    sums = [add_up(facts, value).alias(value) for value in values]
+    if listed.small and not attributes:
+        joined = facts.join(F.broadcast(listed.rows), key, "inner")
+        return joined.groupBy(key, *also, "copies").agg(*sums, F.count("*").alias("rows")).select(*columns)
+    if listed.small:
+        facts = facts.join(F.broadcast(listed.rows.select(key)), key, "left_semi")
+    totals = facts.groupBy(key, *also).agg(*sums, F.count("*").alias("rows"))
+    if listed.small:
+        return totals.join(F.broadcast(listed.rows), key, "inner").select(*columns)
+    if not attributes:
+        return totals.join(listed.rows, key, "inner").select(*columns)
+    return _join_spread(totals, listed, heavy).select(*columns)
+
+
+def _join_spread(totals: DataFrame, listed: KeyList, heavy: int) -> DataFrame:
+    """Join by shuffle, a key with very many attributes spread over ``SALTS`` tasks.
+
+    Such keys are at most (list rows / ``heavy``), so their set is small however long the list is. Their list rows are
+    split by salt and their totals given to every salt; all other keys keep salt 0.
+    """
+    key = listed.key
+    fan_outs = listed.rows.groupBy(key).agg(F.count("*").alias("fan_out"))
+    hot = F.broadcast(fan_outs.where(F.col("fan_out") > heavy).select(key, F.lit(True).alias("hot")))
+    salt = F.pmod(F.xxhash64(*listed.attributes), F.lit(SALTS)).cast("int")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    rows = listed.rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0))
+    spread = totals.join(hot, key, "left").withColumn("salt", F.explode(salts))
+    return spread.drop("hot").join(rows.drop("hot"), [key, "salt"], "inner")
 
-def _spread_heavy(
-    totals: DataFrame, counted: DataFrame, key: str, attributes: Sequence[str], heavy_mentions: int
-) -> tuple[DataFrame, DataFrame]:
-    """Spread a key that the list gives very many attributes over several tasks.
 
-    Heavy keys are at most (list rows / heavy_mentions), so their set is small however long the list is. Their list
-    rows are split by salt, their totals are given to every salt; all other keys keep salt 0.
+def listed_sums(
+    facts: DataFrame,
+    listed: KeyList,
+    by: Sequence[str],
+    values: Sequence[str],
+    direct_fan_out: int = DIRECT_FAN_OUT,
+    heavy: int = HEAVY_FAN_OUT,
+) -> DataFrame:
+    """Sums over the joined rows, every mention counted, grouped by columns of the facts or attributes of the list.
+
+    Gives ``*by, *values, rows``; the values as doubles.
     """
-    heavy = counted.groupBy(key).agg(F.count("*").alias("mentions")).where(F.col("mentions") > heavy_mentions)
-    heavy = F.broadcast(heavy.select(key, F.lit(True).alias("heavy")))
-    salt = F.pmod(F.xxhash64(*attributes), F.lit(SALTS)).cast("int")
-    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    counted = counted.join(heavy, key, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(0))
-    totals = totals.join(heavy, key, "left").withColumn("salt", F.explode(salts))
-    return totals.drop("heavy"), counted.drop("heavy")
-
-
-def sum_listed(joined: DataFrame, keys: Sequence[str], value: str, name: str = "total") -> DataFrame:
-    """Sum of ``listed_totals`` over other keys, every mention counted, as double."""
-    scaled = joined.select(*keys, times(joined, value, F.col("copies")).alias(value))
-    summed = scaled.groupBy(*keys).agg(add_up(scaled, value).alias(name))
-    return summed.select(*keys, as_double(summed, name).alias(name))
-
-
-def average_listed(joined: DataFrame, keys: Sequence[str], value: str, name: str = "average") -> DataFrame:
-    """Mean over the joined rows of ``listed_totals``, every mention counted."""
-    scaled = joined.select(
-        *keys, times(joined, value, F.col("copies")).alias(value), (F.col("rows") * F.col("copies")).alias("rows")
+    if listed.small and listed.fan_out <= direct_fan_out:
+        joined = facts.join(F.broadcast(listed.rows), listed.key, "inner")
+        weighted = _weighted(joined, by, values, F.col("copies"))
+    else:
+        also = [name for name in by if name not in listed.attributes and name != listed.key]
+        totals = listed_totals(facts, listed, values, also, heavy)
+        weighted = _weighted(totals, by, values, F.col("rows") * F.col("copies"))
+    summed = weighted.groupBy(*by).agg(
+        *[add_up(weighted, value).alias(value) for value in values], F.sum("rows").alias("rows")
     )
-    summed = scaled.groupBy(*keys).agg(add_up(scaled, value).alias(value), F.sum("rows").alias("rows"))
-    return summed.select(*keys, (as_double(summed, value) / F.col("rows")).alias(name))
+    return summed.select(*by, *[as_double(summed, value).alias(value) for value in values], "rows")
+
+
+def _weighted(joined: DataFrame, by: Sequence[str], values: Sequence[str], rows: Column) -> DataFrame:
+    scaled = [times(joined, value, F.col("copies")).alias(value) for value in values]
+    return joined.select(*by, *scaled, rows.alias("rows"))
 
 
-def top_listed(joined: DataFrame, keys: Sequence[str], value: str, k: int = 10) -> DataFrame:
+def top_listed(totals: DataFrame, keys: Sequence[str], value: str, k: int = 10) -> DataFrame:
     """The k largest joined rows. A key named n times is n rows, but no more than k of them can be in the result."""
-    if is_number(joined, value):
-        joined = joined.withColumn(value, as_double(joined, value))
-    ranked = joined.orderBy(F.desc(value), *keys).limit(k)
+    if is_number(totals, value):
+        totals = totals.withColumn(value, as_double(totals, value))
+    ranked = totals.orderBy(F.desc(value), *keys).limit(k)
     repeated = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k)))))
     return repeated.orderBy(F.desc(value), *keys).limit(k).select(*keys, value)

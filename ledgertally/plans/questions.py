@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.functions.checks import is_int
 from ledgertally.functions.numbers import exact_int, number
-from ledgertally.operators.matching import average_listed, listed_totals, sum_listed, top_listed
+from ledgertally.operators.matching import key_list, listed_sums, listed_totals, top_listed
 from ledgertally.operators.monthly import (
     MONTH,
     average_by_month,
@@ -52,7 +52,8 @@ def top_contracts(transactions: DataFrame, contracts: DataFrame, k: int = TOP_RO
     """Contracts that received most, exact to the last wei."""
     valid = well_formed(transactions, ints=["block_number", "value"])
     received = valid.select(F.col("to_address").alias("address"), exact_int(F.col("value")).alias("value"))
-    return top_listed(listed_totals(received, contracts, "address", "address", ["value"]), ["address"], "value", k)
+    listed = key_list(contracts, "address", "address")
+    return top_listed(listed_totals(received, listed, ["value"]), ["address"], "value", k)
 
 
 def miner_sizes(blocks: DataFrame) -> DataFrame:
@@ -86,28 +87,26 @@ def monthly_contract_gas(
     """Mean gas per month over the calls of contracts."""
     valid = well_formed(transactions, ints=[TIME], floats=["gas_price", "gas"])
     calls = with_month(valid.select(TIME, "to_address", number(F.col("gas")).alias("gas")), TIME)
-    joined = listed_totals(calls, contracts, "to_address", "address", ["gas"], also=[MONTH])
-    averages = average_listed(joined, [MONTH], "gas")
-    return in_month_order(averages.select(labelled(averages), "average"), chronological, limit)
+    sums = listed_sums(calls, key_list(contracts, "to_address", "address"), [MONTH], ["gas"])
+    averages = sums.select(labelled(sums), (F.col("gas") / F.col("rows")).alias("average"))
+    return in_month_order(averages, chronological, limit)
 
 
 def top_scams(transactions: DataFrame, scams: DataFrame, k: int = TOP_SCAMS) -> DataFrame:
     """Scams that received most, with their category."""
     received = _received(well_formed(transactions, ints=[TIME], floats=["value"]))
-    listed = well_formed(scams, ints=["id"])
-    joined = listed_totals(received, listed, "to_address", "address", ["value"], attributes=["id", "category"])
-    return top_k(sum_listed(joined, ["id", "category"], "value"), "total", ["id", "category"], k)
+    listed = key_list(well_formed(scams, ints=["id"]), "to_address", "address", ["id", "category"])
+    sums = listed_sums(received, listed, ["id", "category"], ["value"])
+    totals = sums.select("id", "category", F.col("value").alias("total"))
+    return top_k(totals, "total", ["id", "category"], k)
 
 
 def monthly_scam_value(transactions: DataFrame, registry: DataFrame) -> DataFrame:
     """Value received per month and scam category, in no order. ``registry`` holds the JSON documents."""
     received = with_month(_received(well_formed(transactions, floats=["value", TIME])), TIME)
-    listed = registry_addresses(registry)
-    joined = listed_totals(
-        received, listed, "to_address", "address", ["value"], also=[MONTH], attributes=["category"]
-    )
-    totals = sum_listed(joined, [MONTH, "category"], "value")
-    return totals.select(labelled(totals, "-"), "category", "total")
+    listed = key_list(registry_addresses(registry), "to_address", "address", ["category"])
+    sums = listed_sums(received, listed, [MONTH, "category"], ["value"])
+    return sums.select(labelled(sums, "-"), "category", F.col("value").alias("total"))
 
 
 def top_self_transfers(transactions: DataFrame, k: int = TOP_ROWS) -> DataFrame:

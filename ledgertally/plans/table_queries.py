@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.functions.checks import is_float, is_int
 from ledgertally.functions.texts import joined
-from ledgertally.operators.matching import average_listed, listed_totals, sum_listed, top_listed
+from ledgertally.operators.matching import key_list, listed_sums, listed_totals, top_listed
 from ledgertally.operators.monthly import (
     MONTH,
     average_by_month,
@@ -72,10 +72,9 @@ def epoch_month(spark: SparkSession, folder: str) -> DataFrame:
 
 def topk_sum_join(spark: SparkSession, folder: str) -> DataFrame:
     items = _money(_lineitem(spark, folder, "l_partkey", "l_extendedprice"), "l_extendedprice")
-    joined_totals = listed_totals(
-        items, _small_parts(spark, folder), "l_partkey", "p_partkey", ["l_extendedprice"]
-    )
-    return top_listed(joined_totals, ["l_partkey"], "l_extendedprice", 10).withColumnRenamed("l_extendedprice", "total")
+    listed = key_list(_small_parts(spark, folder), "l_partkey", "p_partkey")
+    top = top_listed(listed_totals(items, listed, ["l_extendedprice"]), ["l_partkey"], "l_extendedprice", 10)
+    return top.withColumnRenamed("l_extendedprice", "total")
 
 
 def topk_sum(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,29 +86,16 @@ def topk_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 def joined_monthly_avg(spark: SparkSession, folder: str) -> DataFrame:
     items = _money(_lineitem(spark, folder, "l_partkey", "l_shipdate", "l_quantity"), "l_quantity")
-    joined_totals = listed_totals(
-        with_month(items, "l_shipdate"),
-        _small_parts(spark, folder),
-        "l_partkey",
-        "p_partkey",
-        ["l_quantity"],
-        also=[MONTH],
-    )
-    averages = average_listed(joined_totals, [MONTH], "l_quantity")
-    return in_month_order(averages.select(labelled(averages), "average"))
+    listed = key_list(_small_parts(spark, folder), "l_partkey", "p_partkey")
+    sums = listed_sums(with_month(items, "l_shipdate"), listed, [MONTH], ["l_quantity"])
+    return in_month_order(sums.select(labelled(sums), (F.col("l_quantity") / F.col("rows")).alias("average")))
 
 
 def topk_composite(spark: SparkSession, folder: str) -> DataFrame:
     items = _money(_lineitem(spark, folder, "l_partkey", "l_extendedprice"), "l_extendedprice")
-    joined_totals = listed_totals(
-        items,
-        table(spark, folder, "part"),
-        "l_partkey",
-        "p_partkey",
-        ["l_extendedprice"],
-        attributes=["p_brand", "p_type"],
-    )
-    totals = sum_listed(joined_totals, ["p_brand", "p_type"], "l_extendedprice")
+    listed = key_list(table(spark, folder, "part"), "l_partkey", "p_partkey", ["p_brand", "p_type"])
+    sums = listed_sums(items, listed, ["p_brand", "p_type"], ["l_extendedprice"])
+    totals = sums.select("p_brand", "p_type", F.col("l_extendedprice").alias("total"))
     return top_k(totals, "total", ["p_brand", "p_type"], 15)
 
 
@@ -129,17 +115,9 @@ def registry_month_sum(spark: SparkSession, folder: str) -> DataFrame:
     documents = text.select(F.from_json("value", REGISTRY_SCHEMA).alias("d")).select("d.*")
     items = _money(_lineitem(spark, folder, "l_suppkey", "l_shipdate", "l_extendedprice"), "l_extendedprice")
     keyed = with_month(items, "l_shipdate").withColumn("l_suppkey", F.col("l_suppkey").cast("string"))
-    joined_totals = listed_totals(
-        keyed,
-        registry_addresses(documents),
-        "l_suppkey",
-        "address",
-        ["l_extendedprice"],
-        also=[MONTH],
-        attributes=["category"],
-    )
-    totals = sum_listed(joined_totals, [MONTH, "category"], "l_extendedprice")
-    return totals.select(labelled(totals, "-"), "category", "total")
+    listed = key_list(registry_addresses(documents), "l_suppkey", "address", ["category"])
+    sums = listed_sums(keyed, listed, [MONTH, "category"], ["l_extendedprice"])
+    return sums.select(labelled(sums, "-"), "category", F.col("l_extendedprice").alias("total"))
 
 
 def json_map_explode(spark: SparkSession, folder: str) -> DataFrame:
