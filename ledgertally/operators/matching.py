@@ -5,8 +5,8 @@ counts: these are inner joins, not semi-joins. The list is first collapsed to on
 number of mentions, ``copies``, so that repeated mentions become a factor instead of rows. Then it is measured, and
 one of three plans with the same result is taken:
 
-* small, few attributes per key — broadcast the list and add up straight into the groups asked for; the only shuffle
-  carries one row per group and task, whatever the skew of the facts;
+* small, few attributes per key — broadcast the list and add up straight into the groups asked for (per number of
+  mentions, multiplied afterwards); shuffles carry a few rows per group and task, whatever the skew of the facts;
 * small, but some key has many attributes — broadcast its keys to drop all other facts, collapse the facts per key,
   join after that;
 * large — collapse both sides per key, partial sums before the shuffle, and join by shuffle; a key with very many
@@ -127,22 +127,22 @@ def listed_sums(
     """
     if listed.small and listed.fan_out <= direct_fan_out:
         joined = facts.join(F.broadcast(listed.rows), listed.key, "inner")
-        weighted = _weighted(joined, by, values, F.col("copies"))
+        sums = [add_up(joined, value).alias(value) for value in values]
+        totals = joined.groupBy(*by, "copies").agg(*sums, F.count("*").alias("rows"))
     else:
         also = [name for name in by if name not in listed.attributes and name != listed.key]
         totals = listed_totals(facts, listed, values, also, heavy)
-        weighted = _weighted(totals, by, values, F.col("rows") * F.col("copies"))
+    weighted = totals.select(
+        *by,
+        *[times(totals, value, F.col("copies")).alias(value) for value in values],
+        (F.col("rows") * F.col("copies")).alias("rows"),
+    )
     summed = weighted.groupBy(*by).agg(
         *[add_up(weighted, value).alias(value) for value in values], F.sum("rows").alias("rows")
     )
     return summed.select(*by, *[as_double(summed, value).alias(value) for value in values], "rows")
 
 
-def _weighted(joined: DataFrame, by: Sequence[str], values: Sequence[str], rows: Column) -> DataFrame:
-    scaled = [times(joined, value, F.col("copies")).alias(value) for value in values]
-    return joined.select(*by, *scaled, rows.alias("rows"))
-
-
 def top_listed(totals: DataFrame, keys: Sequence[str], value: str, k: int = 10) -> DataFrame:
     """The k largest joined rows. A key named n times is n rows, but no more than k of them can be in the result."""
     if is_number(totals, value):

@@ -29,9 +29,9 @@ def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     return table(spark, folder, "lineitem").select(
         _line(
-            _text("concat('0x', lower(hex(l_orderkey)), '-', l_linenumber)"),
+            F.lit("0x"),
             _text("l_linenumber"),
-            _text("concat('0x', lower(hex(l_orderkey)))"),
+            F.lit("0x"),
             F.expr("if(l_linenumber = 1 and l_returnflag = 'R', concat(l_orderkey, '.5'), string(l_orderkey))"),
             _text("l_linenumber"),
             F.expr("if(l_tax = 0 and l_discount = 0, '', concat('a', l_suppkey))"),
