@@ -61,16 +61,15 @@ def as_double(df: DataFrame, column: str) -> Column:
 def double_text(value: Column) -> Column:
     """Text of a double in the form result files use: ``56596270931.31683``, ``1e+18``, ``0.5``.
 
-    Plain digits from 1e-4 up to below 1e16, exponent form outside of it.
+    The shortest digits that read back as the same double; plain from 1e-4 up to below 1e16, exponent form outside.
     """
+    shorter = F.format_string("%.15e", value)
+    digits = F.when(shorter.try_cast("double") == value, shorter).otherwise(F.format_string("%.16e", value))
+    decimal = F.rtrim(digits.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.when(decimal.endswith("."), F.concat(decimal, F.lit("0"))).otherwise(decimal)
     size = F.abs(value)
-    digits = F.rtrim(value.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    java = F.regexp_replace(value.cast("string"), r"\.0E", "E")
-    signed = F.regexp_replace(F.regexp_replace(java, r"E([0-9])", "e+$1"), "E-", "e-")
-    padded = F.regexp_replace(signed, r"e([+-])([0-9])$", "e$10$2")
     return (
         F.when(size == 0, F.lit("0.0"))
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(padded)
+        .when(size > 0, F.regexp_replace(digits, r"\.?0+e", "e"))
     )

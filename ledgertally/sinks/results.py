@@ -34,7 +34,7 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with header; one file for a report, one per task otherwise."""
     if single:
-        df = _report(df).coalesce(1)
+        df = _report(df)
     df.write.mode("errorifexists").csv(path, header=True)
 
 
@@ -89,8 +89,8 @@ def _pair(df: DataFrame, keys: Sequence[str], value: str, value_as_text: bool) -
 
 
 def _report(df: DataFrame) -> DataFrame:
-    """At most ``MAX_ROWS`` rows; more of them is an error when the report is written."""
-    numbered = df.limit(MAX_ROWS + 1).withColumn("_row", F.monotonically_increasing_id())
+    """One partition of at most ``MAX_ROWS`` rows; more of them is an error when the report is written."""
+    numbered = df.limit(MAX_ROWS + 1).coalesce(1).withColumn("_row", F.monotonically_increasing_id())
     allowed = F.when(F.col("_row") < MAX_ROWS, True).otherwise(_too_large())
     return numbered.where(allowed).drop("_row")
 

@@ -94,9 +94,8 @@ def test_double_text(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     texts = [row[0] for row in frame.select(double_text(F.col("v"))).collect()]
     assert [float(text) for text in texts] == values
-    # The JVM may write one digit more than needed; where it does not, the texts are the same.
-    same = [text == repr(value) for text, value in zip(texts, values)]
-    assert sum(same) > 0.9 * len(values)
+    # In rare cases two texts of the same length read back as the same double.
+    assert sum(text == repr(v) for text, v in zip(texts, values)) > 0.99 * len(values)
     assert texts[-12:] == [repr(v) for v in values[-12:]]
 
 
