@@ -11,12 +11,17 @@ from pyspark.sql import Column, functions as F, types as T
 from ledgertally.functions.checks import is_plain
 
 SECONDS_PER_DAY = 86400
+LAST_DAY = 2**31 - 1
 
 
 def epoch_month(seconds: Column) -> Column:
-    """Month index (UTC) of epoch seconds; null when the day does not fit a date."""
-    day = F.floor(seconds / F.lit(SECONDS_PER_DAY)).try_cast("int")
-    return date_month(F.date_from_unix_date(day))
+    """Month index (UTC) of epoch seconds that pass ``in_calendar``."""
+    return date_month(F.date_from_unix_date(F.floor(seconds / F.lit(SECONDS_PER_DAY)).cast("int")))
+
+
+def in_calendar(seconds: Column) -> Column:
+    """Do these seconds fall on a day that a date can hold? False for null."""
+    return F.coalesce(F.abs(seconds) <= LAST_DAY * SECONDS_PER_DAY, F.lit(False))
 
 
 def date_month(moment: Column) -> Column:
@@ -24,16 +29,14 @@ def date_month(moment: Column) -> Column:
     return F.year(moment) * 12 + F.month(moment) - 1
 
 
-def month_of(column: Column, data_type: T.DataType) -> Column:
-    """Month index of a column of any type that can hold a moment; epoch seconds when numeric or (checked) text."""
+def epoch_seconds(column: Column, data_type: T.DataType) -> Column:
+    """Whole epoch seconds of a number, a text that passed a number check, or a timestamp with time zone."""
     if isinstance(data_type, T.StringType):
         rounded = F.floor(column.try_cast("double")).try_cast("bigint")
-        return epoch_month(F.when(is_plain(column), column.try_cast("bigint")).otherwise(rounded))
-    if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
-        return date_month(column)
+        return F.when(is_plain(column), column.try_cast("bigint")).otherwise(rounded)
     if isinstance(data_type, T.TimestampType):
-        return epoch_month(F.unix_seconds(column))
-    return epoch_month(F.floor(column).try_cast("bigint"))
+        return F.unix_seconds(column)
+    return F.floor(column).try_cast("bigint")
 
 
 def month_label(index: Column, separator: str = "/") -> Column:

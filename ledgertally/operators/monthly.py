@@ -5,18 +5,21 @@ The shuffle behind each of these carries one row per month and input partition,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgertally.functions.months import month_label, month_of
+from ledgertally.functions.months import date_month, epoch_month, epoch_seconds, in_calendar, month_label
 from ledgertally.functions.numbers import add_up, as_double
 
 MONTH = "month_index"
 
 
 def with_month(df: DataFrame, time: str) -> DataFrame:
-    """Add the month index; rows whose moment lies outside the calendar are dropped."""
-    month = month_of(F.col(time), df.schema[time].dataType)
-    return df.withColumn(MONTH, month).where(F.col(MONTH).isNotNull())
+    """Add the month index of epoch seconds, a date or a timestamp; moments outside the calendar are dropped."""
+    data_type = df.schema[time].dataType
+    if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
+        return df.where(F.col(time).isNotNull()).withColumn(MONTH, date_month(F.col(time)))
+    seconds = epoch_seconds(F.col(time), data_type)
+    return df.where(in_calendar(seconds)).withColumn(MONTH, epoch_month(seconds))
 
 
 def labelled(df: DataFrame, separator: str = "/") -> Column:
