@@ -92,7 +92,7 @@ def listed_totals(
     totals = facts.groupBy(key, *also).agg(*sums, F.count("*").alias("rows"))
     if listed.small:
         return totals.join(F.broadcast(listed.rows), key, "inner").select(*columns)
-    if not attributes:
+    if listed.fan_out <= heavy:
         return totals.join(listed.rows, key, "inner").select(*columns)
     return _join_spread(totals, listed, heavy).select(*columns)
 

@@ -180,7 +180,8 @@ def valid_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def header_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return questions.miner_sizes(split_fields(lines.block_lines(spark, folder), BLOCKS))
+    sizes = questions.miner_sizes(split_fields(lines.block_lines(spark, folder), BLOCKS))
+    return sizes.withColumn("size", F.col("size").cast("bigint"))
 
 
 def column_bytes_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,11 +258,14 @@ def ledger_monthly_value(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_top_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    return questions.top_contracts(_transactions(spark, folder), _contracts(spark, folder))
+    """Amounts beyond 64 bits, given as digits."""
+    top = questions.top_contracts(_transactions(spark, folder), _contracts(spark, folder))
+    return top.withColumn("value", F.col("value").cast("string"))
 
 
 def ledger_top_miners(spark: SparkSession, folder: str) -> DataFrame:
-    return questions.top_miners(split_fields(lines.block_lines(spark, folder), BLOCKS))
+    top = questions.top_miners(split_fields(lines.block_lines(spark, folder), BLOCKS))
+    return top.withColumn("size", F.col("size").cast("bigint"))
 
 
 def ledger_gas_price(spark: SparkSession, folder: str) -> DataFrame:

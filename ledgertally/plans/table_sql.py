@@ -95,7 +95,7 @@ VALUE_SUM = (
 )
 BAD_SIZE = "(o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
 MINER_SIZES = f"""SELECT CASE WHEN {BAD_SIZE} THEN '0' ELSE o_custkey::varchar END AS miner,
-         sum(CASE WHEN {BAD_SIZE} THEN 1 ELSE floor(o_totalprice)::bigint END)::decimal(38,0) AS size
+         sum(CASE WHEN {BAD_SIZE} THEN 1 ELSE floor(o_totalprice)::bigint END)::bigint AS size
   FROM orders
   WHERE o_orderkey <> 0 AND NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
   GROUP BY 1"""
@@ -164,11 +164,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM tx WHERE int_time GROUP BY 1 ORDER BY 1 LIMIT 100""",
     "ledger_monthly_value": MONTHLY_VALUE,
     "ledger_top_contracts": f"""WITH {TX}, {CONTRACTS}
-        SELECT address, (value::varchar || '0000000000000')::decimal(38,0) AS value
-        FROM (SELECT to_address, sum(wei) AS value FROM tx
+        SELECT address, units::varchar || '0000000000000' AS value
+        FROM (SELECT to_address, sum(wei) AS units FROM tx
               WHERE int_block AND float_value AND l_linenumber <> 2 GROUP BY 1)
              JOIN contracts ON to_address = address
-        ORDER BY value DESC, address LIMIT 10""",
+        ORDER BY units DESC, address LIMIT 10""",
     "ledger_top_miners": f"SELECT * FROM ({MINER_SIZES}) ORDER BY size DESC, miner LIMIT 10",
     "ledger_gas_price": f"""WITH {TX}
         SELECT {MONTH.format('l_shipdate')} AS month,
