@@ -19,8 +19,17 @@ def _text(expression: str) -> Column:
     return F.expr(f"cast({expression} as string)")
 
 
-def _line(*fields: Column) -> Column:
-    return F.concat_ws(",", *fields).alias("value")
+def _line(*fields: Column | str) -> Column:
+    """Fields joined by commas; constant ones are given as text and joined beforehand."""
+    pieces, constant = [], ""
+    for number, field in enumerate(fields):
+        constant += "," if number else ""
+        if isinstance(field, str):
+            constant += field
+        else:
+            pieces += [F.lit(constant), field]
+            constant = ""
+    return F.concat(*pieces, F.lit(constant)).alias("value")
 
 
 def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +38,11 @@ def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     return table(spark, folder, "lineitem").select(
         _line(
-            F.lit("0x"),
-            _text("l_linenumber"),
-            F.lit("0x"),
+            "0x",
+            "",
+            "0x",
             F.expr("if(l_linenumber = 1 and l_returnflag = 'R', concat(l_orderkey, '.5'), string(l_orderkey))"),
-            _text("l_linenumber"),
+            "",
             F.expr("if(l_tax = 0 and l_discount = 0, '', concat('a', l_suppkey))"),
             F.expr("if(l_tax = 0, '', concat('a', l_partkey))"),
             F.expr(
@@ -50,9 +59,9 @@ def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
             F.expr(
                 f"""case l_linenumber when 5 then '' when 7 then concat({epoch}, '.75') else string({epoch}) end"""
             ),
-            F.lit(""),
-            F.lit(""),
-            F.lit(""),
+            "",
+            "",
+            "",
         )
     )
 
@@ -61,7 +70,7 @@ def contract_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Parts below size 25 are contracts, the smallest of them listed twice; size 10 gives a short line."""
     mentions = F.expr("explode(sequence(1, if(p_size < 5, 2, 1)))")
     parts = table(spark, folder, "part").where("p_size < 25").withColumn("mention", mentions)
-    rest = [F.lit("0x"), F.lit(""), F.lit("false"), F.lit("false")]
+    rest = ["0x", "", "false", "false"]
     return parts.select(
         F.when(F.col("p_size") == 10, _line(F.expr("concat('a', p_partkey)"), *rest))
         .otherwise(_line(F.expr("concat('a', p_partkey)"), *rest, _text("p_size")))
@@ -77,12 +86,12 @@ def scam_lines(spark: SparkSession, folder: str) -> DataFrame:
         _line(
             F.expr("concat(prefix, if(p_size = 7, 'x', ''), substr(p_brand, 7))"),
             F.expr("if(p_size = 8, concat(p_name, ', the second'), p_name)"),
-            F.lit("http://example.com"),
-            F.lit("0"),
+            "http://example.com",
+            "0",
             F.col("p_type"),
-            F.lit(""),
+            "",
             F.expr("concat('a', p_partkey)"),
-            F.lit("Active"),
+            "Active",
         )
     )
 
@@ -110,7 +119,7 @@ def block_lines(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "extra_data": F.expr("if(o_orderstatus = 'P' and o_orderpriority = '1-URGENT', '0x,1', '0x')"),
     }
-    return table(spark, folder, "orders").select(_line(*[fields.get(name, F.lit("")) for name in BLOCKS_SCHEMA.names]))
+    return table(spark, folder, "orders").select(_line(*[fields.get(name, "") for name in BLOCKS_SCHEMA.names]))
 
 
 def block_table(spark: SparkSession, folder: str) -> DataFrame:
