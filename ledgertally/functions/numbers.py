@@ -65,7 +65,7 @@ def double_text(value: Column) -> Column:
     """
     shorter = F.format_string("%.15e", value)
     digits = F.when(shorter.try_cast("double") == value, shorter).otherwise(F.format_string("%.16e", value))
-    decimal = F.rtrim(digits.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
+    decimal = F.rtrim(digits.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(decimal.endswith("."), F.concat(decimal, F.lit("0"))).otherwise(decimal)
     size = F.abs(value)
     return (

@@ -83,6 +83,7 @@ def listed_totals(
     """
     key, attributes = listed.key, listed.attributes
     columns = [key, *also, *attributes, *values, "rows", "copies"]
+    facts = facts.select(key, *also, *values)
     sums = [add_up(facts, value).alias(value) for value in values]
     if listed.small and not attributes:
         joined = facts.join(F.broadcast(listed.rows), key, "inner")
@@ -125,12 +126,12 @@ def listed_sums(
 
     Gives ``*by, *values, rows``; the values as doubles.
     """
+    also = [name for name in by if name not in listed.attributes and name != listed.key]
     if listed.small and listed.fan_out <= direct_fan_out:
-        joined = facts.join(F.broadcast(listed.rows), listed.key, "inner")
+        joined = facts.select(listed.key, *also, *values).join(F.broadcast(listed.rows), listed.key, "inner")
         sums = [add_up(joined, value).alias(value) for value in values]
         totals = joined.groupBy(*by, "copies").agg(*sums, F.count("*").alias("rows"))
     else:
-        also = [name for name in by if name not in listed.attributes and name != listed.key]
         totals = listed_totals(facts, listed, values, also, heavy)
     weighted = totals.select(
         *by,

@@ -35,17 +35,21 @@ BAD_SIZE_VALUE = 1
 TIME = "block_timestamp"
 
 
-def monthly_transactions(transactions: DataFrame, limit: int | None = MONTH_ROWS) -> DataFrame:
+def monthly_transactions(
+    transactions: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+) -> DataFrame:
     """Transactions per month."""
     valid = well_formed(transactions, ints=[TIME])
-    return in_month_order(count_by_month(valid, TIME), limit=limit)
+    return in_month_order(count_by_month(valid, TIME), chronological, limit)
 
 
-def monthly_value(transactions: DataFrame, limit: int | None = MONTH_ROWS) -> DataFrame:
+def monthly_value(
+    transactions: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+) -> DataFrame:
     """Mean transaction value per month."""
     valid = well_formed(transactions, ints=[TIME], floats=["value"])
     valued = valid.select(TIME, number(F.col("value")).alias("value"))
-    return in_month_order(average_by_month(valued, TIME, "value"), limit=limit)
+    return in_month_order(average_by_month(valued, TIME, "value"), chronological, limit)
 
 
 def top_contracts(transactions: DataFrame, contracts: DataFrame, k: int = TOP_ROWS) -> DataFrame:

@@ -36,6 +36,31 @@ def test_floats(spark):
     assert None not in result.values()
 
 
+def python_accepts(convert, text):
+    try:
+        return abs(convert(text)) < float("inf")
+    except ValueError:
+        return False
+
+
+def test_checks_agree_with_python_on_random_texts(spark):
+    chosen = random.Random(11)
+    texts = {"".join(chosen.choice("0123456789+-. eE\tdx") for _ in range(chosen.randrange(1, 8))) for _ in range(20000)}
+    integers, floats = answers(spark, texts, is_int), answers(spark, texts, is_float)
+    assert {t for t in texts if integers[t]} == {t for t in texts if python_accepts(int, t)}
+    assert {t for t in texts if floats[t]} == {t for t in texts if python_accepts(float, t)}
+
+
+def test_accepted_texts_have_their_python_value(spark):
+    texts = [" 12 ", "+5", "-7", "\t8", "5.", ".5", "+.5e-3", " 1e3", "007", "-0", "1E+2", "12345678901234567890"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", number(F.col("t")))
+    values = [row[0] for row in frame.select(as_double(frame, "v")).collect()]
+    assert values == [float(t) for t in texts]
+    integers = [t for t in texts if python_accepts(int, t)]
+    exact = spark.createDataFrame([(t,) for t in integers], "t string").select(exact_int(F.col("t")))
+    assert [int(row[0]) for row in exact.collect()] == [int(t) for t in integers]
+
+
 def test_month_boundaries(spark):
     frame = spark.createDataFrame([(1548979199,), (1548979200,), (-1,), (0,)], "s bigint")
     labels = [row[0] for row in frame.select(month_label(epoch_month(F.col("s")))).collect()]
