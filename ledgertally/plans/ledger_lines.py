@@ -96,16 +96,21 @@ def scam_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def registry_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON document per part with a map of one entry: no, one or two addresses; parsed back from its text."""
+def registry_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON document per part with a map of one entry: no, one or two addresses."""
     addresses = """case when p_size > 40 then array()
                         when p_size < 20 then array(concat('a', p_partkey), concat('a', p_partkey + 1))
                         else array(concat('a', p_partkey)) end"""
     entry = f"""named_struct('id', substr(p_brand, 7), 'addresses', {addresses},
                              'status', 'Active', 'category', p_type)"""
     text = F.to_json(F.struct(F.expr(f"map(string(p_partkey), {entry})").alias("result")))
-    documents = table(spark, folder, "part").select(text.alias("value"))
-    return documents.select(F.from_json("value", REGISTRY_SCHEMA).alias("document")).select("document.*")
+    return table(spark, folder, "part").select(text.alias("value"))
+
+
+def registry_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents, parsed from their text."""
+    parsed = F.from_json("value", REGISTRY_SCHEMA).alias("document")
+    return registry_lines(spark, folder).select(parsed).select("document.*")
 
 
 def block_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,12 +24,19 @@ from ledgertally.operators.transfers import self_pairs
 from ledgertally.plans import ledger_lines as lines
 from ledgertally.plans import questions
 from ledgertally.plans.ledger_lines import table
-from ledgertally.sinks.results import reheader, write_csv, write_json, write_json_array
-from ledgertally.sources.layouts import BLOCKS, CONTRACTS, REGISTRY_SCHEMA, SCAMS, TRANSACTIONS
-from ledgertally.sources.lines import read_staged, split_fields, stage_fields
-from ledgertally.sources.results import read_pairs, split_rendered
+from ledgertally.sinks.results import (
+    reheader,
+    report_csv,
+    write_csv,
+    write_json,
+    write_json_array,
+    write_rendered_array,
+)
+from ledgertally.sources.layouts import BLOCKS, BLOCKS_SCHEMA, CONTRACTS, REGISTRY_SCHEMA, SCAMS, TRANSACTIONS
+from ledgertally.sources.lines import read_fields, read_staged, split_fields, stage_fields
+from ledgertally.sources.results import read_pairs, read_rendered, read_result_csv, split_rendered
 from ledgertally.sources.scratch import scratch_folder
-from ledgertally.sources.tables import read_csv
+from ledgertally.sources.tables import read_csv, read_registry
 
 MONEY = "decimal(18,2)"
 
@@ -234,6 +241,45 @@ def staged_fields(spark: SparkSession, folder: str) -> DataFrame:
     return questions.monthly_value(read_staged(spark, path, TRANSACTIONS))
 
 
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions written as text files and read as any dump is."""
+    path = scratch_folder(spark, "lines")
+    lines.transaction_lines(spark, folder).write.text(path)
+    return questions.monthly_gas_price(read_fields(spark, path, TRANSACTIONS))
+
+
+def registry_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry as JSON files, read with its schema: addresses per category."""
+    path = scratch_folder(spark, "registry")
+    lines.registry_lines(spark, folder).write.text(path)
+    listed = registry_addresses(read_registry(spark, path))
+    return listed.groupBy("category", "status").agg(F.count("*").alias("addresses"))
+
+
+def block_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The block table as CSV with header, read back with its schema."""
+    path = scratch_folder(spark, "blocks")
+    write_csv(lines.block_table(spark, folder), path)
+    return questions.block_column_shares(read_csv(spark, path, BLOCKS_SCHEMA))
+
+
+def rendered_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per month as an array of joined texts, read back as two columns."""
+    path = scratch_folder(spark, "rendered")
+    write_rendered_array(count_by_month(table(spark, folder, "orders"), "o_orderdate", "orders"), path)
+    back = read_rendered(spark, path, ["month", "orders"])
+    return back.withColumn("orders", F.col("orders").cast("bigint"))
+
+
+def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest suppliers as a JSON array, turned into a CSV report, read back under other names."""
+    base = scratch_folder(spark, "report")
+    write_json_array(topk_sum(spark, folder), f"{base}/json")
+    report_csv(spark, f"{base}/json", f"{base}/csv", ["Supplier", "Quantity"])
+    back = read_result_csv(spark, f"{base}/csv", ["supplier", "quantity"])
+    return back.select(F.col("supplier").cast("bigint"), F.col("quantity").cast("bigint"))
+
+
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").limit(10)
 
@@ -320,6 +366,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
     "staged_fields": staged_fields,
+    "text_files": text_files,
+    "registry_file": registry_file,
+    "block_csv": block_csv,
+    "rendered_roundtrip": rendered_roundtrip,
+    "report_roundtrip": report_roundtrip,
     "preview": preview,
     "ledger_monthly_transactions": ledger_monthly_transactions,
     "ledger_monthly_value": ledger_monthly_value,

@@ -103,6 +103,11 @@ MONTHLY_VALUE = f"""WITH {TX}
   SELECT {MONTH.format('l_shipdate')} AS month, ({VALUE_SUM}) / count(*) AS average
   FROM tx WHERE int_time AND float_value GROUP BY 1 ORDER BY 1 LIMIT 100"""
 
+GAS_PRICE = f"""WITH {TX}
+  SELECT {MONTH.format('l_shipdate')} AS month,
+         sum(round(l_discount * 100)::bigint * 1000000000)::varchar::double / count(*) AS average
+  FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1 LIMIT 100"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "monthly_count": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
@@ -158,6 +163,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM customer""",
     "json_roundtrip": "SELECT * FROM part",
     "staged_fields": MONTHLY_VALUE,
+    "text_files": GAS_PRICE,
+    "registry_file": f"""WITH {REGISTRY}
+        SELECT category, 'Active' AS status, count(*) AS addresses FROM registry GROUP BY 1""",
+    "block_csv": _column_shares("orders", BLOCK_COLUMNS),
+    "rendered_roundtrip": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
+        FROM orders GROUP BY 1""",
+    "report_roundtrip": """SELECT l_suppkey AS supplier, sum(l_quantity::bigint)::bigint AS quantity
+        FROM lineitem GROUP BY l_suppkey ORDER BY quantity DESC, l_suppkey LIMIT 10""",
     "preview": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10",
     "ledger_monthly_transactions": f"""WITH {TX}
         SELECT {MONTH.format('l_shipdate')} AS month, count(*) AS transactions
@@ -170,10 +183,7 @@ ORACLE_SQL: dict[str, str] = {
              JOIN contracts ON to_address = address
         ORDER BY units DESC, address LIMIT 10""",
     "ledger_top_miners": f"SELECT * FROM ({MINER_SIZES}) ORDER BY size DESC, miner LIMIT 10",
-    "ledger_gas_price": f"""WITH {TX}
-        SELECT {MONTH.format('l_shipdate')} AS month,
-               sum(round(l_discount * 100)::bigint * 1000000000)::varchar::double / count(*) AS average
-        FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1 LIMIT 100""",
+    "ledger_gas_price": GAS_PRICE,
     "ledger_contract_gas": f"""WITH {TX}, {CONTRACTS}
         SELECT {MONTH.format('l_shipdate')} AS month, sum(l_quantity::bigint)::varchar::double / count(*) AS average
         FROM tx JOIN contracts ON to_address = address

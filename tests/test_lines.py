@@ -12,6 +12,7 @@ from ledgertally.sources.lines import (
     well_formed,
     without_header,
 )
+from ledgertally.sources.scratch import scratch_folder
 
 THREE = Layout(arity=3, columns={"first": 0, "last": 2})
 
@@ -68,6 +69,12 @@ def test_other_layouts(spark):
     assert block.collect() == [("0xh", "0xm", "77")]
 
 
+def test_scratch_folders_are_shared_and_new(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = scratch_folder(spark, "x"), scratch_folder(spark, "x")
+    assert first != second and first.startswith(f"{shared}/x-")
+
+
 def test_the_split_is_planned_once(spark):
     fields = well_formed(split_fields(frame(spark, ["a"]), TRANSACTIONS), ints=["gas"], floats=["value"])
     plan = fields.where(F.col("gas") != "7")._jdf.queryExecution().optimizedPlan().toString()
