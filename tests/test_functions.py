@@ -45,7 +45,8 @@ def python_accepts(convert, text):
 
 def test_checks_agree_with_python_on_random_texts(spark):
     chosen = random.Random(11)
-    texts = {"".join(chosen.choice("0123456789+-. eE\tdx") for _ in range(chosen.randrange(1, 8))) for _ in range(20000)}
+    letters = "0123456789+-. eE\tdx"
+    texts = {"".join(chosen.choice(letters) for _ in range(chosen.randrange(1, 8))) for _ in range(20000)}
     integers, floats = answers(spark, texts, is_int), answers(spark, texts, is_float)
     assert {t for t in texts if integers[t]} == {t for t in texts if python_accepts(int, t)}
     assert {t for t in texts if floats[t]} == {t for t in texts if python_accepts(float, t)}
@@ -115,6 +116,7 @@ def test_exact_int_never_drops_digits(spark):
 def test_double_text(spark):
     chosen = random.Random(3)
     values = [chosen.uniform(-1, 1) * 10 ** chosen.randrange(-12, 30) for _ in range(3000)]
+    values += [chosen.uniform(1e-4, 1e-3) for _ in range(300)]
     values += [0.0, 1.0, 1e15, 1e16, 1e18, 56596270931.31683, 3.733481101982518e18, 1e-4, 1e-5, 0.5, 100.0, 2.5e100]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     texts = [row[0] for row in frame.select(double_text(F.col("v"))).collect()]

@@ -59,9 +59,8 @@ def test_sums_by_attributes(case, plan):
             if to == address:
                 expected[id_, category][0] += value
                 expected[id_, category][1] += 1
-    found = listed_sums(
-        facts_df, key_list(listed_df, "to", "address", ["id", "category"], **lists), ["id", "category"], ["value"], **sums
-    )
+    listed_keys = key_list(listed_df, "to", "address", ["id", "category"], **lists)
+    found = listed_sums(facts_df, listed_keys, ["id", "category"], ["value"], **sums)
     assert {(r.id, r.category): [r.value, r.rows] for r in found.collect()} == dict(expected)
 
 

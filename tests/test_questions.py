@@ -201,7 +201,8 @@ def test_without_ansi_mode(spark, paths):
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:
         frames = [read_input(spark, name, paths[name]) for name in ["transactions", "contracts"]]
-        assert [[r.address, int(r.value)] for r in questions.top_contracts(*frames).collect()] == EXPECTED["top-contracts"]
+        contracts = questions.top_contracts(*frames).collect()
+        assert [[r.address, int(r.value)] for r in contracts] == EXPECTED["top-contracts"]
         assert [[r.month, str(r.average)] for r in questions.monthly_contract_gas(*frames).collect()] == (
             EXPECTED["monthly-contract-gas"]
         )
