@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of the machine.
+    Without that setting it is below the warehouse, which executors share too. What was written there goes when the program ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="ledgertally-")
-    return f"{shared.rstrip('/')}/{label}-{uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    path = f"{shared.rstrip('/')}/{label}-{uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+@atexit.register
+def remove_folders() -> None:
+    """Deletes the folders of this program, as far as its session still lives."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.pop(path)
