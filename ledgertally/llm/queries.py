@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
+from ledgertally.llm.mixing import mixed_sources
+from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
 
 #: A context window of so many tokens.
 WINDOW = 1024
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > WINDOW)
@@ -25,8 +31,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {}
