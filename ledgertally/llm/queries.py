@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
+from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
@@ -17,6 +18,11 @@ from ledgertally.llm.tables import table
 WINDOW = 1024
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by shingles of two words here; the operator's own default is five."""
+    return near_duplicates(table(spark, sf_dir, "documents"), Plan(width=2))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -31,6 +37,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,

@@ -35,4 +35,24 @@ UNION ALL
 SELECT doc_id, size, source_size, target, 0::BIGINT FROM ranked WHERE size = 0
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": _MIX}
+_NEAR = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                                      ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets
+), links AS (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+    SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (
+    SELECT u, min(v) AS component_id FROM reached GROUP BY u
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc_id = u
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash": _NEAR, "op2_mix": _MIX}
