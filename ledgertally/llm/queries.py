@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
+from ledgertally.llm.langid import identify
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
@@ -36,9 +37,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op10_langid": op10_langid,
 }
