@@ -12,6 +12,7 @@ from ledgertally.llm.automaton import encoded
 from ledgertally.llm.langid import identify
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
+from ledgertally.llm.perplexity import judged
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
 
@@ -28,6 +29,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > WINDOW)
@@ -44,6 +49,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op10_langid": op10_langid,
