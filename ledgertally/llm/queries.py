@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
+from ledgertally.llm.caps import near_vectors
 from ledgertally.llm.langid import identify
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
@@ -29,6 +30,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
+    "op4_caps": op4_caps,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,

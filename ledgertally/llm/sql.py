@@ -55,4 +55,23 @@ WITH RECURSIVE words AS (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc_id = u
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": _NEAR, "op2_mix": _MIX}
+_VECTORS = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+      AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+    SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (
+    SELECT u, min(v) AS component_id FROM reached GROUP BY u
+), degrees AS (
+    SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON vec_id = least.u LEFT JOIN degrees ON vec_id = degrees.u
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash": _NEAR, "op2_mix": _MIX, "op4_caps": _VECTORS}
