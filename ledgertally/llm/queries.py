@@ -13,6 +13,7 @@ from ledgertally.llm.caps import near_vectors
 from ledgertally.llm.langid import identify
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
+from ledgertally.llm.packing import packed
 from ledgertally.llm.perplexity import judged
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
@@ -47,6 +48,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digest=True)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op9_token_ids": op9_token_ids,
     "op10_langid": op10_langid,
 }
