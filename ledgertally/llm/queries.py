@@ -11,6 +11,7 @@ from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
 from ledgertally.llm.caps import near_vectors
 from ledgertally.llm.langid import identify
+from ledgertally.llm.logbilinear import score
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
 from ledgertally.llm.packing import packed
@@ -31,6 +32,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +64,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
+    "op3_score": op3_score,
     "op4_caps": op4_caps,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
