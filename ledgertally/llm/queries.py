@@ -14,6 +14,7 @@ from ledgertally.llm.langid import identify
 from ledgertally.llm.logbilinear import score
 from ledgertally.llm.minhash import Plan, near_duplicates
 from ledgertally.llm.mixing import mixed_sources
+from ledgertally.llm.ordinal import toxicity
 from ledgertally.llm.packing import packed
 from ledgertally.llm.perplexity import judged
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
@@ -53,6 +54,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digest=True)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
     "op10_langid": op10_langid,
 }

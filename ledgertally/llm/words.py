@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,13 +86,13 @@ class Words:
             return mixed(np.add.reduceat(values, begins) + sizes.astype(np.uint64))
 
 
-def words(column: pa.Array, lower: bool) -> Words:
-    """lower: A-Z count as a-z; other letters stay."""
+def words(column: pa.Array, lower: bool, letters: bool = False) -> Words:
+    """lower: A-Z count as a-z; other letters stay. letters: all ASCII characters but letters separate words, as blanks do."""
     data, offsets = buffer(column)
     if lower:
         data = _LOWER[data]
     outside = np.ones(len(data) + 1, bool)
-    outside[:-1] = _SPACE[data]
+    outside[:-1] = (_NO_LETTER if letters else _SPACE)[data]
     new = np.zeros(len(data) + 1, bool)  # a text begins here
     new[offsets] = True
     before = np.ones(len(data) + 1, bool)
