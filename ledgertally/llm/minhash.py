@@ -4,8 +4,10 @@
    smallest doc_id stands for.
 2. Bands of minima put classes into buckets. In a bucket everything is compared with the smallest member, its head; that alone joins
    large groups of copies, with as many pairs as members.
-3. Members that the links so far leave in different components are compared with each other too, so that no link is lost.
-4. A pair is compared by its minima first, then on the full sets. Links of both passes give the components.
+3. No link may be lost between members that this leaves in different components. Their minima are compared with each other, block by block, which
+   gives groups whose minima agree, across buckets. Within a group the full sets are compared, again block by block. Only links
+   that join components leave a comparison, so as few rows as members come of it, however many pairs it looked at.
+4. A head and a member are compared by their minima first, then on the full sets. Links of both passes give the components.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.llm.components import components
@@ -38,6 +39,7 @@ class Plan:
     rows: int = 5
     agreeing: float = 0.62
     block: int = 256
+    block_bytes: int = 4 << 20
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,36 +137,99 @@ def _confirm(plan: Plan):
     return confirm
 
 
-def _cells(plan: Plan):
-    """Pairs of one cell of a bucket that lie in different components and of which enough minima agree."""
+class _Forest:
+    """Which components of a cell are joined by now."""
+
+    def __init__(self, components: np.ndarray):
+        self.root = components.copy()  # of each row; small numbers
+
+    def join(self, row: int, other: int) -> None:
+        self.root[self.root == self.root[other]] = self.root[row]
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, _Forest]:
+    """Rows of the first block, whether a row is of the other one (of the only one, if there is no other), and components."""
+    block = cell.column("block").to_numpy()
+    first = block == block.min()
+    kinds = np.unique(np.array(cell.column("component").to_pylist()), return_inverse=True)[1]
+    return np.flatnonzero(first), ~first if not first.all() else first, _Forest(kinds)
+
+
+def _minima_cells(plan: Plan):
+    """Pairs of components of which members agree in enough minima; as many as join them."""
 
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint32).reshape(cell.num_rows, -1)
-        block, component = (pc.rank(cell.column(c), tiebreaker="dense").to_numpy() for c in ("block", "component"))
-        ids, least = cell.column("id"), block.min() if len(block) else 0
-        left, right = [], []
-        for row in np.flatnonzero(block == least):  # the other block, or the rest of the same one
-            others = np.flatnonzero(((block != least) if block.max() != least else (np.arange(len(block)) > row)) & (component != component[row]))
-            near = others[(minima[others] == minima[row]).mean(axis=1) >= plan.agreeing]
-            left.append(np.full(len(near), row))
-            right.append(near)
-        u, v = (ids.take(pa.array(np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64))) for rows in (left, right))
-        return pa.table({"u": u, "v": v})
+        rows, side, forest = _sides(cell)
+        found = []
+        for row in rows:
+            others = np.flatnonzero(side & (forest.root != forest.root[row]))
+            for other in others[(minima[others] == minima[row]).mean(axis=1) >= plan.agreeing]:
+                if forest.root[other] != forest.root[row]:
+                    found.append((row, other))
+                    forest.join(row, other)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({end: cell.column("component").take(pa.array(at[:, k])) for k, end in enumerate("uv")})
 
     return compare
 
 
-def _across(members: DataFrame, classes: DataFrame, found: DataFrame, plan: Plan, kind: str) -> DataFrame:
-    """Pairs of a bucket, without its head, that are still in different components: buckets are cut into blocks, each cell compares two."""
+def _set_cells(plan: Plan):
+    """Links between members of different components; as many as join them."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        prints, begins = shingle_sets(cell.column("text"), plan.width)
+        sizes = np.diff(begins)
+        minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint32).reshape(cell.num_rows, -1)
+        rows, side, forest = _sides(cell)
+        found = []
+        for row in rows:
+            own = prints[begins[row] : begins[row + 1]]
+            near = side & (forest.root != forest.root[row]) & (100 * np.minimum(sizes, sizes[row]) >= plan.percent * np.maximum(sizes, sizes[row]))
+            others = np.flatnonzero(near)
+            for other in others[(minima[others] == minima[row]).mean(axis=1) >= plan.agreeing]:
+                if forest.root[other] != forest.root[row]:
+                    theirs = prints[begins[other] : begins[other + 1]]
+                    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                    shared = int((own[at] == theirs).sum())
+                    if 100 * shared >= plan.percent * (len(own) + len(theirs) - shared):
+                        found.append((row, other))
+                        forest.join(row, other)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({end: cell.column("id").take(pa.array(at[:, k])) for k, end in enumerate("uv")})
+
+    return compare
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Rows with `blocks` of their key, once for each cell that compares their block with another or with itself."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("block", "other") * F.col("blocks").cast("long") + F.greatest("block", "other")
+    return placed.withColumn("cell", cell).drop("other", "blocks")
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """Links between members of buckets, heads aside, that are still in different components."""
     rows = members.filter("id <> head").join(found.withColumnRenamed("node", "id"), "id", "left")
     rows = stored(rows.select("key", "id", F.coalesce("component", "id").alias("component")), "rows")
     split = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
     split = stored(split.select("key", F.ceil(F.col("size") / plan.block).cast("int").alias("blocks")), "split")
-    placed = rows.join(split, "key").join(classes.select("id", "minima"), "id").withColumn("block", (F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    return cells.groupBy("key", "cell").applyInArrow(_cells(plan), kind).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    open_rows = stored(rows.join(split, "key"), "open")
+    cells = _in_cells(open_rows.join(classes.select("id", "minima"), "id"))
+    near = cells.groupBy("key", "cell").applyInArrow(_minima_cells(plan), kind)
+    groups = components(stored(near, "near")).select(F.col("node").alias("component"), F.col("component").alias("group"))
+
+    grouped = stored(open_rows.select("id", "component").distinct().join(stored(groups, "groups"), "component"), "grouped")
+    asked = stored(grouped.join(classes.select("id", "print", "minima"), "id"), "asked")
+    wanted = texts.join(stored(asked.select("id", "print"), "prints"), ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+    full = stored(asked.join(wanted, ["id", "print"]).drop("print"), "full")
+    sizes = full.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("rows") / plan.block, F.col("bytes") / plan.block_bytes, F.lit(1))).cast("int")
+    sizes = stored(sizes.select("group", blocks.alias("blocks")), "blocks")
+    return _in_cells(full.join(sizes, "group")).groupBy("group", "cell").applyInArrow(_set_cells(plan), kind)
 
 
 def _links(close: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan, kind: str) -> DataFrame:
@@ -207,9 +272,9 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     links = _links(stored(first, "first"), classes, texts, plan, kind)
     links = stored(links.union(_same_document(numbered, least)), "links-1")
     found = components(links)
-    second = stored(_across(members, classes, found, plan, kind), "second")
+    second = stored(_across(members, classes, texts, found, plan, kind), "second")
     if not second.isEmpty():
-        found = components(links.union(_links(second, classes, texts, plan, kind)))
+        found = components(links.union(second))
 
     of_class = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
     named = signed.drop("minima").join(stored(of_class, "named"), ["low", "high"], "left")
