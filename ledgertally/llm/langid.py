@@ -113,9 +113,9 @@ def _sparse(texts: Sequence[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.
     rows = []
     for row in range(len(texts)):
         parts = [(f[a[row] : a[row + 1]]) for f, a in zip(found, starts, strict=True)]
-        features, at = np.unique(np.concatenate(parts), return_inverse=True)
+        features, at = np.unique(np.concatenate(parts), return_inverse=True)  # a text without letters has its blanks
         weights = np.bincount(at, np.concatenate([np.full(len(p), 1 / max(len(p), 1)) for p in parts]), len(features))
-        rows.append((features, _SCALE * weights * idf[features]))
+        rows.append((features.astype(np.int32), (_SCALE * weights * idf[features]).astype(np.float32)))
     return rows
 
 
@@ -124,9 +124,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def fitted(texts: Sequence[str], labels: Sequence[str], languages: Sequence[str], idf: np.ndarray, fit: Fit) -> Model:
-    """The regression on every text but each fifth, and the temperature on those. The order of texts is the order of learning."""
-    rows, known = _sparse(texts, idf), {name: k for k, name in enumerate(languages)}
+def fitted(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[str], languages: Sequence[str], idf: np.ndarray, fit: Fit) -> Model:
+    """The regression on every row but each fifth, and the temperature on those. The order of rows is the order of learning."""
+    known = {name: k for k, name in enumerate(languages)}
     answers = [known[name] for name in labels]
     z, n = np.zeros((2, (1 << BITS) + 1, len(languages)))  # the last row is the bias, which no penalty holds
 
@@ -138,7 +138,7 @@ def fitted(texts: Sequence[str], labels: Sequence[str], languages: Sequence[str]
     learn = [k for k in range(len(rows)) if k % 5] or list(range(len(rows)))
     for _ in range(fit.epochs):
         for k in learn:
-            features, x = np.append(rows[k][0], free), np.append(rows[k][1], 1.0)
+            features, x = np.append(rows[k][0], free), np.append(rows[k][1], np.float32(1))
             w = weights(features)
             p = _softmax(x @ w)
             p[answers[k]] -= 1
@@ -186,13 +186,13 @@ def train(documents: DataFrame, fit: Fit = Fit()) -> Model | None:
     sample = stored(rows.filter(draw < rate), "sample").repartition(1).sortWithinPartitions(F.xxhash64("text", "doc_id"), "doc_id")
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
-        for batch in batches:
-            texts += batch.column("text").to_pylist()
+        rows, labels = [], []
+        for batch in slices(batches):
+            rows += _sparse(batch.column("text").to_pylist(), idf)
             labels += batch.column("lang").to_pylist()
         out = io.BytesIO()
-        if texts:
-            model = fitted(texts, labels, languages, idf, fit)
+        if rows:
+            model = fitted(rows, labels, languages, idf, fit)
             np.savez_compressed(out, weights=model.weights, bias=model.bias)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 

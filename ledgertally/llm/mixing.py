@@ -65,21 +65,28 @@ def draw(doc_id: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def mixed_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3, seed: str = "mix") -> DataFrame:
-    """Per row: doc_id, size (words), source_size, target (of its source), taken (words the mix takes, repeats counted), copies.
+def mixed_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), limit: int = 3, seed: str = "mix", columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The given columns of each row, size (words), source_size, target (of its source), taken (words the mix takes, repeats counted), copies.
 
     A null or wordless text has size 0 and is taken with nothing. A null source is a source like others, the last by order; a
     null doc_id draws as an empty one. Repeated rows are documents of their own; of rows alike in doc_id and size any may be taken.
-    An empty table gives an empty one. Columns other than doc_id, source and text are not read.
+    An empty table gives an empty one. Only `columns`, doc_id, source and text are read.
     """
     sizes = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = with_targets(weighed(sizes, weights), limit)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = stored(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
 
+    # Other columns come from the documents themselves; texts are counted once more then, which is cheaper than to store them.
+    names = list(columns)
+    carried = F.struct(*(F.col(c) for c in names)).alias("carried")
+    if names == ["doc_id"]:
+        rows = sizes.select("doc_id", "source", "size", carried)
+    else:
+        rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), carried)
     odds = draw(F.col("doc_id"), seed)
     ranked = (
-        sizes.alias("d")
+        rows.alias("d")
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
         .select("d.*", "source_size", "target", "whole", "rest", "full")
         .withColumn("key", F.when(F.col("size") > 0, odds / (1 - odds) / F.col("size")))
@@ -97,4 +104,4 @@ def mixed_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), limi
     running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     close = placed.filter(at_end).withColumn("more", F.col("before") + running - F.col("size") / 2 <= F.col("rest"))
     copies = F.col("whole") + F.col("more").cast("long")
-    return clear.union(close).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return clear.union(close).select("carried.*", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
