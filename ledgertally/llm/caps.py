@@ -6,8 +6,8 @@ of either half is a direction. The scores of a half's words are sorted, so a vec
 trying the others. Several such codes are used, with rotations of their own, since a pair that one code serves badly is an ordinary one for
 the next. Vectors that share a filter are compared in double precision.
 
-Equal vectors are one class in all of this. The threshold is the highest at which a vector at the wanted cosine from a filter's member is itself a member with odds of
-30 %, and a code has as many filters as put a vector into `list_size` of them on average, so a pair at that very cosine shares about a third of those.
+Equal vectors are one class in all of this. The threshold rises with the number of vectors, so that a filter holds less than one unrelated vector on average: else
+chance meetings would grow with the square of that number. Whatever it is, a code has as many filters as make a pair at the wanted cosine share `shared` of them on average.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ class Caps:
 
     cosine: float = 0.9
     codes: int = 8
-    list_size: int = 25
+    shared: float = 7.5
+    meetings: float = 0.5
     seed: int = 11
 
 
@@ -45,28 +46,30 @@ class Code:
     threshold: float
 
 
-def _threshold(size: int, cosine: float) -> tuple[float, float]:
-    """The cosine with a filter above which a vector of so many places belongs to it, and the odds that a random one does."""
+def _threshold(size: int, caps: Caps, vectors: int) -> tuple[float, float, float]:
+    """The cosine with a filter above which a vector of so many places belongs to it, the odds that a random one does, and
+    the odds that one at the wanted cosine from a member does: 10 % at least."""
     s = np.linspace(-1, 1, 4001)[1:-1]
     density = np.exp((size - 3) / 2 * np.log1p(-(s**2)))
     tail = np.cumsum(density[::-1])[::-1] / density.sum()
     side = np.exp((size - 4) / 2 * np.log1p(-(s**2)))  # of the part across, in one place less
     side_tail = np.append(np.cumsum(side[::-1])[::-1] / side.sum(), 0.0)
-    for t in np.arange(0.95, 0.0, -0.01):
+    for t in np.arange(0.95, 0.0, -0.005):
         x = s >= t
-        need = (t - cosine * s[x]) / (np.sqrt(1 - cosine**2) * np.sqrt(1 - s[x] ** 2))
-        both = (density[x] * side_tail[np.searchsorted(s, need)]).sum() / density[x].sum()
-        if both >= 0.3:
-            return float(t), float(tail[x][0])
-    return 0.0, 0.5
+        need = (t - caps.cosine * s[x]) / (np.sqrt(1 - caps.cosine**2) * np.sqrt(1 - s[x] ** 2))
+        both = float((density[x] * side_tail[np.searchsorted(s, need)]).sum() / density[x].sum())
+        odds = float(tail[x][0])
+        if both >= 0.5 or both >= 0.1 and odds * vectors >= caps.meetings:
+            break
+    return float(t), odds, both
 
 
 @lru_cache(maxsize=64)
-def code(places: int, caps: Caps, number: int) -> Code:
-    """One of the codes for vectors of so many places; short ones are padded to 16."""
+def code(places: int, caps: Caps, number: int, vectors: int) -> Code:
+    """One of the codes for so many vectors of so many places; short ones are padded to 16."""
     size = max(16, places + places % 2)
-    threshold, odds = _threshold(size, caps.cosine)
-    count = max(2, int(np.ceil(np.sqrt(caps.list_size / odds))))
+    threshold, odds, both = _threshold(size, caps, vectors)
+    count = max(2, int(np.ceil(np.sqrt(caps.shared / both / odds))))
     rng = np.random.default_rng((caps.seed, size, number))
     rotation, _ = np.linalg.qr(rng.standard_normal((size, size)))
     halves = []
@@ -81,16 +84,15 @@ def decoded(x: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     half = len(code.rotation) // 2
     turned = x @ code.rotation[: x.shape[1]]
     a, b = (turned[:, k * half : (k + 1) * half] @ code.words[k].T for k in range(2))
-    order = np.argsort(-b, axis=1)
-    falling = np.take_along_axis(-b, order, axis=1)
-    rows, filters, count = [], [], len(code.words[0])
+    count, rows, filters = len(code.words[0]), [], []
     for row in range(len(x)):
-        near = np.flatnonzero(a[row] - falling[row, 0] >= code.threshold)
-        upto = np.searchsorted(falling[row], a[row, near] - code.threshold, "right")
-        first = np.repeat(near, upto)
-        place = np.arange(len(first)) - np.repeat(np.cumsum(upto) - upto, upto)
-        filters.append(first * count + order[row, place])
-        rows.append(np.full(len(first), row))
+        near = np.flatnonzero(a[row] >= code.threshold - b[row].max())
+        other = np.flatnonzero(b[row] >= code.threshold - a[row].max())
+        other = other[np.argsort(-b[row, other], kind="stable")]
+        upto = np.searchsorted(-b[row, other], a[row, near] - code.threshold, "right")
+        place = np.arange(int(upto.sum())) - np.repeat(np.cumsum(upto) - upto, upto)
+        filters.append(np.repeat(near, upto) * count + other[place])
+        rows.append(np.full(len(place), row))
     return np.concatenate(rows), np.concatenate(filters)
 
 
@@ -113,17 +115,26 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
-def _listed(caps: Caps):
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a column of vectors' bytes, and where each vector's begin (one more at the end)."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return np.frombuffer(data.tobytes(), np.float64), (at - at[0]) // 8
+
+
+def _listed(caps: Caps, vectors: int):
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, blobs = batch.column("id"), batch.column("places").to_pylist()
-            sizes = np.array([len(b) // 8 for b in blobs], np.int64)
+            if not batch.num_rows:
+                continue
+            ids, (flat, begins) = batch.column("id"), _places(batch.column("places"))
+            sizes = np.diff(begins)
             for size in np.unique(sizes).tolist():
                 of_size = np.flatnonzero(sizes == size)
                 for at in (of_size[k : k + _ROWS] for k in range(0, len(of_size), _ROWS)):
-                    x = np.frombuffer(b"".join([blobs[k] for k in at]), np.float64).reshape(len(at), size)
+                    x = flat[begins[at][:, None] + np.arange(size)]
                     for number in range(caps.codes):
-                        rows, filters = decoded(unit(x), code(size, caps, number))
+                        rows, filters = decoded(unit(x), code(size, caps, number, vectors))
                         keys = [pa.array(np.full(len(rows), size * caps.codes + number), pa.int32()), pa.array(filters, pa.int64()), ids.take(pa.array(at[rows]))]
                         yield pa.RecordBatch.from_arrays(keys, ["code", "filter", "id"])
 
@@ -134,12 +145,13 @@ def _linked(caps: Caps):
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 20_000) for k in range(0, batch.num_rows, 20_000)):
-                blobs = [part.column(c).to_pylist() for c in ("places_u", "places_v")]
-                sizes = np.array([len(b) // 8 for b in blobs[0]])
-                keep = np.zeros(part.num_rows, bool)
+                if not part.num_rows:
+                    continue
+                flat, begins = zip(*(_places(part.column(c)) for c in ("places_u", "places_v")), strict=True)
+                sizes, keep = np.diff(begins[0]), np.zeros(part.num_rows, bool)
                 for size in np.unique(sizes).tolist():
                     at = np.flatnonzero(sizes == size)
-                    a, b = (unit(np.frombuffer(b"".join([x[k] for k in at]), np.float64).reshape(len(at), size)) for x in blobs)
+                    a, b = (unit(f[g[at][:, None] + np.arange(size)]) for f, g in zip(flat, begins, strict=True))
                     keep[at] = np.einsum("ij,ij->i", a, b) >= caps.cosine
                 yield part.select(["u", "v"]).filter(pa.array(keep))
 
@@ -156,7 +168,8 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps()) -> DataFrame:
     rows = stored(vectors.select("vec_id", "embedding").mapInArrow(_valid, f"vec_id {kind}, places binary"), "vectors")
     classes = rows.filter("places is not null").groupBy("places").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = stored(classes, "classes")
-    listed = stored(classes.select("id", "places").mapInArrow(_listed(caps), f"code int, filter bigint, id {kind}"), "listed")
+    vectors_in_all = classes.count()
+    listed = stored(classes.select("id", "places").mapInArrow(_listed(caps, vectors_in_all), f"code int, filter bigint, id {kind}"), "listed")
     other = listed.withColumnRenamed("id", "v")
     pairs = listed.withColumnRenamed("id", "u").join(other, ["code", "filter"]).filter("u < v").select("u", "v").distinct()
     ends = {end: classes.select(F.col("id").alias(end), F.col("places").alias(f"places_{end}")) for end in "uv"}

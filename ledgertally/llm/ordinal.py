@@ -27,13 +27,14 @@ BITS = 18
 @dataclass(frozen=True)
 class Fit:
     """`sample`: labelled documents that the fit takes, half of them toxic if there are as many. `steps_at`: a toxic document of so many telling words or more
-    has a higher grade."""
+    has a higher grade. `least`: documents of the sample that a word must be in."""
 
     sample: int = 8000
     steps: int = 300
     rate: float = 0.3
     l1: float = 1e-4
     telling: float = 1.5
+    least: int = 3
     steps_at: tuple[int, ...] = (2, 4)
 
 
@@ -77,6 +78,7 @@ def fitted(at: np.ndarray, begins: np.ndarray, grade: np.ndarray, fit: Fit) -> M
     """Weights and thresholds by proximal adaptive gradients on all rows."""
     kinds, row = int(grade.max(initial=0)) + 1, np.repeat(np.arange(len(grade)), np.diff(begins))
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
+    rare = np.bincount(at, minlength=1 << BITS) < fit.least  # words of so few documents would only be learned by heart
     shares = np.cumsum(np.bincount(grade, minlength=kinds) + 0.5)[:-1] / (len(grade) + 0.5 * kinds)
     start = np.log(shares / (1 - shares))
     first, gaps = float(start[0]) if kinds > 1 else 0.0, np.log(np.maximum(np.diff(start), 1e-3))
@@ -93,6 +95,7 @@ def fitted(at: np.ndarray, begins: np.ndarray, grade: np.ndarray, fit: Fit) -> M
         p = np.maximum(edge[rows, grade + 1] - edge[rows, grade], 1e-12)
         of_sum = (slopes[rows, grade + 1] - slopes[rows, grade]) / p / len(grade)  # of the loss, for a larger sum
         gradient = np.bincount(at, of_sum[row], 1 << BITS)
+        gradient[rare] = 0
         squares += gradient**2
         step = fit.rate / np.sqrt(squares)
         weights -= step * gradient

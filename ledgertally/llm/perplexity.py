@@ -102,16 +102,18 @@ def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Level:
-    """N-grams of one order: sorted hashes, and for each its log10 probability and log10 back-off weight."""
+    """N-grams of one order: sorted hashes with log10 probabilities, and sorted hashes of their contexts with log10 back-off weights."""
 
     hashes: np.ndarray
     log_p: np.ndarray
+    contexts: np.ndarray
     back_off: np.ndarray
 
-    def find(self, codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        key = _hashes(codes, order)
-        at = np.minimum(np.searchsorted(self.hashes, key), max(len(self.hashes) - 1, 0))
-        return at, (self.hashes[at] == key) if len(self.hashes) else np.zeros(len(key), bool)
+
+def _found(hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is among sorted hashes, and whether it is there."""
+    at = np.minimum(np.searchsorted(hashes, key), max(len(hashes) - 1, 0))
+    return at, (hashes[at] == key) if len(hashes) else np.zeros(len(key), bool)
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -131,7 +133,8 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
         above = per_order[order + 1][0]
         kinds, n = np.unique(above % SYMBOLS**order, return_counts=True)
         per_order[order] = (kinds, n.astype(np.float64))
-    levels, lower = [], None
+    levels: list[Level] = []
+    lower = None
     for order in (1, 2, 3):
         grams, n = per_order[order]
         taken = _discounts(n)[np.minimum(n, 3).astype(int) - 1]
@@ -152,34 +155,22 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
                 lower2 = (dense[:, None] * lower[None, :]).reshape(-1)
                 lower2[grams] = p
                 lower = lower2
-            levels[-1] = Level(levels[-1].hashes, levels[-1].log_p, _back_off(levels[-1].hashes, contexts, gamma, order - 1))
-        key = _hashes(grams, order)
-        by = np.argsort(key)
-        levels.append(Level(key[by], np.log10(p)[by], np.zeros(len(key))))
+        key, context_key = _hashes(grams, order), _hashes(contexts, order - 1)
+        by, by_context = np.argsort(key), np.argsort(context_key)
+        levels.append(Level(key[by], np.log10(p)[by], context_key[by_context], np.log10(gamma)[by_context]))
     return levels
 
 
-def _back_off(hashes: np.ndarray, contexts: np.ndarray, gamma: np.ndarray, order: int) -> np.ndarray:
-    out = np.zeros(len(hashes))
-    key = _hashes(contexts, order)
-    at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
-    hit = hashes[at] == key
-    out[at[hit]] = np.log10(gamma[hit])
-    return out
-
-
 def log_probabilities(levels: list[Level], codes: np.ndarray) -> np.ndarray:
     """log10 of the probability of the last symbol of each trigram after the two before."""
     out, missing = np.zeros(len(codes)), np.arange(len(codes))
     for order in (3, 2, 1):
         level, now = levels[order - 1], codes[missing] % SYMBOLS**order
-        at, hit = level.find(now, order)
+        at, hit = _found(level.hashes, _hashes(now, order))
         out[missing[hit]] += level.log_p[at[hit]]
         missing, now = missing[~hit], now[~hit]
-        if order > 1 and len(missing):  # back off, if the context is known
-            below = levels[order - 2]
-            at, hit = below.find(now // SYMBOLS, order - 1)
-            out[missing[hit]] += below.back_off[at[hit]]
+        at, hit = _found(level.contexts, _hashes(now // SYMBOLS, order - 1))  # back off, if the context is known
+        out[missing[hit]] += level.back_off[at[hit]]
     return out
 
 
