@@ -2,7 +2,7 @@
 
 Features are the distinct words of a text (runs of letters, A-Z as a-z), hashed. The log odds of a grade of at most k are a threshold for k less
 a weighted sum of the features: all thresholds share the weights, and they are in order by construction. Weights are kept sparse by an L1 penalty.
-A document gets the odds of every grade, its expected severity, and whether a grade above 0 is likelier than not.
+The penalty is for the sum of all rows, so it weighs less the larger the sample is. A document gets the odds of every grade, its expected severity, and whether a grade above 0 is likelier than not.
 
 Labels say toxic or not. Grades above 0 come from them: a toxic document's grade follows from how many different words it holds that toxic
 documents of the sample have much oftener than others. The fit takes a bounded sample of labelled documents.
@@ -32,7 +32,7 @@ class Fit:
     sample: int = 8000
     steps: int = 300
     rate: float = 0.3
-    l1: float = 1e-4
+    l1: float = 0.5
     telling: float = 1.5
     least: int = 3
     steps_at: tuple[int, ...] = (2, 4)
@@ -99,7 +99,7 @@ def fitted(at: np.ndarray, begins: np.ndarray, grade: np.ndarray, fit: Fit) -> M
         squares += gradient**2
         step = fit.rate / np.sqrt(squares)
         weights -= step * gradient
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - step * fit.l1, 0)
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - step * fit.l1 / len(grade), 0)
         of_threshold = np.zeros((len(grade), kinds - 1))
         for k in range(kinds - 1):
             of_threshold[:, k] = (-(grade == k).astype(float) + (grade == k + 1)) * slope[:, k] / p / len(grade)
