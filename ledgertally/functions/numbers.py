@@ -42,6 +42,12 @@ def add_up(df: DataFrame, column: str) -> Column:
     return F.sum(column)
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """How many rows have a value, as an aggregate: what a mean divides by."""
+    value = F.coalesce(F.col(column)["whole"].cast("double"), F.col(column)["rest"]) if is_number(df, column) else F.col(column)
+    return F.count(value)
+
+
 def times(df: DataFrame, column: str, factor: Column) -> Column:
     """The value counted ``factor`` times."""
     if is_number(df, column):
@@ -59,7 +65,7 @@ def as_double(df: DataFrame, column: str) -> Column:
 
 
 def double_text(value: Column) -> Column:
-    """Text of a double in the form result files use: ``56596270931.31683``, ``1e+18``, ``0.5``.
+    """Text of a double in the form result files use: ``12345678901.23456``, ``1e+18``, ``0.5``.
 
     The shortest digits that read back as the same double; plain from 1e-4 up to below 1e16, exponent form outside.
     """

@@ -29,11 +29,6 @@ def stripped(text: Column, characters: str) -> Column:
     return F.btrim(text, F.lit(characters))
 
 
-def without(text: Column, characters: str) -> Column:
-    """Remove any of these characters everywhere."""
-    return F.translate(text, characters, "")
-
-
 def json_scalar(column: Column) -> Column:
     """A string or number as JSON text."""
     listed = F.to_json(F.array(column), {"ignoreNullFields": "false"})

@@ -11,6 +11,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,7 @@ from ledgertally.sinks.results import (
 )
 from ledgertally.sources.layouts import BLOCKS, BLOCKS_SCHEMA, CONTRACTS, SCAMS, TRANSACTIONS, Layout
 from ledgertally.sources.lines import read_fields, read_staged, stage_fields
+from ledgertally.sources.results import read_pairs, read_rendered, read_result_csv
 from ledgertally.sources.tables import read_csv, read_registry
 
 LAYOUTS: dict[str, Layout] = {
@@ -44,6 +46,7 @@ class Job:
     titles: tuple[str, ...]
 
 
+# The titles of the published reports.
 JOBS: dict[str, Job] = {
     "monthly-transactions": Job(questions.monthly_transactions, ("transactions",), "pairs", ("Date", "Value")),
     "monthly-value": Job(questions.monthly_value, ("transactions",), "rendered", ("Date", "Value")),
@@ -81,15 +84,15 @@ def read_input(spark: SparkSession, name: str, path: str, staged: bool = False,
 
 
 def write_result(result: DataFrame, form: str, path: str) -> None:
-    """The published form of a result: an array of pairs, of pairs with text values, of joined texts, or a CSV."""
+    """The published form of a result, in one file: an array of pairs, of pairs with text values, of joined texts, or a CSV."""
     if form == "csv":
         write_csv(result, path, single=True)
     elif form == "rendered":
-        write_rendered_array(result, path)
+        write_rendered_array(result, path, single=True)
     elif form == "lines":
         write_json(result, path)
     else:
-        write_json_array(result, path, value_as_text=form == "text-pairs")
+        write_json_array(result, path, value_as_text=form == "text-pairs", single=True)
 
 
 def run_job(
@@ -100,15 +103,28 @@ def run_job(
     form: str | None = None,
     staged: bool = False,
     infer: bool = False,
+    limit: int | None = None,
 ) -> str:
-    """Answer one question and give the folder the result is in."""
+    """Answer one question and give the folder the result is in. ``limit`` keeps the first months of a month question."""
     job = JOBS[name]
     frames = [read_input(spark, key, paths[key], staged, infer) for key in job.inputs]
     folder = run_folder(out, name)
-    write_result(job.question(*frames), form or job.form, folder)
+    result = job.question(*frames) if limit is None else job.question(*frames, limit=limit)
+    write_result(result, form or job.form, folder)
     return folder
 
 
+def read_job_result(spark: SparkSession, name: str, folder: str, form: str | None = None) -> DataFrame:
+    """The rows of a job's result, as texts under the job's titles."""
+    job = JOBS[name]
+    form = form or job.form
+    if form == "csv":
+        return read_result_csv(spark, folder, job.titles)
+    if form == "lines":
+        return spark.read.json(folder)
+    return (read_rendered if form == "rendered" else read_pairs)(spark, folder, job.titles)
+
+
 def convert_result(spark: SparkSession, name: str, source: str, target: str) -> None:
     """The JSON result of a job as one CSV with that job's titles."""
     job = JOBS[name]
@@ -126,15 +142,18 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--infer", action="store_true", help="infer the types of the block table")
     parser.add_argument("--result", help="convert: the JSON result to read")
     parser.add_argument("--of", choices=list(JOBS), help="convert: the job it came from")
+    parser.add_argument("--limit", type=int, help="month questions: keep only the first months")
     parser.add_argument("--preview", type=int, default=0, help="show that many rows of the result")
     options = parser.parse_args(arguments)
     paths = {name: getattr(options, name) for name in [*LAYOUTS, "registry", "block_table"] if getattr(options, name)}
     spark = SparkSession.builder.appName(f"ledgertally {options.job}").getOrCreate()
 
     if options.job == "stage":
+        other = [name for name in paths if name not in LAYOUTS]
+        if other or not paths:
+            parser.error("stage needs text dumps: " + ", ".join(f"--{name}" for name in LAYOUTS) + ("; not " + ", ".join(other) if other else ""))
         for name, path in paths.items():
-            if name in LAYOUTS:
-                stage_fields(read_fields(spark, path, LAYOUTS[name]), f"{options.out.rstrip('/')}/{name}")
+            stage_fields(read_fields(spark, path, LAYOUTS[name]), f"{options.out.rstrip('/')}/{name}")
         return
     if options.job == "convert":
         if not options.result or not options.of:
@@ -144,10 +163,13 @@ def main(arguments: Sequence[str] | None = None) -> None:
     missing = [name for name in JOBS[options.job].inputs if name not in paths]
     if missing:
         parser.error(f"{options.job} needs " + ", ".join("--" + name.replace("_", "-") for name in missing))
-    folder = run_job(spark, options.job, paths, options.out, options.form, options.staged, options.infer)
+    months = "limit" in signature(JOBS[options.job].question).parameters
+    if options.limit is not None and not months:
+        parser.error(f"{options.job} has no months to limit")
+    folder = run_job(spark, options.job, paths, options.out, options.form, options.staged, options.infer, options.limit)
     print(folder)
     if options.preview:
-        preview(spark.read.text(folder), options.preview)
+        preview(read_job_result(spark, options.job, folder, options.form), options.preview)
 
 
 if __name__ == "__main__":

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgertally.functions.numbers import add_up, as_double, is_number, times
+from ledgertally.functions.numbers import add_up, as_double, is_number, present, times
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
@@ -78,13 +78,13 @@ def listed_totals(
 ) -> DataFrame:
     """Totals of the facts per listed key, ``also`` and attributes.
 
-    Gives ``key, *also, *attributes, *values, rows, copies``: values and ``rows`` over the facts once, and how often the
-    list has that row.
+    Gives ``key, *also, *attributes, *values, *values_rows, rows, copies``: values, rows that have each of them, and ``rows`` over the
+    facts once, and how often the list has that row.
     """
     key, attributes = listed.key, listed.attributes
-    columns = [key, *also, *attributes, *values, "rows", "copies"]
+    columns = [key, *also, *attributes, *values, *[f"{value}_rows" for value in values], "rows", "copies"]
     facts = facts.select(key, *also, *values)
-    sums = [add_up(facts, value).alias(value) for value in values]
+    sums = _sums(facts, values)
     if listed.small and not attributes:
         joined = facts.join(F.broadcast(listed.rows), key, "inner")
         return joined.groupBy(key, *also, "copies").agg(*sums, F.count("*").alias("rows")).select(*columns)
@@ -124,24 +124,28 @@ def listed_sums(
 ) -> DataFrame:
     """Sums over the joined rows, every mention counted, grouped by columns of the facts or attributes of the list.
 
-    Gives ``*by, *values, rows``; the values as doubles.
+    Gives ``*by, *values, *values_rows, rows``; the values as doubles, ``value_rows`` without the rows whose value is null.
     """
     also = [name for name in by if name not in listed.attributes and name != listed.key]
     if listed.small and listed.fan_out <= direct_fan_out:
         joined = facts.select(listed.key, *also, *values).join(F.broadcast(listed.rows), listed.key, "inner")
-        sums = [add_up(joined, value).alias(value) for value in values]
-        totals = joined.groupBy(*by, "copies").agg(*sums, F.count("*").alias("rows"))
+        totals = joined.groupBy(*by, "copies").agg(*_sums(joined, values), F.count("*").alias("rows"))
     else:
         totals = listed_totals(facts, listed, values, also, heavy)
+    counts = [*[f"{value}_rows" for value in values], "rows"]
     weighted = totals.select(
         *by,
         *[times(totals, value, F.col("copies")).alias(value) for value in values],
-        (F.col("rows") * F.col("copies")).alias("rows"),
+        *[(F.col(count) * F.col("copies")).alias(count) for count in counts],
     )
     summed = weighted.groupBy(*by).agg(
-        *[add_up(weighted, value).alias(value) for value in values], F.sum("rows").alias("rows")
+        *[add_up(weighted, value).alias(value) for value in values], *[F.sum(count).alias(count) for count in counts]
     )
-    return summed.select(*by, *[as_double(summed, value).alias(value) for value in values], "rows")
+    return summed.select(*by, *[as_double(summed, value).alias(value) for value in values], *counts)
+
+
+def _sums(df: DataFrame, values: Sequence[str]) -> list[Column]:
+    return [f(df, value).alias(f"{value}{end}") for f, end in ((add_up, ""), (present, "_rows")) for value in values]
 
 
 def top_listed(totals: DataFrame, keys: Sequence[str], value: str, k: int = 10) -> DataFrame:

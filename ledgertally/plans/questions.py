@@ -25,8 +25,7 @@ from ledgertally.operators.transfers import self_pairs
 from ledgertally.sources.layouts import DROPPABLE_BLOCK_COLUMNS
 from ledgertally.sources.lines import well_formed, without_header
 
-# How many rows the published results keep.
-MONTH_ROWS = 100
+# How many rows the published top lists keep.
 TOP_ROWS = 10
 TOP_SCAMS = 15
 BAD_SIZE_KEY = "0"
@@ -36,7 +35,7 @@ TIME = "block_timestamp"
 
 
 def monthly_transactions(
-    transactions: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+    transactions: DataFrame, chronological: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Transactions per month."""
     valid = well_formed(transactions, ints=[TIME])
@@ -44,7 +43,7 @@ def monthly_transactions(
 
 
 def monthly_value(
-    transactions: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+    transactions: DataFrame, chronological: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Mean transaction value per month."""
     valid = well_formed(transactions, ints=[TIME], floats=["value"])
@@ -77,7 +76,7 @@ def top_miners(blocks: DataFrame, k: int = TOP_ROWS) -> DataFrame:
 
 
 def monthly_gas_price(
-    transactions: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+    transactions: DataFrame, chronological: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Mean gas price per month."""
     valid = well_formed(transactions, ints=[TIME], floats=["gas_price"])
@@ -86,13 +85,13 @@ def monthly_gas_price(
 
 
 def monthly_contract_gas(
-    transactions: DataFrame, contracts: DataFrame, chronological: bool = False, limit: int | None = MONTH_ROWS
+    transactions: DataFrame, contracts: DataFrame, chronological: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Mean gas per month over the calls of contracts."""
     valid = well_formed(transactions, ints=[TIME], floats=["gas_price", "gas"])
     calls = with_month(valid.select(TIME, "to_address", number(F.col("gas")).alias("gas")), TIME)
     sums = listed_sums(calls, key_list(contracts, "to_address", "address"), [MONTH], ["gas"])
-    averages = sums.select(labelled(sums), (F.col("gas") / F.col("rows")).alias("average"))
+    averages = sums.select(labelled(sums), (F.col("gas") / F.col("gas_rows")).alias("average"))
     return in_month_order(averages, chronological, limit)
 
 

@@ -21,6 +21,7 @@ from ledgertally.operators.ranking import sum_top_k, top_k
 from ledgertally.operators.registry import registry_addresses
 from ledgertally.operators.storage import column_bytes, column_shares
 from ledgertally.operators.transfers import self_pairs
+from ledgertally.jobs import read_job_result, run_job
 from ledgertally.plans import ledger_lines as lines
 from ledgertally.plans import questions
 from ledgertally.plans.ledger_lines import table
@@ -58,7 +59,13 @@ def _small_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_count(spark: SparkSession, folder: str) -> DataFrame:
-    return in_month_order(count_by_month(table(spark, folder, "orders"), "o_orderdate", "orders"), limit=100)
+    return in_month_order(count_by_month(table(spark, folder, "orders"), "o_orderdate", "orders"))
+
+
+def first_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten months of the counts, by time."""
+    counts = count_by_month(table(spark, folder, "orders"), "o_orderdate", "orders")
+    return in_month_order(counts, chronological=True, limit=10)
 
 
 def monthly_avg(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +75,7 @@ def monthly_avg(spark: SparkSession, folder: str) -> DataFrame:
 def monthly_avg_sorted(spark: SparkSession, folder: str) -> DataFrame:
     items = _money(_lineitem(spark, folder, "l_shipdate", "l_extendedprice"), "l_extendedprice")
     averages = average_by_month(items, "l_shipdate", "l_extendedprice")
-    return in_month_order(averages, chronological=True, limit=100)
+    return in_month_order(averages, chronological=True)
 
 
 def epoch_month(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +102,7 @@ def joined_monthly_avg(spark: SparkSession, folder: str) -> DataFrame:
     items = _money(_lineitem(spark, folder, "l_partkey", "l_shipdate", "l_quantity"), "l_quantity")
     listed = key_list(_small_parts(spark, folder), "l_partkey", "p_partkey")
     sums = listed_sums(with_month(items, "l_shipdate"), listed, [MONTH], ["l_quantity"])
-    return in_month_order(sums.select(labelled(sums), (F.col("l_quantity") / F.col("rows")).alias("average")))
+    return in_month_order(sums.select(labelled(sums), (F.col("l_quantity") / F.col("l_quantity_rows")).alias("average")))
 
 
 def topk_composite(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,6 +270,22 @@ def block_csv(spark: SparkSession, folder: str) -> DataFrame:
     return questions.block_column_shares(read_csv(spark, path, BLOCKS_SCHEMA))
 
 
+def block_csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with types inferred from the files."""
+    path = scratch_folder(spark, "blocks")
+    write_csv(lines.block_table(spark, folder), path)
+    return questions.block_column_shares(read_csv(spark, path))
+
+
+def job_result(spark: SparkSession, folder: str) -> DataFrame:
+    """A job as a user runs it, on text files, and its result read from the folder of the run."""
+    base = scratch_folder(spark, "job")
+    lines.transaction_lines(spark, folder).write.text(f"{base}/dump")
+    found = run_job(spark, "monthly-transactions", {"transactions": f"{base}/dump"}, f"{base}/results")
+    back = read_job_result(spark, "monthly-transactions", found)
+    return back.select(F.col("Date").alias("month"), F.col("Value").cast("bigint").alias("transactions"))
+
+
 def rendered_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Orders per month as an array of joined texts, read back as two columns."""
     path = scratch_folder(spark, "rendered")
@@ -346,6 +369,7 @@ def ledger_block_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_count": monthly_count,
+    "first_months": first_months,
     "monthly_avg": monthly_avg,
     "monthly_avg_sorted": monthly_avg_sorted,
     "epoch_month": epoch_month,
@@ -369,6 +393,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_files": text_files,
     "registry_file": registry_file,
     "block_csv": block_csv,
+    "block_csv_inferred": block_csv_inferred,
+    "job_result": job_result,
     "rendered_roundtrip": rendered_roundtrip,
     "report_roundtrip": report_roundtrip,
     "preview": preview,

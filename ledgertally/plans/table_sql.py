@@ -101,21 +101,23 @@ MINER_SIZES = f"""SELECT CASE WHEN {BAD_SIZE} THEN '0' ELSE o_custkey::varchar E
   GROUP BY 1"""
 MONTHLY_VALUE = f"""WITH {TX}
   SELECT {MONTH.format('l_shipdate')} AS month, ({VALUE_SUM}) / count(*) AS average
-  FROM tx WHERE int_time AND float_value GROUP BY 1 ORDER BY 1 LIMIT 100"""
+  FROM tx WHERE int_time AND float_value GROUP BY 1 ORDER BY 1"""
 
 GAS_PRICE = f"""WITH {TX}
   SELECT {MONTH.format('l_shipdate')} AS month,
          sum(round(l_discount * 100)::bigint * 1000000000)::varchar::double / count(*) AS average
-  FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1 LIMIT 100"""
+  FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1"""
 
 
 ORACLE_SQL: dict[str, str] = {
     "monthly_count": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
-        FROM orders GROUP BY 1 ORDER BY 1 LIMIT 100""",
+        FROM orders GROUP BY 1 ORDER BY 1""",
+    "first_months": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
+        FROM orders GROUP BY 1 ORDER BY min(o_orderdate) LIMIT 10""",
     "monthly_avg": f"""SELECT {MONTH.format('o_orderdate')} AS month, {_mean('o_totalprice')} AS average
         FROM orders GROUP BY 1""",
     "monthly_avg_sorted": f"""SELECT {MONTH.format('l_shipdate')} AS month, {_mean('l_extendedprice')} AS average
-        FROM lineitem GROUP BY 1 ORDER BY min(l_shipdate) LIMIT 100""",
+        FROM lineitem GROUP BY 1 ORDER BY min(l_shipdate)""",
     "epoch_month": f"""SELECT {DASHED.format('make_timestamp(l_orderkey * 10000 * 1000000)')} AS month, count(*) AS n
         FROM lineitem GROUP BY 1""",
     "topk_sum_join": """SELECT l_partkey, sum(l_extendedprice::decimal(18,2))::decimal(28,2) AS total
@@ -167,6 +169,9 @@ ORACLE_SQL: dict[str, str] = {
     "registry_file": f"""WITH {REGISTRY}
         SELECT category, 'Active' AS status, count(*) AS addresses FROM registry GROUP BY 1""",
     "block_csv": _column_shares("orders", BLOCK_COLUMNS),
+    "block_csv_inferred": _column_shares("orders", BLOCK_COLUMNS),
+    "job_result": f"""WITH {TX}
+        SELECT {MONTH.format('l_shipdate')} AS month, count(*) AS transactions FROM tx WHERE int_time GROUP BY 1""",
     "rendered_roundtrip": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
         FROM orders GROUP BY 1""",
     "report_roundtrip": """SELECT l_suppkey AS supplier, sum(l_quantity::bigint)::bigint AS quantity
@@ -174,7 +179,7 @@ ORACLE_SQL: dict[str, str] = {
     "preview": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10",
     "ledger_monthly_transactions": f"""WITH {TX}
         SELECT {MONTH.format('l_shipdate')} AS month, count(*) AS transactions
-        FROM tx WHERE int_time GROUP BY 1 ORDER BY 1 LIMIT 100""",
+        FROM tx WHERE int_time GROUP BY 1 ORDER BY 1""",
     "ledger_monthly_value": MONTHLY_VALUE,
     "ledger_top_contracts": f"""WITH {TX}, {CONTRACTS}
         SELECT address, units::varchar || '0000000000000' AS value
@@ -187,7 +192,7 @@ ORACLE_SQL: dict[str, str] = {
     "ledger_contract_gas": f"""WITH {TX}, {CONTRACTS}
         SELECT {MONTH.format('l_shipdate')} AS month, sum(l_quantity::bigint)::varchar::double / count(*) AS average
         FROM tx JOIN contracts ON to_address = address
-        WHERE int_time AND float_price AND float_gas GROUP BY 1 ORDER BY 1 LIMIT 100""",
+        WHERE int_time AND float_price AND float_gas GROUP BY 1 ORDER BY 1""",
     "ledger_top_scams": f"""WITH {TX}, {SCAMS}
         SELECT id, category, {VALUE_SUM} AS total FROM tx JOIN scams ON to_address = address
         WHERE int_time AND float_value GROUP BY 1, 2 ORDER BY total DESC, id, category LIMIT 15""",

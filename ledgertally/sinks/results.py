@@ -1,22 +1,21 @@
 """Results as JSON or CSV.
 
-A result of any size is written by all tasks at once (``write_json``, ``write_csv``). The single-file forms are for
-reports — top-k lists, a row per month — and refuse, rather than cut, a result that outgrows ``MAX_ROWS``.
+Every form is written by all tasks at once, a file for each, and holds a result of any size. ``single`` asks for one file instead, which one task
+then streams: for reports, such as top-k lists or a row per month.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgertally.functions.numbers import double_text
 from ledgertally.functions.texts import joined, json_scalar
 from ledgertally.sources.results import read_pairs, read_rendered
 
-MAX_ROWS = 100_000
-
 # Fixed value: the time stamp in the name of a run's folder (no colons, which paths cannot hold).
 RUN_STAMP = "%d-%m-%Y_%H_%M_%S"
 
@@ -33,20 +32,18 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with header; one file for a report, one per task otherwise."""
-    if single:
-        df = _report(df)
-    df.write.mode("errorifexists").csv(path, header=True)
+    (df.coalesce(1) if single else df).write.mode("errorifexists").csv(path, header=True)
 
 
-def write_json_array(df: DataFrame, path: str, value_as_text: bool = False) -> None:
-    """``[[k, v], …]``, or ``[[[k1, k2], v], …]`` when there are several key columns; the value is the last column."""
+def write_json_array(df: DataFrame, path: str, value_as_text: bool = False, single: bool = False) -> None:
+    """A JSON array in each file: ``[[k, v], …]``, or ``[[[k1, k2], v], …]`` when there are several key columns; the value is the last column."""
     *keys, value = df.columns
-    _write_array(df, _pair(df, keys, value, value_as_text), path)
+    _write_array(df, _pair(df, keys, value, value_as_text), path, single)
 
 
-def write_rendered_array(df: DataFrame, path: str, separator: str = ",") -> None:
-    """``["k,v", …]``."""
-    _write_array(df, json_scalar(rendered(df, separator)), path)
+def write_rendered_array(df: DataFrame, path: str, separator: str = ",", single: bool = False) -> None:
+    """A JSON array in each file: ``["k,v", …]``."""
+    _write_array(df, json_scalar(rendered(df, separator)), path, single)
 
 
 def rendered(df: DataFrame, separator: str = ",") -> Column:
@@ -88,19 +85,20 @@ def _pair(df: DataFrame, keys: Sequence[str], value: str, value_as_text: bool) -
     return F.concat(F.lit("["), key, F.lit(", "), _scalar(df, value, value_as_text), F.lit("]"))
 
 
-def _report(df: DataFrame) -> DataFrame:
-    """One partition of at most ``MAX_ROWS`` rows; more of them is an error when the report is written."""
-    numbered = df.limit(MAX_ROWS + 1).coalesce(1).withColumn("_row", F.monotonically_increasing_id())
-    allowed = F.when(F.col("_row") < MAX_ROWS, True).otherwise(_too_large())
-    return numbered.where(allowed).drop("_row")
-
-
-def _too_large() -> Column:
-    return F.raise_error(F.lit(f"a single-file report holds at most {MAX_ROWS} rows: use write_json or write_csv"))
+def _array_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of a file as the lines of one JSON array: a bracket, an item behind a blank, the others behind commas, a bracket."""
+    mark = " "
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    for batch in batches:
+        lines = []
+        for item in batch.column("item").to_pylist():
+            lines.append(mark + item)
+            mark = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
 
-def _write_array(df: DataFrame, item: Column, path: str) -> None:
-    items = df.select(item.alias("item")).limit(MAX_ROWS + 1).agg(F.collect_list("item").alias("items"))
-    body = F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]"))
-    document = items.select(F.when(F.size("items") <= MAX_ROWS, body).otherwise(_too_large()).alias("value"))
-    document.write.mode("errorifexists").text(path)
+def _write_array(df: DataFrame, item: Column, path: str, single: bool) -> None:
+    items = df.select(item.alias("item"))
+    lines = (items.coalesce(1) if single else items).mapInArrow(_array_lines, "value string")
+    lines.write.mode("errorifexists").text(path)

@@ -58,4 +58,8 @@ def stage_fields(fields: DataFrame, path: str) -> None:
 
 
 def read_staged(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    return spark.read.schema(", ".join(f"{name} string" for name in layout.columns)).parquet(path)
+    """Staged fields; an error if the files hold other columns than the layout's."""
+    staged = spark.read.parquet(path)
+    if set(staged.columns) != set(layout.columns):
+        raise ValueError(f"{path} holds {sorted(staged.columns)}, not {sorted(layout.columns)}")
+    return staged.select(*layout.columns)

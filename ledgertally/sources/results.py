@@ -1,4 +1,4 @@
-"""Result files read back as tables. Result files are small by construction (see the sinks)."""
+"""Result files read back as tables, line by line, however large they are."""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from ledgertally.functions.texts import stripped
 
 
 def _items(spark: SparkSession, path: str, item_type: str) -> DataFrame:
-    documents = spark.read.text(path, wholetext=True)
-    return documents.select(F.explode(F.from_json("value", f"array<{item_type}>", {"mode": "FAILFAST"})).alias("item"))
+    """Items of JSON arrays: one on each line behind a blank or a comma, as the sinks write them, or whole arrays on a line."""
+    lines = spark.read.text(path).where(~F.col("value").isin("[", "]", ""))
+    one = F.substring("value", 1, 1).isin(" ", ",")
+    whole = F.when(one, F.concat(F.lit("["), F.substr("value", F.lit(2)), F.lit("]"))).otherwise(F.col("value"))
+    return lines.select(F.explode(F.from_json(whole, f"array<{item_type}>", {"mode": "FAILFAST"})).alias("item"))
 
 
 def read_pairs(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

@@ -1,19 +1,20 @@
-"""Typed CSV, the nested scam registry, literal rows."""
+"""Typed CSV, the nested scam registry."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ledgertally.sources.layouts import REGISTRY_SCHEMA
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header line. Without a schema the types are inferred, which reads the files one more time."""
+    """CSV with a header line. Without a schema the types are inferred, which reads the files one more time.
+
+    With one, the header has to name its columns in its order, and a cell of another type stops the job.
+    """
     if schema is None:
         return spark.read.csv(path, header=True, inferSchema=True)
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
 
 
 def read_registry(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -23,8 +24,3 @@ def read_registry(spark: SparkSession, path: str | list[str]) -> DataFrame:
     stops the job: a registry that silently reads as empty would give an empty answer.
     """
     return spark.read.schema(REGISTRY_SCHEMA).json(path, mode="FAILFAST")
-
-
-def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
-    """A small table written out in the program, bound to the schema by position."""
-    return spark.createDataFrame(list(rows), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgertally.functions.checks import is_float, is_int
 from ledgertally.functions.months import epoch_month, month_label
 from ledgertally.functions.numbers import add_up, as_double, double_text, exact_int, number
-from ledgertally.functions.texts import hex_bytes, joined, json_scalar, stripped, text_length, without
+from ledgertally.functions.texts import hex_bytes, joined, json_scalar, stripped, text_length
 from ledgertally.operators.monthly import with_month
 
 
@@ -117,7 +117,7 @@ def test_double_text(spark):
     chosen = random.Random(3)
     values = [chosen.uniform(-1, 1) * 10 ** chosen.randrange(-12, 30) for _ in range(3000)]
     values += [chosen.uniform(1e-4, 1e-3) for _ in range(300)]
-    values += [0.0, 1.0, 1e15, 1e16, 1e18, 56596270931.31683, 3.733481101982518e18, 1e-4, 1e-5, 0.5, 100.0, 2.5e100]
+    values += [0.0, 1.0, 1e15, 1e16, 1e18, 12345678901.23456, 4.321987654321987e18, 1e-4, 1e-5, 0.5, 100.0, 2.5e100]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     texts = [row[0] for row in frame.select(double_text(F.col("v"))).collect()]
     assert [float(text) for text in texts] == values
@@ -130,14 +130,13 @@ def test_texts(spark):
     frame = spark.createDataFrame([('["a,b"]', 12.5, None)], "t string, d double, n string")
     row = frame.select(
         stripped(F.col("t"), '[]"'),
-        without(F.col("t"), '"'),
         joined(F.col("t"), F.col("d").cast("string")),
         text_length(F.col("d")),
         json_scalar(F.lit('say "é"\n')),
         json_scalar(F.lit(5)),
         json_scalar(F.col("n")),
     ).first()
-    assert list(row) == ["a,b", "[a,b]", '["a,b"],12.5', 4, '"say \\"é\\"\\n"', "5", "null"]
+    assert list(row) == ["a,b", '["a,b"],12.5', 4, '"say \\"é\\"\\n"', "5", "null"]
 
 
 def test_hex_bytes(spark):

@@ -158,3 +158,12 @@ def test_registry(spark):
         ("1", "Active", "Phishing", "b"),
         ("3", "Offline", "Fake ICO", "a"),
     ]
+
+
+def test_means_leave_out_null_values(spark):
+    facts = spark.createDataFrame([("a", 1, 10.0), ("a", 1, None), ("b", 1, None), ("a", 2, 4.0)], "k string, m int, v double")
+    for attributes in ([], ["x"]):
+        listed = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p")], "k string, x string")
+        for fan_out in (16, 0):
+            sums = listed_sums(facts, key_list(listed, "k", "k", attributes), ["m"], ["v"], direct_fan_out=fan_out).collect()
+            assert sorted((r.m, r.v / r.v_rows, r.rows) for r in sums) == [(1, 10.0, 5), (2, 4.0, 2)]

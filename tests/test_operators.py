@@ -9,7 +9,6 @@ from ledgertally.operators.monthly import average_by_month, count_by_month, in_m
 from ledgertally.operators.ranking import sum_by, sum_top_k, top_k
 from ledgertally.operators.storage import column_bytes, column_shares
 from ledgertally.operators.transfers import self_pairs
-from ledgertally.sources.tables import literal_rows
 
 JANUARY_2016, FEBRUARY_2016, JANUARY_2017 = 1452000000, 1455000000, 1484000000
 
@@ -81,17 +80,9 @@ def test_shares_of_nothing(spark):
     assert column_shares(frame).collect() == [("h", 0.0, None)]
 
 
-def test_published_arithmetic():
-    """Sizes known for 7,000,001 rows: 66 characters are 32 bytes each, 514 characters are 256."""
-    rows = 7_000_001
-    assert (66 - 2) * 4 / 8 * rows == 224_000_032.0
-    assert (514 - 2) * 4 / 8 * rows == 1_792_000_256.0
-
-
-def test_literal_rows_are_bound_by_position(spark):
-    frame = literal_rows(spark, [("logs_bloom", 1.0)], "column_name string, size_bytes double")
-    assert frame.collect() == [("logs_bloom", 1.0)]
-    assert frame.columns == ["column_name", "size_bytes"]
+def test_hex_texts_take_half_a_byte_for_each_character_behind_the_prefix(spark):
+    frame = spark.createDataFrame([("0x" + "a" * 64, "0x" + "b" * 512, "")] * 3, "hash string, bloom string, nothing string")
+    assert {r.column_name: r.size_bytes for r in column_bytes(frame, ["hash", "bloom", "nothing"]).collect()} == {"hash": 3 * 32.0, "bloom": 3 * 256.0, "nothing": -3.0}
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 16])

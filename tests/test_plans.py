@@ -6,22 +6,22 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from ledgertally.plans.table_queries import QUERIES
 
 TOP_K = ["topk_sum_join", "topk_sum", "topk_composite", "self_pair_topk", "ledger_top_contracts", "ledger_top_miners",
-         "ledger_top_scams", "ledger_self_transfers", "preview", "monthly_count", "ledger_gas_price"]
+         "ledger_top_scams", "ledger_self_transfers", "preview", "first_months"]
 
 
 @pytest.fixture(scope="module")
 def plans(spark, tables):
-    return {name: query(spark, tables)._jdf.queryExecution().toString() for name, query in queries().items()}
+    return {name: query(spark, tables)._jdf.queryExecution().toString() for name, query in QUERIES.items()}
 
 
 def physical(plan):
     return plan[plan.index("== Physical Plan ==") :]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(plans, name):
     plan = physical(plans[name])
     for node in ["Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "RDDScan", "Window"]:

@@ -158,12 +158,49 @@ def test_command_line(spark, paths, tmp_path, capsys):
     main(["top-miners", "--blocks", paths["blocks"], "--out", str(tmp_path), "--preview", "5"])
     folder = capsys.readouterr().out.splitlines()[0]
     assert json.loads(result_text(folder)) == EXPECTED["top-miners"]
+    main(["top-miners", "--blocks", paths["blocks"], "--out", str(tmp_path / "again"), "--preview", "2"])
+    shown = [line for line in capsys.readouterr().out.splitlines() if line.startswith("|")]
+    assert [cell.strip() for cell in shown[0].strip("|").split("|")] == ["Miner", "Size"] and len(shown) == 3
     main(["convert", "--result", folder, "--of", "top-miners", "--out", str(tmp_path / "csv")])
     assert result_text(tmp_path / "csv") == "Miner,Size\n0xm2,700\n0xm1,500\n0,1\n"
     with pytest.raises(SystemExit):
         main(["top-contracts", "--transactions", paths["transactions"], "--out", str(tmp_path)])
 
 
+def test_month_questions_keep_every_month(spark, tmp_path):
+    times = [1439596800 + k * 2_629_800 for k in range(137)]
+    (tmp_path / "t.csv").write_text("\n".join(transaction(time=str(t)) for t in times))
+    (tmp_path / "c.csv").write_text("0xc1,0x,,f,f,1")
+    given = {"transactions": str(tmp_path / "t.csv"), "contracts": str(tmp_path / "c.csv")}
+    for name in ["monthly-transactions", "monthly-value", "monthly-gas-price", "monthly-contract-gas"]:
+        assert len(json.loads(result_text(run_job(spark, name, given, str(tmp_path / "all"))))) == 137
+        assert len(json.loads(result_text(run_job(spark, name, given, str(tmp_path / "few"), limit=12)))) == 12
+
+
+def test_wrong_inputs_are_refused(spark, paths, tmp_path):
+    main(["stage", "--contracts", paths["contracts"], "--out", str(tmp_path / "staged")])
+    with pytest.raises(ValueError, match="holds"):
+        read_input(spark, "transactions", str(tmp_path / "staged" / "contracts"), staged=True)
+    for wrong in [[], ["--registry", paths["registry"]]]:
+        with pytest.raises(SystemExit):
+            main(["stage", *wrong, "--out", str(tmp_path / "none")])
+    with pytest.raises(SystemExit):
+        main(["top-miners", "--blocks", paths["blocks"], "--limit", "3", "--out", str(tmp_path)])
+
+
+def test_block_tables_with_another_header_or_a_bad_cell_are_errors(spark, tmp_path):
+    names, cells = BLOCKS_SCHEMA.names, ["1"] * len(BLOCKS_SCHEMA.names)
+    swapped = list(names)
+    a, b = names.index("hash"), names.index("miner")
+    swapped[a], swapped[b] = swapped[b], swapped[a]
+    bad = list(cells)
+    bad[names.index("size")] = "12345x"
+    for name, header, row in [("swapped", swapped, cells), ("bad", names, bad)]:
+        (tmp_path / name).write_text(",".join(header) + "\n" + ",".join(row) + "\n")
+        with pytest.raises(Exception):
+            questions.block_column_shares(read_input(spark, "block_table", str(tmp_path / name))).collect()
+
+
 def test_every_json_result_converts(spark, paths, tmp_path):
     for name in [*EXPECTED, "monthly-value"]:
         folder = run_job(spark, name, paths, str(tmp_path / "results"))

@@ -23,50 +23,50 @@ def folder(tmp_path):
 
 
 def test_pairs(spark, folder):
-    rows = [('0x"a', Decimal("84155363699941767867374641")), ("0xb", Decimal(5))]
-    results.write_json_array(spark.createDataFrame(rows, "a string, v decimal(38,0)"), folder)
+    rows = [('0x"a', Decimal("31415926535897932384626433")), ("0xb", Decimal(5))]
+    results.write_json_array(spark.createDataFrame(rows, "a string, v decimal(38,0)"), folder, single=True)
     text = written(folder)
-    assert text == '[["0x\\"a", 84155363699941767867374641], ["0xb", 5]]\n'
-    assert json.loads(text) == [['0x"a', 84155363699941767867374641], ["0xb", 5]]
+    assert text == '[\n ["0x\\"a", 31415926535897932384626433]\n,["0xb", 5]\n]\n'
+    assert json.loads(text) == [['0x"a', 31415926535897932384626433], ["0xb", 5]]
     back = read_pairs(spark, folder, ["a", "v"])
     assert [(row.a, Decimal(row.v)) for row in back.collect()] == rows
 
 
 def test_nested_pairs(spark, folder):
-    frame = spark.createDataFrame([("5622", "Scamming", 1.670908358807289e22)], "id string, category string, v double")
-    results.write_json_array(frame, folder)
-    assert written(folder) == '[[["5622", "Scamming"], 1.670908358807289e+22]]\n'
+    frame = spark.createDataFrame([("777", "Scamming", 2.345678901234567e22)], "id string, category string, v double")
+    results.write_json_array(frame, folder, single=True)
+    assert written(folder) == '[\n [["777", "Scamming"], 2.345678901234567e+22]\n]\n'
     back = read_pairs(spark, folder, ["id", "category", "v"]).collect()
-    assert [(row.id, row.category, float(row.v)) for row in back] == [("5622", "Scamming", 1.670908358807289e22)]
+    assert [(row.id, row.category, float(row.v)) for row in back] == [("777", "Scamming", 2.345678901234567e22)]
 
 
 def test_values_as_text(spark, folder):
-    frame = spark.createDataFrame([("01/2016", 56596270931.31683)], "month string, v double")
-    results.write_json_array(frame, folder, value_as_text=True)
-    assert written(folder) == '[["01/2016", "56596270931.31683"]]\n'
-    assert read_pairs(spark, folder, ["month", "v"]).collect() == [("01/2016", "56596270931.31683")]
+    frame = spark.createDataFrame([("01/2016", 12345678901.23456)], "month string, v double")
+    results.write_json_array(frame, folder, value_as_text=True, single=True)
+    assert written(folder) == '[\n ["01/2016", "12345678901.23456"]\n]\n'
+    assert read_pairs(spark, folder, ["month", "v"]).collect() == [("01/2016", "12345678901.23456")]
 
 
 def test_rendered(spark, folder, tmp_path):
-    frame = spark.createDataFrame([("09/2018", 3.733481101982518e18), ("06/2017", 5.5)], "month string, v double")
-    results.write_rendered_array(frame, folder)
-    assert written(folder) == '["09/2018,3.733481101982518e+18", "06/2017,5.5"]\n'
-    expected = [("09/2018", "3.733481101982518e+18"), ("06/2017", "5.5")]
+    frame = spark.createDataFrame([("09/2018", 4.321987654321987e18), ("06/2017", 5.5)], "month string, v double")
+    results.write_rendered_array(frame, folder, single=True)
+    assert written(folder) == '[\n "09/2018,4.321987654321987e+18"\n,"06/2017,5.5"\n]\n'
+    expected = [("09/2018", "4.321987654321987e+18"), ("06/2017", "5.5")]
     assert read_rendered(spark, folder, ["Date", "Value"]).collect() == expected
     results.report_csv(spark, folder, str(tmp_path / "csv"), ["Date", "Value"], "rendered")
-    assert written(tmp_path / "csv") == "Date,Value\n09/2018,3.733481101982518e+18\n06/2017,5.5\n"
+    assert written(tmp_path / "csv") == "Date,Value\n09/2018,4.321987654321987e+18\n06/2017,5.5\n"
 
 
 def test_report_csv_flattens(spark, folder, tmp_path):
     frame = spark.createDataFrame([("07-2017", "Phishing", 1.5)], "m string, c string, v double")
-    results.write_json_array(frame, folder)
+    results.write_json_array(frame, folder, single=True)
     results.report_csv(spark, folder, str(tmp_path / "csv"), ["Date", "Type", "Amount"])
     assert written(tmp_path / "csv") == "Date,Type,Amount\n07-2017,Phishing,1.5\n"
 
 
 def test_order_is_kept(spark, folder):
     frame = spark.range(5000).selectExpr("string(id) as k", "id as v").repartition(7).orderBy("v")
-    results.write_json_array(frame, folder)
+    results.write_json_array(frame, folder, single=True)
     assert [pair[1] for pair in json.loads(written(folder))] == list(range(5000))
 
 
@@ -92,22 +92,26 @@ def test_a_file_without_header_keeps_its_first_row(spark, tmp_path):
     assert back.collect() == [("09/2018", 1), ("06/2017", 2)]
 
 
-@pytest.mark.parametrize("writer", ["array", "csv"])
-def test_reports_refuse_to_cut(spark, folder, monkeypatch, writer):
-    monkeypatch.setattr(results, "MAX_ROWS", 10)
+def test_many_pairs_keep_their_order_in_files_that_are_arrays(spark, folder):
+    frame = spark.range(300_000).selectExpr("string(id) as k", "id as v").orderBy("v")
+    results.write_json_array(frame, folder)
+    files = sorted(glob.glob(f"{folder}/part-*"))
+    pairs = [pair for name in files for pair in json.load(open(name))]
+    assert len(files) > 1 and [pair[1] for pair in pairs] == list(range(300_000)) and pairs[7] == ["7", 7]
+    back = read_pairs(spark, folder, ["k", "v"])
+    assert back.selectExpr("count(*)", "sum(v)", "count_if(k = v)").first() == (300_000, sum(range(300_000)), 300_000)
 
-    def write(rows, path):
-        frame = spark.range(rows).selectExpr("string(id) as k", "id as v")
-        results.write_json_array(frame, path) if writer == "array" else results.write_csv(frame, path, single=True)
 
-    write(10, folder)
-    with pytest.raises(Exception, match="at most 10 rows"):
-        write(11, folder + "-more")
+def test_arrays_on_one_line_are_read_too(spark, tmp_path):
+    (tmp_path / "pairs.json").write_text('[["a", 1], ["b", 2]]\n')
+    (tmp_path / "texts.json").write_text('["a,1", "b,2"]')
+    assert read_pairs(spark, str(tmp_path / "pairs.json"), ["k", "v"]).collect() == [("a", "1"), ("b", "2")]
+    assert read_rendered(spark, str(tmp_path / "texts.json"), ["k", "v"]).collect() == [("a", "1"), ("b", "2")]
 
 
 def test_empty_result(spark, folder):
-    results.write_json_array(spark.range(0).selectExpr("string(id) as k", "id as v"), folder)
-    assert written(folder) == "[]\n"
+    results.write_json_array(spark.range(0).selectExpr("string(id) as k", "id as v"), folder, single=True)
+    assert json.loads(written(folder)) == [] and read_pairs(spark, folder, ["k", "v"]).collect() == []
 
 
 def test_run_folder():
