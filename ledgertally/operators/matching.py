@@ -1,16 +1,11 @@
 """Inner joins of a very large fact table with a list of keys, and sums over the joined rows.
 
 The list (contracts, scams) may name a key more than once, with the same or with other attributes, and every mention
-counts: these are inner joins, not semi-joins. The list is first collapsed to one row per key and attributes with its
-number of mentions, ``copies``, so that repeated mentions become a factor instead of rows. Then it is measured, and
-one of three plans with the same result is taken:
-
-* small, few attributes per key — broadcast the list and add up straight into the groups asked for (per number of
-  mentions, multiplied afterwards); shuffles carry a few rows per group and task, whatever the skew of the facts;
-* small, but some key has many attributes — broadcast its keys to drop all other facts, collapse the facts per key,
-  join after that;
-* large — collapse both sides per key, partial sums before the shuffle, and join by shuffle; a key with very many
-  attributes is spread over several tasks.
+counts: these are inner joins, not semi-joins. The list is collapsed to one row per key and attributes with its
+number of mentions, ``copies``, so that repeated mentions become a factor instead of rows. The facts are collapsed to totals per key, by
+partial sums before the shuffle, so that a key's share of the facts doesn't matter. Then both are joined; Spark broadcasts the list if its measured
+size allows it. A key with very many attributes has its list rows dealt out by salts, and its totals given to each of them.
+Nothing runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -22,59 +17,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertally.functions.numbers import add_up, as_double, is_number, present, times
 
-BROADCAST_BYTES = 32 * 1024 * 1024
-ROW_OVERHEAD_BYTES = 64
-DIRECT_FAN_OUT = 16
-HEAVY_FAN_OUT = 1_000_000
-SALTS = 64
+#: So many attributes of a key make a salt.
+SPREAD = 100_000
 
 
 @dataclass(frozen=True)
 class KeyList:
-    """A collapsed and measured list: ``rows`` has ``key, *attributes, copies``."""
+    """A collapsed list: ``rows`` has ``key, *attributes, copies``."""
 
     rows: DataFrame
     key: str
     attributes: tuple[str, ...]
-    small: bool
-    fan_out: int
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """Size of a row as far as its texts and a fixed overhead tell."""
-    width = F.lit(ROW_OVERHEAD_BYTES)
-    for name in df.columns:
-        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    return width.cast("bigint")
 
 
 def key_list(
-    listed: DataFrame,
-    key: str,
-    listed_key: str,
-    attributes: Sequence[str] = (),
-    dedupe_right: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    listed: DataFrame, key: str, listed_key: str, attributes: Sequence[str] = (), dedupe_right: bool = False
 ) -> KeyList:
-    """Collapse a list and measure it: its bytes, and the most attributes any key has.
-
-    The measurement runs one job over the used columns of the list, and brings two numbers to the driver. With
-    ``dedupe_right`` a repeated mention counts once.
-    """
+    """Collapse a list. With ``dedupe_right`` a repeated mention counts once."""
     mentions = listed.select(F.col(listed_key).alias(key), *attributes).where(F.col(key).isNotNull())
     rows = mentions.groupBy(key, *attributes).agg(F.count("*").alias("copies"))
     if dedupe_right:
         rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
-    if attributes:
-        per_key = rows.groupBy(key).agg(F.sum(row_bytes(rows)).alias("bytes"), F.count("*").alias("fan_out"))
-        size, fan_out = per_key.agg(F.sum("bytes"), F.max("fan_out")).first()
-    else:
-        size, fan_out = rows.agg(F.sum(row_bytes(rows))).first()[0], 1
-    return KeyList(rows, key, tuple(attributes), (size or 0) <= broadcast_bytes, fan_out or 0)
+    return KeyList(rows, key, tuple(attributes))
 
 
 def listed_totals(
-    facts: DataFrame, listed: KeyList, values: Sequence[str], also: Sequence[str] = (), heavy: int = HEAVY_FAN_OUT
+    facts: DataFrame, listed: KeyList, values: Sequence[str], also: Sequence[str] = (), spread: int = SPREAD
 ) -> DataFrame:
     """Totals of the facts per listed key, ``also`` and attributes.
 
@@ -84,54 +52,34 @@ def listed_totals(
     key, attributes = listed.key, listed.attributes
     columns = [key, *also, *attributes, *values, *[f"{value}_rows" for value in values], "rows", "copies"]
     facts = facts.select(key, *also, *values)
-    sums = _sums(facts, values)
-    if listed.small and not attributes:
-        joined = facts.join(F.broadcast(listed.rows), key, "inner")
-        return joined.groupBy(key, *also, "copies").agg(*sums, F.count("*").alias("rows")).select(*columns)
-    if listed.small:
-        facts = facts.join(F.broadcast(listed.rows.select(key)), key, "left_semi")
-    totals = facts.groupBy(key, *also).agg(*sums, F.count("*").alias("rows"))
-    if listed.small:
-        return totals.join(F.broadcast(listed.rows), key, "inner").select(*columns)
-    if listed.fan_out <= heavy:
-        return totals.join(listed.rows, key, "inner").select(*columns)
-    return _join_spread(totals, listed, heavy).select(*columns)
-
-
-def _join_spread(totals: DataFrame, listed: KeyList, heavy: int) -> DataFrame:
-    """Join by shuffle, a key with very many attributes spread over ``SALTS`` tasks.
-
-    Such keys are at most (list rows / ``heavy``), so their set is small however long the list is. Their list rows are
-    split by salt and their totals given to every salt; all other keys keep salt 0.
-    """
+    totals = facts.groupBy(key, *also).agg(*_sums(facts, values), F.count("*").alias("rows"))
+    if attributes:
+        return _join_spread(totals, listed, spread).select(*columns)
+    return totals.join(listed.rows, key).select(*columns)
+
+
+def _join_spread(totals: DataFrame, listed: KeyList, spread: int) -> DataFrame:
+    """Join on key and salt. Only keys of over ``spread`` attributes have more than one, and there are few of those."""
     key = listed.key
-    fan_outs = listed.rows.groupBy(key).agg(F.count("*").alias("fan_out"))
-    hot = F.broadcast(fan_outs.where(F.col("fan_out") > heavy).select(key, F.lit(True).alias("hot")))
-    salt = F.pmod(F.xxhash64(*listed.attributes), F.lit(SALTS)).cast("int")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    rows = listed.rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0))
-    spread = totals.join(hot, key, "left").withColumn("salt", F.explode(salts))
-    return spread.drop("hot").join(rows.drop("hot"), [key, "salt"], "inner")
+    fan_outs = listed.rows.groupBy(key).agg(F.count("*").alias("fan_out")).where(F.col("fan_out") > spread)
+    heavy = fan_outs.select(key, F.ceil(F.col("fan_out") / spread).cast("bigint").alias("salts"))
+    one = F.lit(1).cast("bigint")
+    salt = F.pmod(F.xxhash64(*listed.attributes), F.coalesce("salts", one))
+    rows = listed.rows.join(heavy, key, "left").withColumn("salt", salt).drop("salts")
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", one) - 1)
+    spread_totals = totals.join(heavy, key, "left").withColumn("salt", F.explode(salts)).drop("salts")
+    return spread_totals.join(rows, [key, "salt"])
 
 
 def listed_sums(
-    facts: DataFrame,
-    listed: KeyList,
-    by: Sequence[str],
-    values: Sequence[str],
-    direct_fan_out: int = DIRECT_FAN_OUT,
-    heavy: int = HEAVY_FAN_OUT,
+    facts: DataFrame, listed: KeyList, by: Sequence[str], values: Sequence[str], spread: int = SPREAD
 ) -> DataFrame:
     """Sums over the joined rows, every mention counted, grouped by columns of the facts or attributes of the list.
 
     Gives ``*by, *values, *values_rows, rows``; the values as doubles, ``value_rows`` without the rows whose value is null.
     """
     also = [name for name in by if name not in listed.attributes and name != listed.key]
-    if listed.small and listed.fan_out <= direct_fan_out:
-        joined = facts.select(listed.key, *also, *values).join(F.broadcast(listed.rows), listed.key, "inner")
-        totals = joined.groupBy(*by, "copies").agg(*_sums(joined, values), F.count("*").alias("rows"))
-    else:
-        totals = listed_totals(facts, listed, values, also, heavy)
+    totals = listed_totals(facts, listed, values, also, spread)
     counts = [*[f"{value}_rows" for value in values], "rows"]
     weighted = totals.select(
         *by,

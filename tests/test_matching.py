@@ -13,12 +13,7 @@ from ledgertally.operators.matching import key_list, listed_sums, listed_totals,
 from ledgertally.operators.registry import registry_addresses
 from ledgertally.sources.layouts import REGISTRY_SCHEMA
 
-PLANS = {
-    "direct": {},
-    "reduce": {"direct_fan_out": 0},
-    "shuffle": {"broadcast_bytes": 0},
-    "shuffle, salted": {"broadcast_bytes": 0, "heavy": 2},
-}
+PLANS = {"one salt": {}, "salts of two attributes": {"spread": 2}}
 
 
 def data(seed):
@@ -33,11 +28,6 @@ def data(seed):
     return facts, listed
 
 
-def split_options(options):
-    lists = {name: value for name, value in options.items() if name == "broadcast_bytes"}
-    return lists, {name: value for name, value in options.items() if name != "broadcast_bytes"}
-
-
 @pytest.fixture(params=[1, 2])
 def case(spark, request):
     facts, listed = data(request.param)
@@ -52,14 +42,14 @@ def case(spark, request):
 @pytest.mark.parametrize("plan", PLANS)
 def test_sums_by_attributes(case, plan):
     facts, listed, facts_df, listed_df = case
-    lists, sums = split_options(PLANS[plan])
+    sums = PLANS[plan]
     expected = defaultdict(lambda: [0.0, 0])
     for to, _, value in facts:
         for address, id_, category in listed:
             if to == address:
                 expected[id_, category][0] += value
                 expected[id_, category][1] += 1
-    listed_keys = key_list(listed_df, "to", "address", ["id", "category"], **lists)
+    listed_keys = key_list(listed_df, "to", "address", ["id", "category"])
     found = listed_sums(facts_df, listed_keys, ["id", "category"], ["value"], **sums)
     assert {(r.id, r.category): [r.value, r.rows] for r in found.collect()} == dict(expected)
 
@@ -67,39 +57,38 @@ def test_sums_by_attributes(case, plan):
 @pytest.mark.parametrize("plan", PLANS)
 def test_sums_by_month_and_attribute(case, plan):
     facts, listed, facts_df, listed_df = case
-    lists, sums = split_options(PLANS[plan])
+    sums = PLANS[plan]
     expected = Counter()
     for to, month, value in facts:
         for address, _, category in listed:
             if to == address:
                 expected[month, category] += value
     found = listed_sums(
-        facts_df, key_list(listed_df, "to", "address", ["category"], **lists), ["month", "category"], ["value"], **sums
+        facts_df, key_list(listed_df, "to", "address", ["category"]), ["month", "category"], ["value"], **sums
     )
     assert {(r.month, r.category): r.value for r in found.collect()} == dict(expected)
 
 
-@pytest.mark.parametrize("plan", ["direct", "reduce", "shuffle"])
+@pytest.mark.parametrize("plan", PLANS)
 def test_means_count_every_mention(case, plan):
     facts, listed, facts_df, listed_df = case
-    lists, sums = split_options(PLANS[plan])
+    sums = PLANS[plan]
     rows = [(month, value) for to, month, value in facts for address, _, _ in listed if to == address]
-    found = listed_sums(facts_df, key_list(listed_df, "to", "address", **lists), ["month"], ["value"], **sums)
+    found = listed_sums(facts_df, key_list(listed_df, "to", "address"), ["month"], ["value"], **sums)
     for row in found.collect():
         values = [value for month, value in rows if month == row.month]
         assert (row.value, row.rows) == (sum(values), len(values))
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 10**6])
 @pytest.mark.parametrize("k", [1, 3, 10, 500])
-def test_top_rows_keep_repeated_mentions(case, broadcast_bytes, k):
+def test_top_rows_keep_repeated_mentions(case, k):
     facts, listed, facts_df, listed_df = case
     totals = Counter()
     for to, _, value in facts:
         totals[to] += value
     joined = [(address, totals[address]) for address, _, _ in listed if address in totals]
     expected = sorted(joined, key=lambda row: (-row[1], row[0]))[:k]
-    listed_keys = key_list(listed_df, "to", "address", broadcast_bytes=broadcast_bytes)
+    listed_keys = key_list(listed_df, "to", "address")
     found = top_listed(listed_totals(facts_df, listed_keys, ["value"]), ["to"], "value", k)
     assert [tuple(row) for row in found.collect()] == expected
 
@@ -113,36 +102,41 @@ def test_dedupe_counts_a_mention_once(case):
 
 @pytest.mark.parametrize("plan", PLANS)
 def test_number_structs(spark, plan):
-    lists, sums = split_options(PLANS[plan])
+    sums = PLANS[plan]
     facts = spark.createDataFrame([("a", "1" + "0" * 25), ("a", "0.5"), ("b", "7")], "to string, value string")
     facts = facts.select("to", number(F.col("value")).alias("value"))
     listed = spark.createDataFrame([("a", "s"), ("a", "s"), ("a", "t"), ("b", "s")], "address string, id string")
-    found = listed_sums(facts, key_list(listed, "to", "address", ["id"], **lists), ["id"], ["value"], **sums)
+    found = listed_sums(facts, key_list(listed, "to", "address", ["id"]), ["id"], ["value"], **sums)
     assert {r.id: (r.value, r.rows) for r in found.collect()} == {"s": (2e25 + 8.0, 5), "t": (1e25 + 0.5, 2)}
 
 
-def test_measurement(spark):
+def test_lists_collapse_and_plans_start_no_job(spark):
     listed = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("b", "1")], "address string, id string")
-    measured = key_list(listed, "to", "address", ["id"])
-    assert measured.small and measured.fan_out == 2
-    assert {tuple(row) for row in measured.rows.collect()} == {("a", "1", 2), ("a", "2", 1), ("b", "1", 1)}
-    assert not key_list(listed, "to", "address", ["id"], broadcast_bytes=100).small
-    empty = key_list(listed.where("false"), "to", "address", ["id"])
-    assert empty.small and empty.fan_out == 0
-
-
-def test_large_lists_are_not_broadcast(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        facts = spark.range(100).selectExpr("string(id % 7) as to", "id as value")
-        listed = spark.range(5).selectExpr("string(id) as address")
-        small = listed_sums(facts, key_list(listed, "to", "address"), ["to"], ["value"])
-        large = listed_sums(facts, key_list(listed, "to", "address", broadcast_bytes=0), ["to"], ["value"])
-        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-        assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
-        assert sorted(small.collect()) == sorted(large.collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    facts = spark.range(100).selectExpr("string(id % 7) as to", "id as value")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "nothing may run")
+    collapsed = key_list(listed, "to", "address", ["id"])
+    listed_sums(facts, collapsed, ["id"], ["value"])
+    assert tracker.getJobIdsForGroup("planning") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(row) for row in collapsed.rows.collect()} == {("a", "1", 2), ("a", "2", 1), ("b", "1", 1)}
+
+
+def test_facts_are_collapsed_before_the_shuffle_and_small_lists_are_broadcast(spark):
+    facts = spark.range(100).selectExpr("string(id % 7) as to", "id as value")
+    listed = spark.range(5).selectExpr("string(id) as address")
+    found = listed_sums(facts, key_list(listed, "to", "address"), ["to"], ["value"])
+    assert sorted((r.to, r.value) for r in found.collect()) == [(str(k), float(sum(range(k, 100, 7)))) for k in range(5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan[: plan.index("Initial Plan")] and "partial_sum(value" in plan
+
+
+def test_a_key_of_many_attributes_is_dealt_out(spark):
+    facts = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', string(id % 50)) as to", "int(id % 60) as month", "id as value")
+    listed = spark.range(50_000).selectExpr("'hot' as address", "string(id) as id").union(spark.sql("select '7', 'x'"))
+    found = listed_totals(facts, key_list(listed, "to", "address", ["id"]), ["value"], ["month"], spread=1000)
+    assert found.where("to = 'hot'").count() == 50_000 * 20
+    assert found.selectExpr("sum(value)").first()[0] == 50_000 * sum(range(0, 6000, 3)) + sum(k for k in range(6000) if k % 3 and k % 50 == 7)
 
 
 def test_registry(spark):
@@ -164,6 +158,5 @@ def test_means_leave_out_null_values(spark):
     facts = spark.createDataFrame([("a", 1, 10.0), ("a", 1, None), ("b", 1, None), ("a", 2, 4.0)], "k string, m int, v double")
     for attributes in ([], ["x"]):
         listed = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p")], "k string, x string")
-        for fan_out in (16, 0):
-            sums = listed_sums(facts, key_list(listed, "k", "k", attributes), ["m"], ["v"], direct_fan_out=fan_out).collect()
-            assert sorted((r.m, r.v / r.v_rows, r.rows) for r in sums) == [(1, 10.0, 5), (2, 4.0, 2)]
+        sums = listed_sums(facts, key_list(listed, "k", "k", attributes), ["m"], ["v"]).collect()
+        assert sorted((r.m, r.v / r.v_rows, r.rows) for r in sums) == [(1, 10.0, 5), (2, 4.0, 2)]
