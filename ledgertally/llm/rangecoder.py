@@ -16,8 +16,8 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-_SLOTS = 1 << 12
+BLOCK = 2048
+_SLOTS = 1 << 11
 _LEARN = 32  # steps between new sums of byte frequencies
 _STEP, _MOST = 24, 1 << 14
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
