@@ -1,9 +1,9 @@
-"""Sums that come out the same however the rows are partitioned.
+"""Sums of amounts, exact for integers, which then come out the same however the rows are partitioned.
 
 A ledger amount in wei does not fit 64 bits and a double sum depends on the order of addition. So a
 text amount becomes a *number*: ``struct<whole decimal(28,0), rest double>``. Integers below 10**28
 (the whole supply is about 1.2 * 10**26 wei) are added exactly; what has a fraction, an exponent or
-more digits is added as double. The helpers below take such a struct or any plain numeric column.
+more digits is added as double, whose last digits depend on the order of addition. The helpers below take such a struct or any plain numeric column.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -153,42 +155,42 @@ def array_explode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def self_pair_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Trade inside one nation: customer nation equal to supplier nation. Hot orders are left to AQE's skew join."""
+    """Trade inside one nation: customer nation equal to supplier nation.
+
+    Line items become sums per order and supplier nation before they meet the orders: one shuffle of sums, and an order has few nations.
+    """
     items = _money(_lineitem(spark, folder, "l_orderkey", "l_suppkey", "l_extendedprice"), "l_extendedprice")
-    nations = (
-        items.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    own = self_pairs(nations, "c_nationkey", "s_nationkey")
-    return sum_top_k(own, ["c_nationkey", "s_nationkey"], "l_extendedprice", 10)
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    sums = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.sum("l_extendedprice").alias("part"))
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    buyers = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    own = self_pairs(sums.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")), "c_nationkey", "s_nationkey")
+    top = sum_top_k(own, ["c_nationkey", "s_nationkey"], "part", 10)
+    return top.withColumn("total", F.col("total").cast("decimal(28,2)"))
 
 
 def valid_lines(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines each question's checks let through, all counted in one pass."""
     fields = split_fields(lines.transaction_lines(spark, folder), TRANSACTIONS)
-
-    def ints(*names):
-        return [is_int(F.col(name)) for name in names]
-
-    def floats(*names):
-        return [is_float(F.col(name)) for name in names]
-
+    checks = {
+        "int_time": is_int(F.col("block_timestamp")),
+        "int_block": is_int(F.col("block_number")),
+        "float_time": is_float(F.col("block_timestamp")),
+        "float_value": is_float(F.col("value")),
+        "float_price": is_float(F.col("gas_price")),
+    }
     rules = {
-        "monthly transactions": ints("block_timestamp"),
-        "monthly value": ints("block_timestamp") + floats("value"),
-        "top contracts": ints("block_number"),
-        "gas": floats("gas_price", "block_timestamp"),
-        "scam value by month": floats("value", "block_timestamp"),
-        "self transfers": floats("value"),
+        "monthly transactions": ["int_time"],
+        "monthly value": ["int_time", "float_value"],
+        "top contracts": ["int_block"],
+        "gas": ["float_price", "float_time"],
+        "scam value by month": ["float_value", "float_time"],
+        "self transfers": ["float_value"],
     }
-    counts = []
-    for checks in rules.values():
-        passed = checks[0]
-        for check in checks[1:]:
-            passed = passed & check
-        counts.append(F.count_if(passed))
-    one_row = fields.agg(*[count.alias(f"n{i}") for i, count in enumerate(counts)])
+    # One-element explode: each check is made once, whatever number of rules uses it.
+    passed = fields.select(F.explode(F.array(F.struct(*[check.alias(name) for name, check in checks.items()]))).alias("passed"))
+    counts = [F.count_if(reduce(and_, [F.col("passed")[name] for name in names])) for names in rules.values()]
+    one_row = passed.agg(*[count.alias(f"n{i}") for i, count in enumerate(counts)])
     pairs = [part for i, rule in enumerate(rules) for part in (F.lit(rule), F.col(f"n{i}"))]
     return one_row.select(F.stack(F.lit(len(rules)), *pairs).alias("rule", "lines"))
 
