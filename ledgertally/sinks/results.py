@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ledgertally.functions.numbers import double_text
 from ledgertally.functions.texts import joined, json_scalar
 from ledgertally.sources.results import read_pairs, read_rendered
+from ledgertally.workers import importable
 
 # Fixed value: the time stamp in the name of a run's folder (no colons, which paths cannot hold).
 RUN_STAMP = "%d-%m-%Y_%H_%M_%S"
@@ -99,6 +100,7 @@ def _array_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _write_array(df: DataFrame, item: Column, path: str, single: bool) -> None:
+    importable(df.sparkSession)
     items = df.select(item.alias("item"))
     lines = (items.coalesce(1) if single else items).mapInArrow(_array_lines, "value string")
     lines.write.mode("errorifexists").text(path)
