@@ -9,17 +9,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgertally.sources.scratch import scratch_folder
+from ledgertally.workers import importable
 
 #: A task works on slices of about so many bytes of text; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """The rows of a frame, written as Parquet to the shared folder and read from there: lost executors don't recompute them."""
+    importable(frame.sparkSession)
     path = scratch_folder(frame.sparkSession, label)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
