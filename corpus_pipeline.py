@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm import automaton, langid, minhash, mixing, perplexity
 from ledgertally.llm.tables import stored, table
+from ledgertally.workers import importable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language ID of less than this probability rejects a document.
@@ -21,6 +22,7 @@ SURE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those of no clear language; a null lang becomes the prediction. Learns from rows that are not held out."""
+    importable(spark)
     model = langid.train(docs.filter(langid.remainder(F.col("doc_id"), 4) != 2))
     kept = langid.identified(docs, model, COLUMNS).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -28,11 +30,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the rules on counts, or whose perplexity is outside its language's band."""
+    importable(spark)
     return perplexity.judged(docs, columns=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group at 80 % of five-word shingles. Of rows alike in doc_id one stays; those without one all stay."""
+    importable(spark)
     kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.filter("doc_id is not null").join(stored(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
@@ -40,12 +44,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; a document that it leaves out goes."""
+    importable(spark)
     mixed = mixing.mixed_sources(docs, columns=COLUMNS).select(F.struct(*COLUMNS).alias("document"), "copies").filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("document.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the ids and of the text they decode to."""
+    importable(spark)
     return automaton.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
