@@ -1,25 +1,79 @@
-"""Sums of amounts, exact for integers, which then come out the same however the rows are partitioned.
+"""Sums of amounts that come out the same however the rows are partitioned.
 
-A ledger amount in wei does not fit 64 bits and a double sum depends on the order of addition. So a
-text amount becomes a *number*: ``struct<whole decimal(28,0), rest double>``. Integers below 10**28
-(the whole supply is about 1.2 * 10**26 wei) are added exactly; what has a fraction, an exponent or
-more digits is added as double, whose last digits depend on the order of addition. The helpers below take such a struct or any plain numeric column.
+A ledger amount in wei does not fit 64 bits and a double sum depends on the order of addition. So a text amount becomes a
+*number*, a struct of *limbs*: whole numbers of up to 28 digits that count 10**-28, 1, 10**28 and 10**56. Limbs are added as decimals, and
+only the end makes one double of them, rounded once. Every literal of up to 84 digits before the point and 28 behind it is exact in this, with or
+without exponent (a 256-bit integer has 78 digits). What is finer or larger is added as double, in ``rest``, whose last digits depend on the order.
+The helpers below take such a struct or any plain numeric column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgertally.functions.checks import is_plain
 
-WHOLE = "decimal(28,0)"
+LIMB_DIGITS = 28
+LIMB = f"decimal({LIMB_DIGITS},0)"
 EXACT = "decimal(38,0)"
+#: From the finest to the largest; ``units`` is there whenever a literal is exact.
+LIMBS = ("fraction", "units", "high", "top")
 
 
 def number(text: Column) -> Column:
-    """Split a text that passed ``is_float`` into its exact or its floating part."""
-    whole = F.when(is_plain(text), text.try_cast(WHOLE))
-    return F.struct(whole.alias("whole"), F.when(whole.isNull(), text.try_cast("double")).alias("rest"))
+    """Split a text that passed ``is_float`` into its limbs, or take it as double."""
+    plain = F.when(is_plain(text), text.try_cast(LIMB))
+    missing = F.lit(None)
+    short = F.struct(
+        *[(plain if limb == "units" else missing.cast(LIMB)).alias(limb) for limb in LIMBS], missing.cast("double").alias("rest")
+    )
+    return F.when(plain.isNotNull(), short).otherwise(_split(text))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _split(text: Column) -> Column:
+    """The limbs of any literal: its digits, shifted by its exponent, in four groups."""
+    literal = F.upper(F.trim(F.regexp_replace(text, r"\s", "")))
+    mantissa = F.substring_index(literal, "E", 1)
+    exponent = F.when(literal.contains("E"), F.substring_index(literal, "E", -1).try_cast("int")).otherwise(0)
+    behind = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
+    parts = F.struct(
+        mantissa.startswith("-").alias("negative"),
+        F.rtrim(F.translate(mantissa, "+-.", ""), F.lit("0")).alias("digits"),
+        # Places between the last digit that is not 0 and the finest one, 10**-28.
+        (
+            F.least(F.greatest(exponent, F.lit(-9999)), F.lit(9999))
+            - F.length(behind)
+            + F.length(F.translate(mantissa, "+-.", ""))
+            - F.length(F.rtrim(F.translate(mantissa, "+-.", ""), F.lit("0")))
+            + LIMB_DIGITS
+        ).alias("places"),
+    )
+    width = LIMB_DIGITS * len(LIMBS)
+
+    def grouped(digits: Column, negative: Column) -> Column:
+        padded = F.lpad(digits, width, "0")
+
+        def limb(at: int) -> Column:
+            value = F.substring(padded, width - LIMB_DIGITS * (at + 1) + 1, LIMB_DIGITS).try_cast(LIMB)
+            return F.when(negative, -value).otherwise(value).cast(LIMB)
+
+        return F.struct(*[limb(at).alias(name) for at, name in enumerate(LIMBS)], F.lit(None).cast("double").alias("rest"))
+
+    def fitted(p: Column) -> Column:
+        whole = F.ltrim(F.concat(p["digits"], F.repeat(F.lit("0"), p["places"])), F.lit("0"))
+        fits = (p["digits"] == "") | (p["places"] >= 0) & (F.length(p["digits"]) + p["places"] <= width + F.length(p["digits"]))
+        digits = F.when(p["digits"] == "", F.lit("0")).when(fits, whole)
+        loose = F.struct(*[F.lit(None).cast(LIMB).alias(name) for name in LIMBS], text.try_cast("double").alias("rest"))
+        return _let(digits, lambda d: F.when(F.length(d) <= width, grouped(d, p["negative"])).otherwise(loose))
+
+    return _let(parts, fitted)
 
 
 def exact_int(text: Column) -> Column:
@@ -35,33 +89,53 @@ def is_number(df: DataFrame, column: str) -> bool:
 def add_up(df: DataFrame, column: str) -> Column:
     """Sum of a number or of a plain numeric column, as an aggregate of the same kind."""
     if is_number(df, column):
-        return F.struct(
-            F.sum(F.col(column)["whole"]).alias("whole"),
-            F.sum(F.col(column)["rest"]).alias("rest"),
-        )
+        return F.struct(*[F.sum(F.col(column)[part]).alias(part) for part in (*LIMBS, "rest")])
     return F.sum(column)
 
 
 def present(df: DataFrame, column: str) -> Column:
     """How many rows have a value, as an aggregate: what a mean divides by."""
-    value = F.coalesce(F.col(column)["whole"].cast("double"), F.col(column)["rest"]) if is_number(df, column) else F.col(column)
+    value = F.coalesce(F.col(column)["units"].cast("double"), F.col(column)["rest"]) if is_number(df, column) else F.col(column)
     return F.count(value)
 
 
 def times(df: DataFrame, column: str, factor: Column) -> Column:
     """The value counted ``factor`` times."""
     if is_number(df, column):
-        whole, rest = F.col(column)["whole"], F.col(column)["rest"]
-        return F.struct((whole * factor).alias("whole"), (rest * factor).alias("rest"))
+        limbs = [(F.col(column)[limb] * factor).cast(EXACT).alias(limb) for limb in LIMBS]
+        return F.struct(*limbs, (F.col(column)["rest"] * factor).alias("rest"))
     return F.col(column) * factor
 
 
 def as_double(df: DataFrame, column: str) -> Column:
     """One double of a number or of a plain numeric column; null only when there was nothing to add."""
-    if is_number(df, column):
-        whole, rest = F.col(column)["whole"].cast("double"), F.col(column)["rest"]
-        return F.coalesce(whole + rest, whole, rest)
-    return F.col(column).cast("double")
+    if not is_number(df, column):
+        return F.col(column).cast("double")
+    value = F.col(column)
+    zero, base = F.lit(0).cast(EXACT), F.lit("1" + "0" * LIMB_DIGITS).cast(EXACT)
+
+    def carried(limbs: list[Column], then: Callable[[list[Column]], Column], done: tuple[Column, ...] = ()) -> Column:
+        """Limbs below the base but for the last, which has the sign of all."""
+        if len(limbs) == 1:
+            return then([*done, limbs[0]])
+        low, above, *rest = limbs
+        digit = F.pmod(low, base).cast(EXACT)
+        carry = ((low - digit) / base).cast(EXACT)
+        return _let(F.struct(digit.alias("d"), (above + carry).cast(EXACT).alias("a")), lambda x: carried([x["a"], *rest], then, (*done, x["d"])))
+
+    def text(sign: str) -> Callable[[list[Column]], Column]:
+        def joined(limbs: list[Column]) -> Column:
+            fraction, units, high, top = [limb.cast("string") for limb in limbs]
+            pad = lambda limb: F.lpad(limb, LIMB_DIGITS, "0")
+            whole = F.concat(F.lit(sign), top, pad(high), pad(units), F.lit("."), pad(fraction))
+            return F.when(limbs[-1] >= 0, whole.cast("double"))
+
+        return joined
+
+    limbs = [F.coalesce(value[limb].cast(EXACT), zero) for limb in LIMBS]
+    exact = F.coalesce(carried(limbs, text("")), carried([-limb for limb in limbs], text("-")))
+    known = F.when(value["units"].isNotNull(), exact)
+    return F.coalesce(known + value["rest"], known, value["rest"])
 
 
 def double_text(value: Column) -> Column:

@@ -46,7 +46,7 @@ def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
             F.expr("if(l_tax = 0 and l_discount = 0, '', concat('a', l_suppkey))"),
             F.expr("if(l_tax = 0, '', concat('a', l_partkey))"),
             F.expr(
-                f"""case when l_linenumber = 2 then concat({cents}, 'e0')
+                f"""case when l_linenumber = 2 then concat({cents}, '.5e-3')
                          when l_linenumber = 3 and l_linestatus = 'O' then 'n/a'
                          else concat({cents}, '0000000000000') end"""
             ),

@@ -90,9 +90,9 @@ SCAMS = """scams AS (
 REGISTRY = """registry AS (
   SELECT p_type AS category, 'a' || p_partkey AS address FROM part WHERE p_size <= 40
   UNION ALL SELECT p_type, 'a' || (p_partkey + 1) FROM part WHERE p_size < 20)"""
-VALUE_SUM = (
-    "coalesce((sum(wei)::varchar || '0000000000000')::double, 0.0) + coalesce(sum(rest)::varchar::double, 0.0)"
-)
+# In ten-thousandths, as whole numbers, and rounded once at the end.
+PARTS = "(coalesce(sum(wei), 0)::hugeint * 100000000000000000 + coalesce(sum(rest * 10 + 5), 0)::hugeint)"
+VALUE_SUM = f"(({PARTS} // 10000)::varchar || '.' || lpad(({PARTS} % 10000)::varchar, 4, '0'))::double"
 BAD_SIZE = "(o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
 MINER_SIZES = f"""SELECT CASE WHEN {BAD_SIZE} THEN '0' ELSE o_custkey::varchar END AS miner,
          sum(CASE WHEN {BAD_SIZE} THEN 1 ELSE floor(o_totalprice)::bigint END)::bigint AS size

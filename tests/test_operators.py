@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import random
+from collections import defaultdict
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgertally.functions.numbers import number
 from ledgertally.operators.monthly import average_by_month, count_by_month, in_month_order
 from ledgertally.operators.ranking import sum_by, sum_top_k, top_k
 from ledgertally.operators.storage import column_bytes, column_shares
@@ -85,12 +89,35 @@ def test_hex_texts_take_half_a_byte_for_each_character_behind_the_prefix(spark):
     assert {r.column_name: r.size_bytes for r in column_bytes(frame, ["hash", "bloom", "nothing"]).collect()} == {"hash": 3 * 32.0, "bloom": 3 * 256.0, "nothing": -3.0}
 
 
+def literals():
+    chosen = random.Random(5)
+
+    def one():
+        sign = chosen.choice(["", "-", "+"])
+        return chosen.choice([
+            str(chosen.randrange(-(10**20), 10**27)),
+            f"{sign}{chosen.randrange(10 ** chosen.randrange(1, 20))}.{chosen.randrange(10 ** chosen.randrange(1, 15))}",
+            f"{sign}{chosen.randrange(10**9)}.{chosen.randrange(1000)}e{chosen.randrange(-12, 40)}",
+            sign + str(chosen.randrange(10**39, 10**40)),
+            sign + str(chosen.randrange(10**77, 10**78)),
+            chosen.choice([" 5 ", "0", "-0", "0.0e5", "1E3", ".5", "5.", "-.25e1", "1e28", "-1e-28", "1.50e-27", "00012.500"]),
+        ])
+
+    return [one() for _ in range(1200)]
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
-def test_partitions_do_not_change_sums(spark, partitions):
-    from ledgertally.functions.numbers import number
-
-    texts = [str(10**25 + i * 7919) for i in range(500)] + ["12345678901234567890123456"] * 100
-    frame = spark.createDataFrame([(t, i % 3) for i, t in enumerate(texts)], "v string, k int").repartition(partitions)
-    numbers = frame.select("k", number(F.col("v")).alias("v"))
-    found = {row.k: row.total for row in sum_by(numbers, ["k"], "v").collect()}
-    assert found == {k: float(sum(int(t) for i, t in enumerate(texts) if i % 3 == k)) for k in range(3)}
+def test_sums_are_exact_and_rounded_once(spark, partitions):
+    texts = literals()
+    frame = spark.createDataFrame([(t, i % 7 if i > 20 else 100 + i) for i, t in enumerate(texts)], "v string, k int").repartition(partitions)
+    found = {row.k: row.total for row in sum_by(frame.select("k", number(F.col("v")).alias("v")), ["k"], "v").collect()}
+    exact = defaultdict(Fraction)
+    for i, t in enumerate(texts):
+        exact[i % 7 if i > 20 else 100 + i] += Fraction(Decimal(t.strip()))
+    assert found == {k: float(total) for k, total in exact.items()}
+
+
+def test_literals_beyond_the_limbs_are_added_as_double(spark):
+    frame = spark.createDataFrame([("1e300",), ("1e-40",), ("7",)], "v string").select(number(F.col("v")).alias("v"))
+    assert sum_by(frame.withColumn("k", F.lit(1)), ["k"], "v").first().total == 1e300
+    assert sum_by(frame.where("v.units is null").withColumn("k", F.lit(1)), ["k"], "v").first().total == 1e300
