@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertally.llm.tables import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads from a node of one edge to a smaller one that no edge leads away from: nothing is left to do."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("away"), F.lit(0).alias("hub"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("away").alias("away"), F.max("hub").alias("hub"))
+    return ends.filter("away > 1 or (away = 1 and hub = 1)").isEmpty()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -39,10 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are no edges; repeated and reversed edges count once. Without an edge there is no row.
     """
-    now = edges.select("u", "v").filter("u <> v").distinct()
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(now, "edges")
-    before = None
-    while (state := _state(now)) != before and state[0]:
-        before = state
+    while not _are_stars(now):
         now = stored(_small_star(stored(_large_star(now), "large")), "small")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

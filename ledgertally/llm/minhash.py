@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.llm.components import components
@@ -76,37 +77,50 @@ def _minima(prints: np.ndarray, begins: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
+def _band_keys(minima: np.ndarray, plan: Plan) -> np.ndarray:
+    """A 64-bit key for each band of each row of minima."""
+    values = minima.reshape(-1, plan.bands, plan.rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(plan.bands, dtype=np.uint64), values.shape[:2])
+    for row in range(plan.rows):
+        key = mixed(key ^ (values[:, :, row] << np.uint64(16)))
+    return key
+
+
 def _signatures(plan: Plan):
+    """Size, fingerprint and band keys of each set, and of each minimum a byte: enough to compare, as unequal ones agree in 1 of 256 cases."""
+
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row_number = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             prints, begins = shingle_sets(batch.column("text"), plan.width)
             sizes = np.diff(begins)
             full = np.flatnonzero(sizes)
-            low, high, minima = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64), [None] * len(sizes)
+            low, high = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            bands, minima = [None] * len(sizes), [None] * len(sizes)
             if len(full):
                 with np.errstate(over="ignore"):
                     low[full] = np.add.reduceat(mixed(prints), begins[full])
                     high[full] = np.add.reduceat(mixed(prints ^ _OTHER), begins[full])
-                for row, minimum in zip(full.tolist(), _minima(prints, begins[full], plan.bands * plan.rows), strict=True):
-                    minima[row] = minimum.tobytes()
-            columns = [batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(minima, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_shingles", "low", "high", "minima"])
+                least = _minima(prints, begins[full], plan.bands * plan.rows)
+                for row, keys, minimum in zip(full.tolist(), _band_keys(least, plan), least.astype(np.uint8), strict=True):
+                    bands[row], minima[row] = keys.tobytes(), minimum.tobytes()
+            uid = (part << 33) + row_number + np.arange(len(sizes))
+            row_number += len(sizes)
+            values = [pa.array(sizes, pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(uid), pa.array(bands, pa.binary()), pa.array(minima, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), *values], ["doc_id", "print", "n_shingles", "low", "high", "uid", "bands", "minima"])
 
     return sign
 
 
-def _band_keys(plan: Plan):
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(plan: Plan):
+    def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(batch.num_rows, plan.bands, plan.rows)
-                key = np.broadcast_to(np.arange(plan.bands, dtype=np.uint64), values.shape[:2])
-                for row in range(plan.rows):
-                    key = mixed(key ^ (values[:, :, row].astype(np.uint64) << np.uint64(16)))
+                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
                 ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), plan.bands)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), ids], ["key", "id"])
 
-    return keys
+    return banded
 
 
 def _agree(plan: Plan):
@@ -115,7 +129,7 @@ def _agree(plan: Plan):
     def agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("minima_u", "minima_v"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("minima_u", "minima_v"))
                 yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= plan.agreeing))
 
     return agree
@@ -160,7 +174,7 @@ def _minima_cells(plan: Plan):
 
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint32).reshape(cell.num_rows, -1)
+        minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint8).reshape(cell.num_rows, -1)
         rows, side, forest = _sides(cell)
         found = []
         for row in rows:
@@ -182,7 +196,7 @@ def _set_cells(plan: Plan):
         cell = cell.combine_chunks()
         prints, begins = shingle_sets(cell.column("text"), plan.width)
         sizes = np.diff(begins)
-        minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint32).reshape(cell.num_rows, -1)
+        minima = np.frombuffer(b"".join(cell.column("minima").to_pylist()), np.uint8).reshape(cell.num_rows, -1)
         rows, side, forest = _sides(cell)
         found = []
         for row in rows:
@@ -255,15 +269,18 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     kind = f"u {id_kind}, v {id_kind}"
     texts = documents.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"))
     signed = documents.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    signed = signed.mapInArrow(_signatures(plan), f"doc_id {id_kind}, print bigint, n_shingles bigint, low bigint, high bigint, minima binary")
-    signed = stored(signed, "signatures")
+    kinds = f"doc_id {id_kind}, print bigint, n_shingles bigint, low bigint, high bigint, uid bigint, bands binary, minima binary"
+    signed = stored(signed.mapInArrow(_signatures(plan), kinds), "signatures")
 
+    # A class's representative is one row of its smallest doc_id; wide columns are moved once it is known.
     numbered = signed.filter("n_shingles > 0 and doc_id is not null")
     least = stored(numbered.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id")), "least")
-    classes = numbered.join(least, ["low", "high", "doc_id"]).dropDuplicates(["low", "high"])
-    classes = stored(classes.select(F.col("doc_id").alias("id"), "low", "high", "print", "minima"), "classes")
+    narrow = numbered.select("low", "high", "doc_id", "uid").join(least, ["low", "high", "doc_id"])
+    chosen = stored(narrow.groupBy("low", "high").agg(F.min("uid").alias("uid")).select("uid"), "chosen")
+    classes = numbered.join(chosen, "uid").select(F.col("doc_id").alias("id"), "low", "high", "print", "bands", "minima")
+    classes = stored(classes, "classes")
 
-    banded = classes.select("id", "minima").mapInArrow(_band_keys(plan), f"key bigint, id {id_kind}")
+    banded = classes.select("id", "bands").mapInArrow(_banded(plan), f"key bigint, id {id_kind}")
     heads = stored(banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"), "heads")
     members = stored(banded.join(heads, "key"), "members")
     first = members.filter("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
@@ -277,7 +294,7 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
         found = components(links.union(second))
 
     of_class = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
-    named = signed.drop("minima").join(stored(of_class, "named"), ["low", "high"], "left")
+    named = signed.select("doc_id", "n_shingles", "low", "high").join(stored(of_class, "named"), ["low", "high"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
