@@ -1,9 +1,9 @@
 """Quality rules: counts within a document, and its perplexity under an n-gram model of its language.
 
 The model is a modified Kneser-Ney trigram model over characters, folded to 64 symbols: letters of a-z, blanks, digits, groups of
-signs, and the rest spread by code point. One model for each language; languages are spread over 64 places, so that all models together have
-at most 64 * (64**3 + 64**2 + 64) n-grams, 200 MB, however large the corpus, and may be broadcast. Spark counts the trigrams of
-all documents. A model is stored as sorted arrays of n-gram hashes with their probabilities and back-off weights.
+signs, and the rest spread by code point. Each value of lang has a model of its own, null too. Spark counts the trigrams of all documents and
+turns them into one table of probabilities by language and trigram, without a limit on languages. The most frequent n-grams of that table are
+broadcast, the others joined, one row for each document and n-gram; both ways give the same sums, as logarithms are whole numbers of 10**-9.
 
 A second pass gives each document's log probability per word. The median of a language's documents and the usual distance from it make
 its band; a document far above or far below is rejected.
@@ -17,14 +17,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.llm.tables import slices, stored
 from ledgertally.llm.words import Words, buffer, mixed, words
 
-PLACES = 64
 SYMBOLS = 64
-_CODES = SYMBOLS**3
+#: Bits of a symbol in the code of an n-gram.
+BITS = 6
+#: Logarithms are counted in steps of one in so many.
+UNIT = 10**9
+#: N-grams whose probabilities are broadcast at most, 16 bytes each.
+HEAD = 1 << 19
+#: A table of so many cells is addressed directly, a larger one sorted.
+_DENSE = 1 << 24
 # Symbol 0: a blank, also around a text. 1-26: a-z. 27: capitals' mark is not kept, 27-31: signs. 32: digits. 33-63: other characters.
 _SIGNS = "#*$%&|<>"
 
@@ -65,35 +72,126 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return padded[keep], np.append(0, np.cumsum(keep))[begins_out]
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the trigrams within each text, and where each text's begin (one more at the end)."""
-    found, begins = symbols(column)
-    sizes = np.diff(begins)
-    counts = np.maximum(sizes - 2, 0)
-    value = found.astype(np.int64)
-    codes = value[:-2] * SYMBOLS**2 + value[1:-1] * SYMBOLS + value[2:] if len(value) > 2 else np.zeros(0, np.int64)
-    inside = np.arange(len(codes)) + 2 < np.repeat(begins[1:], sizes)[: len(codes)]
-    return codes[inside], np.append(0, np.cumsum(counts))
+def model_names(lang: pa.Array) -> pa.Array:
+    """The model of each row: its lang after a sign; null has one without it."""
+    return pc.fill_null(pc.binary_join_element_wise("=", lang.cast(pa.string()), ""), "")
 
 
-def place(lang: pa.Array) -> np.ndarray:
-    """The model of each row: by a hash of its lang; null is a language of its own."""
-    names = pc.fill_null(lang.cast(pa.string()), "").to_pylist()
-    known = {name: int(mixed(np.array([int.from_bytes(name.encode()[:8].ljust(8, b"\0"), "little") ^ len(name)], np.uint64))[0] % PLACES) for name in set(names)}
-    return np.array([known[name] for name in names], np.int64)
+@dataclass(frozen=True)
+class Grams:
+    """Of a slice of texts: the distinct trigrams of each model (its number, code, count), and for each trigram of the texts which of them it is.
+    begins: of each text its first trigram (one more at the end)."""
+
+    models: list[str]
+    model: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+    which: np.ndarray
+    begins: np.ndarray
+
+
+def _distinct(values: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted values below `kinds` that occur, how often, and where among them each value is."""
+    if kinds > _DENSE:
+        at, which, n = np.unique(values, return_inverse=True, return_counts=True)
+        return at, n, which
+    counts = np.bincount(values, minlength=1)
+    at = np.flatnonzero(counts)
+    rank = np.zeros(len(counts), np.int64)
+    rank[at] = np.arange(len(at))
+    return at, counts[at], rank[values]
+
+
+def trigrams(column: pa.Array, lang: pa.Array) -> Grams:
+    """The trigrams within each text, by the models of their languages."""
+    found, begins = symbols(column)
+    sizes = np.diff(begins)
+    present, _, rank = _distinct(found.astype(np.int64), 1 << BITS)
+    r = max(len(present), 1)
+    dense = (rank[:-2] * r + rank[1:-1]) * r + rank[2:] if len(rank) > 2 else np.zeros(0, np.int64)
+    dense = dense[np.arange(len(dense)) + 2 < np.repeat(begins[1:], sizes)[: len(dense)]]
+    first = np.append(0, np.cumsum(np.maximum(sizes - 2, 0)))
+    cells, _, cell = _distinct(dense, r**3)
+    names = model_names(lang).dictionary_encode()
+    models, of_text = names.dictionary.to_pylist(), names.indices.to_numpy()
+    k = max(len(cells), 1)
+    at, n, which = _distinct(np.repeat(of_text.astype(np.int64), np.diff(first)) * k + cell, len(models) * k)
+    parts = cells[at % k]
+    code = (present[parts // r**2] << 2 * BITS) | (present[parts // r % r] << BITS) | present[parts % r]
+    return Grams(models, at // k, code, n, which, first)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
     for batch in slices(batches):
-        codes, begins = trigrams(batch.column("text"))
-        models = np.repeat(place(batch.column("lang")), np.diff(begins))
-        for model in np.unique(models).tolist():
-            totals.setdefault(model, np.zeros(_CODES, np.int64))
-            totals[model] += np.bincount(codes[models == model], minlength=_CODES)
-    for model, counts in totals.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), model), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["model", "code", "n"])
+        found = trigrams(batch.column("text"), batch.column("lang"))
+        models = pa.array(found.models, pa.string()).take(pa.array(found.model))
+        yield pa.RecordBatch.from_arrays([models, pa.array(found.code), pa.array(found.n)], ["model", "code", "n"])
+
+
+def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int, kinds: int | None) -> DataFrame:
+    """model, code, n, p of the n-grams of one order, from their counts and the probabilities one order below; as `kneser_ney` has it."""
+    n, step = F.col("n"), [1, 2, 3]
+    m1, m2, m3, m4 = (F.col(f"m{k}") for k in (*step, 4))
+    few, y = F.least(m1, m2, m3, m4) == 0, m1 / (m1 + 2 * m2)
+    full = [(1 - 2 * y * m2 / m1, 0.95, 0.5), (2 - 3 * y * m3 / m2, 1.9, 0.75), (3 - 4 * y * m4 / m3, 2.9, 0.9)]
+    taken = [F.when(few, F.lit(plain)).otherwise(F.least(F.greatest(d, F.lit(0.05)), F.lit(most))).alias(f"d{k}") for k, (d, most, plain) in zip(step, full, strict=True)]
+    times = [F.sum((n == k).cast("long")).cast("double").alias(f"m{k}") for k in (*step, 4)]
+    discounts = grams.groupBy("model").agg(*times, F.count("*").alias("kinds")).select("model", "kinds", *taken)  # one row per language
+    grams = grams.withColumn("context", F.shiftright("code", bits))
+    contexts = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), *(F.sum((F.least(n, F.lit(3)) == k).cast("long")).alias(f"c{k}") for k in step))
+    contexts = F.broadcast(contexts) if lower is None else contexts  # of single symbols there is one per language
+    out = grams.join(contexts, ["model", "context"]).join(F.broadcast(discounts), "model")
+    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
+    own = (n - F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    if lower is None:
+        return out.select("model", "code", "n", (own + gamma / (F.lit(kinds) if kinds else F.col("kinds") + 1)).alias("p"))
+    out = out.select("model", "code", "n", own.alias("own"), gamma.alias("gamma"), F.col("code").bitwiseAND(F.lit((1 << bits * (order - 1)) - 1)).alias("rest"))
+    lower = lower.select("model", F.col("code").alias("rest"), F.col("p").alias("base"))
+    return out.join(lower, ["model", "rest"]).select("model", "code", "n", (F.col("own") + F.col("gamma") * F.col("base")).alias("p"))
+
+
+def probabilities(counts: DataFrame, bits: int = BITS, kinds: int | None = SYMBOLS) -> DataFrame:
+    """model, code, n, log_p of every trigram, from model, code, n: log10 of its last symbol's probability after the two before, in steps of 1 / UNIT.
+
+    An unseen symbol has one share of `kinds`, or of the language's own symbols and one more.
+    """
+    grams = {3: counts}
+    for order in (2, 1):
+        code = F.col("code").bitwiseAND(F.lit((1 << bits * order) - 1)).alias("code")
+        grams[order] = grams[order + 1].groupBy("model", code).agg(F.count("*").alias("n"))
+    known = None
+    for order in (1, 2, 3):
+        known = _discounted(grams[order], known, bits, order, kinds)
+    return known.select("model", "code", "n", F.round(F.log10("p") * UNIT).cast("long").alias("log_p"))
+
+
+@dataclass(frozen=True)
+class Head:
+    """Of each model the sorted codes of frequent n-grams and their logarithms."""
+
+    tables: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    def find(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each distinct n-gram (0 where it isn't here), and whether it is here."""
+        out, hit = np.zeros(len(grams.code), np.int64), np.zeros(len(grams.code), bool)
+        ends = np.searchsorted(grams.model, np.arange(len(grams.models) + 1))
+        for name, a, b in zip(grams.models, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            codes, logs = self.tables.get(name, (np.zeros(0, np.int64),) * 2)
+            at, hit[a:b] = _found(codes, grams.code[a:b])
+            out[a:b][hit[a:b]] = logs[at[hit[a:b]]]
+        return out, hit
+
+
+def _head(table: DataFrame, most: int) -> tuple[Head, bool]:
+    """The n-grams down to the lowest level of counts, in eighths of a doubling, of which `most` are enough; and whether these are all."""
+    level = F.floor(F.log2("n") * 8)
+    levels = table.groupBy(level.alias("level")).count().toPandas().sort_values("level", ascending=False)
+    fit = levels[levels["count"].cumsum() <= most].level
+    if not len(fit):
+        return Head({}), not len(levels)
+    found = table.filter(level >= int(fit.min())).select("model", "code", "log_p").toPandas().sort_values(["model", "code"])
+    tables = {name: (part.code.to_numpy(np.int64), part.log_p.to_numpy(np.int64)) for name, part in found.groupby("model")}
+    return Head(tables), len(fit) == len(levels)
 
 
 def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
@@ -231,51 +329,58 @@ class Bands:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(models: dict[int, list[Level]], names: Sequence[str]):
+def _measured(head_of, names: Sequence[str]):
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
+        head, part, row = head_of.value, TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            codes, begins = trigrams(batch.column("text"))
-            sizes, model = np.diff(begins), place(batch.column("lang"))
-            of_code = np.repeat(model, sizes)
-            log_p = np.zeros(len(codes))
-            for m in np.unique(model).tolist():
-                own = of_code == m
-                known = tables.get(m)
-                if known is None:  # each trigram is looked up once in a task
-                    known = tables[m] = np.full(_CODES, np.nan, np.float32)
-                seen = np.unique(codes[own])
-                new = seen[np.isnan(known[seen])]
-                known[new] = log_probabilities(models[m], new) if m in models else 0
-                log_p[own] = known[codes[own]]
-            sums = np.append(0, np.cumsum(log_p))
+            texts, found = batch.num_rows, trigrams(batch.column("text"), batch.column("lang"))
+            logs, hit = head.find(found)
+            sums = np.append(0, np.cumsum(logs[found.which]))[found.begins]
+            # what the head does not have, once for each text
+            missing = ~hit[found.which]
+            text = np.repeat(np.arange(texts), np.diff(found.begins))[missing]
+            pairs, times = np.unique(text * max(len(hit), 1) + found.which[missing], return_counts=True)
+            at = np.searchsorted(pairs, np.arange(texts + 1) * max(len(hit), 1)).astype(np.int32)
+            rest = found.code[pairs % max(len(hit), 1)]
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (rest, times)]
             counts = counted(batch.column("text"))
-            mean = (sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(counts[0], 1)
-            columns = [*(batch.column(c) for c in names), *map(pa.array, counts), pa.array(model, pa.int32()), pa.array(mean)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *_COUNTS, "model", "mean_log"])
+            uid = (part << 33) + row + np.arange(texts)
+            row += texts
+            columns = [*(batch.column(c) for c in names), *map(pa.array, counts), pa.array(uid), model_names(batch.column("lang")), pa.array(np.diff(sums)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *_COUNTS, *_OWN])
 
     return measure
 
 
-def judged(documents: DataFrame, bands: Bands = Bands(), columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+#: Columns beside those of the documents: of the n-grams in the head the sum of logarithms, and the others with their counts.
+_OWN = ("_uid", "_model", "_in_head", "_rest", "_times")
+
+
+def judged(documents: DataFrame, bands: Bands = Bands(), columns: Sequence[str] = ("doc_id",), head: int = HEAD) -> DataFrame:
     """The given columns of each row, the counts of its whole text, base_failed, perplexity (of a word), band_failed, kept.
 
     A null text has no words. base_failed: fewer than 10 words, or over 20 % of them in repeated windows of five. band_failed: the
     perplexity is outside its language's band; a text without words has perplexity 1 and is not compared. A language that is
-    null has a band of its own. An empty table gives an empty one. Only `columns`, text and lang are read.
+    null has a band of its own. An empty table gives an empty one. Only `columns`, text and lang are read. At most `head` n-grams are broadcast.
     """
     spark, names = documents.sparkSession, list(columns)
-    counts = documents.select("text", "lang").mapInArrow(_count, "model int, code int, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n")).toPandas()
-    models = {int(m): kneser_ney(*(part.sort_values("code")[c].to_numpy() for c in ("code", "n"))) for m, part in counts.groupby("model")}
-    shared = spark.sparkContext.broadcast(models)
-
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _measured(shared.value, names)(batches)
+    counts = documents.select("text", "lang").mapInArrow(_count, "model string, code bigint, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    table = stored(probabilities(stored(counts, "trigrams")), "probabilities")
+    frequent, whole = _head(table, head)
+    shared = spark.sparkContext.broadcast(frequent)
 
     read = documents.select(*dict.fromkeys([*names, "text", "lang"]))
     kinds = "".join(f"`{c}` {kind}, " for c, kind in documents.select(*names).dtypes)
-    kinds += "".join(f"{c} bigint, " for c in _COUNTS) + "model int, mean_log double"
-    rows = stored(read.mapInArrow(measure, kinds), "measured")
+    kinds += "".join(f"{c} bigint, " for c in _COUNTS) + "_uid bigint, _model string, _in_head bigint, _rest array<bigint>, _times array<bigint>"
+    rows = stored(read.mapInArrow(_measured(shared, names), kinds), "measured")
+    of_rest = F.lit(0)
+    if not whole:
+        rest = rows.select("_uid", F.col("_model").alias("model"), F.explode(F.arrays_zip("_rest", "_times")).alias("r"))
+        rest = rest.select("_uid", "model", F.col("r._rest").alias("code"), F.col("r._times").alias("times"))
+        rest = rest.join(table, ["model", "code"]).groupBy("_uid").agg(F.sum(F.col("times") * F.col("log_p")).alias("_of_rest"))
+        rows = rows.join(stored(rest, "rest"), "_uid", "left")
+        of_rest = F.coalesce("_of_rest", F.lit(0))
+    rows = rows.withColumn("mean_log", (F.col("_in_head") + of_rest) / F.greatest(F.col("n_words"), F.lit(1)) / UNIT).withColumnRenamed("_model", "model")
 
     # Bins of a two-hundredth, one row per bin, model and length class, give medians without a list of all documents.
     usual = rows.filter("n_words > 0").select("model", (F.col("n_words") >= bands.long).alias("is_long"), F.round(F.col("mean_log") * 200).cast("int").alias("bin"))
@@ -285,8 +390,8 @@ def judged(documents: DataFrame, bands: Bands = Bands(), columns: Sequence[str]
         part = part[part.is_long] if part.is_long.any() else part
         middle = _median(part.bin.to_numpy() / 200, part.n.to_numpy())
         spread = 1.4826 * _median(np.abs(part.bin.to_numpy() / 200 - middle), part.n.to_numpy())
-        allowed.append((int(model), float(middle), float(max(spread * bands.width, bands.least))))
-    limits = F.broadcast(spark.createDataFrame(allowed, "model int, middle double, allowed double"))  # one row per model, 64 at most
+        allowed.append((model, float(middle), float(max(spread * bands.width, bands.least))))
+    limits = F.broadcast(spark.createDataFrame(allowed, "model string, middle double, allowed double"))  # one row per language
     slack = F.col("allowed") * F.sqrt(1 + bands.long / F.greatest(F.col("n_words"), F.lit(1)))
     outside = F.coalesce((F.col("n_words") > 0) & (F.abs(F.col("mean_log") - F.col("middle")) > slack), F.lit(False))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

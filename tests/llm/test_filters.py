@@ -64,6 +64,32 @@ def test_quality_of_odd_and_of_garbled_rows(spark):
     assert perplexity.judged(frame.limit(0)).collect() == []
 
 
+def test_every_language_is_judged_by_its_own_model(spark):
+    rng = random.Random(12)
+    many = [(3000 + k, sentence(rng, "en", 80), "en") for k in range(200)]
+    alone = [(4000 + k, "".join(rng.choice("qxzj") for _ in range(9)).join([" "] * 40), None) for k in range(25)]
+    same = [(5000 + k, sentence(rng, "de", 80), "sr-Latn-RS") for k in range(200)] + [(6000 + k, "zq xj " * 60, "sr-Latn-BA") for k in range(25)]
+    frame = spark.createDataFrame([(i, t, g, "s", 1, True, "clash", 7, "clash", "clash", 1) for i, t, g in many + alone + same], SCHEMA)
+    got = {r.doc_id: r for r in perplexity.judged(frame).collect()}
+    assert not any(got[i].band_failed for i, _, _ in many + alone + same)
+    few = {r.doc_id: r for r in perplexity.judged(frame, head=40).collect()}
+    assert few == got
+
+
+def test_probabilities_of_the_table_are_those_of_one_process(spark):
+    rng = np.random.default_rng(5)
+    kinds = {"=a": 9, "=b": 30, "": 3}
+    rows, want = [], {}
+    for name, k in kinds.items():
+        codes, counts = np.unique(rng.integers(0, k, 4000) * 4096 + rng.integers(0, k, 4000) * 64 + np.minimum(rng.geometric(0.2, 4000), 63), return_counts=True)
+        logs = perplexity.log_probabilities(perplexity.kneser_ney(codes, counts), codes)
+        rows += zip([name] * len(codes), codes.tolist(), counts.tolist(), strict=True)
+        want |= {(name, c): p for c, p in zip(codes.tolist(), logs.tolist(), strict=True)}
+    found = perplexity.probabilities(spark.createDataFrame(rows, "model string, code bigint, n bigint"), 6, 64).collect()
+    got = {(r.model, r.code): r.log_p / 10**9 for r in found}
+    assert len(found) == len(want) and got == pytest.approx(want, abs=1e-8)
+
+
 def test_language_of_held_out_and_odd_rows(spark):
     rng = random.Random(9)
     rows = [(5000 + k, sentence(rng, lang, rng.randint(5, 60)), lang) for k in range(300) for lang in [rng.choice(list(SYLLABLES))]]
