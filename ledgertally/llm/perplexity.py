@@ -1,11 +1,12 @@
 """Quality rules: counts within a document, and its perplexity under an n-gram model of its language.
 
-The model is a modified Kneser-Ney trigram model over characters, folded to 64 symbols: letters of a-z, blanks, digits, groups of
-signs, and the rest spread by code point. Each value of lang has a model of its own, null too. Spark counts the trigrams of all documents and
-turns them into one table of probabilities by language and trigram, without a limit on languages. The most frequent n-grams of that table are
-broadcast, the others joined, one row for each document and n-gram; both ways give the same sums, as logarithms are whole numbers of 10**-9.
+The model is a modified Kneser-Ney trigram model over code points; capitals count as small letters, digits as 0, runs of blanks as one.
+Each value of lang has a model of its own, null too. Spark counts the trigrams of all documents and turns them into one table of
+probabilities by language and trigram, which grows with the languages and with what they write. A document is no evidence for itself: an n-gram of a
+single text, copies included, counts as unseen. The most frequent n-grams of the table are broadcast, the others joined,
+one row for each document and n-gram; both ways give the same sums, as logarithms are whole numbers of 10**-9.
 
-A second pass gives each document's log probability per word. The median of a language's documents and the usual distance from it make
+A second pass gives each document's log probability per code point. The median of a language's documents and the usual distance from it make
 its band; a document far above or far below is rejected.
 """
 
@@ -23,51 +24,44 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertally.llm.tables import slices, stored
 from ledgertally.llm.words import Words, buffer, mixed, words
 
+#: Symbols of `kneser_ney` in one process.
 SYMBOLS = 64
-#: Bits of a symbol in the code of an n-gram.
-BITS = 6
+#: Bits of a symbol in the code of an n-gram: those of a code point.
+BITS = 21
 #: Logarithms are counted in steps of one in so many.
 UNIT = 10**9
 #: N-grams whose probabilities are broadcast at most, 16 bytes each.
 HEAD = 1 << 19
 #: A table of so many cells is addressed directly, a larger one sorted.
 _DENSE = 1 << 24
-# Symbol 0: a blank, also around a text. 1-26: a-z. 27: capitals' mark is not kept, 27-31: signs. 32: digits. 33-63: other characters.
 _SIGNS = "#*$%&|<>"
 
 
 def _fold() -> np.ndarray:
-    """The symbol of each byte: an ASCII character by itself, others by the code point's first byte and low bits (see `symbols`)."""
-    out = np.zeros(256, np.uint8)
-    for b in range(33, 127):
-        c = chr(b).lower()
-        out[b] = ord(c) - 96 if "a" <= c <= "z" else 32 if c.isdigit() else 27 if c in ".,;:" else 28 if c in "!?" else 29 if c in "'\"-" else 30 if c in _SIGNS else 31
+    """What code points below 2**17 count as: capitals as small letters, digits of ASCII as 0, its blanks and controls as a blank."""
+    low = [chr(c).lower() for c in range(1 << 17)]
+    out = np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.int64)
+    out[48:58], out[:33], out[127] = 48, 32, 32
     return out
 
 
-_BYTE = _fold()
+_FOLD = _fold()
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, runs of blanks as one, each text between two blanks, and where each text begins (one more at the end)."""
+    """Folded code points of all texts, runs of blanks as one, each text between two blanks, and where each text begins (one more at the end)."""
     data, offsets = buffer(column)
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    first = data[at]
-    out = _BYTE[first].copy()
-    wide = np.flatnonzero(first >= 0x80)
-    if len(wide):
-        second = data[np.minimum(at[wide] + 1, len(data) - 1)].astype(np.uint32)
-        low = (first[wide].astype(np.uint32) * 64 + (second & 0x3F)) | 32 * (first[wide] == 0xC3)  # Latin-1 capitals as small letters
-        out[wide] = 33 + (low * 2654435761 % 2**32 * 31 >> 32)
-    begins = np.searchsorted(at, offsets)
+    out = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    small = out < len(_FOLD)
+    out[small] = _FOLD[out[small]]
+    begins = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets)
     sizes = np.diff(begins)
     # a blank before each text and one after it
     begins_out = np.append(0, np.cumsum(sizes + 2))
-    padded = np.zeros(begins_out[-1], np.uint8)
+    padded = np.full(begins_out[-1], 32, np.int64)
     padded[np.arange(len(out)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = out
     keep = np.ones(len(padded), bool)
-    keep[1:] = (padded[1:] != 0) | (padded[:-1] != 0)
+    keep[1:] = (padded[1:] != 32) | (padded[:-1] != 32)
     keep[begins_out[:-1]] = True
     return padded[keep], np.append(0, np.cumsum(keep))[begins_out]
 
@@ -106,7 +100,7 @@ def trigrams(column: pa.Array, lang: pa.Array) -> Grams:
     """The trigrams within each text, by the models of their languages."""
     found, begins = symbols(column)
     sizes = np.diff(begins)
-    present, _, rank = _distinct(found.astype(np.int64), 1 << BITS)
+    present, _, rank = _distinct(found, 1 << BITS)
     r = max(len(present), 1)
     dense = (rank[:-2] * r + rank[1:-1]) * r + rank[2:] if len(rank) > 2 else np.zeros(0, np.int64)
     dense = dense[np.arange(len(dense)) + 2 < np.repeat(begins[1:], sizes)[: len(dense)]]
@@ -122,14 +116,20 @@ def trigrams(column: pa.Array, lang: pa.Array) -> Grams:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """model, code, n, and the smallest and largest fingerprint of the texts that have the trigram."""
     for batch in slices(batches):
         found = trigrams(batch.column("text"), batch.column("lang"))
         models = pa.array(found.models, pa.string()).take(pa.array(found.model))
-        yield pa.RecordBatch.from_arrays([models, pa.array(found.code), pa.array(found.n)], ["model", "code", "n"])
+        prints = np.repeat(batch.column("print").to_numpy(), np.diff(found.begins))
+        lo, hi = np.full(len(found.code), np.iinfo(np.int64).max), np.full(len(found.code), np.iinfo(np.int64).min)
+        np.minimum.at(lo, found.which, prints)
+        np.maximum.at(hi, found.which, prints)
+        yield pa.RecordBatch.from_arrays([models, *map(pa.array, (found.code, found.n, lo, hi))], ["model", "code", "n", "lo", "hi"])
 
 
 def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int, kinds: int | None) -> DataFrame:
-    """model, code, n, p of the n-grams of one order, from their counts and the probabilities one order below; as `kneser_ney` has it."""
+    """model, code, n, p of the n-grams of one order, from their counts and the probabilities one order below; as `kneser_ney` has it, but n-grams
+    and contexts of one text alone (lo = hi) count as unseen."""
     n, step = F.col("n"), [1, 2, 3]
     m1, m2, m3, m4 = (F.col(f"m{k}") for k in (*step, 4))
     few, y = F.least(m1, m2, m3, m4) == 0, m1 / (m1 + 2 * m2)
@@ -138,11 +138,14 @@ def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int
     times = [F.sum((n == k).cast("long")).cast("double").alias(f"m{k}") for k in (*step, 4)]
     discounts = grams.groupBy("model").agg(*times, F.count("*").alias("kinds")).select("model", "kinds", *taken)  # one row per language
     grams = grams.withColumn("context", F.shiftright("code", bits))
-    contexts = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), *(F.sum((F.least(n, F.lit(3)) == k).cast("long")).alias(f"c{k}") for k in step))
+    texts = [F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all")]
+    contexts = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), *texts, *(F.sum((F.least(n, F.lit(3)) == k).cast("long")).alias(f"c{k}") for k in step))
     contexts = F.broadcast(contexts) if lower is None else contexts  # of single symbols there is one per language
     out = grams.join(contexts, ["model", "context"]).join(F.broadcast(discounts), "model")
     gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
+    gamma = F.when(F.col("lo_all") == F.col("hi_all"), F.lit(1.0)).otherwise(gamma)
     own = (n - F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    own = F.when(F.col("lo") == F.col("hi"), F.lit(0.0)).otherwise(own)
     if lower is None:
         return out.select("model", "code", "n", (own + gamma / (F.lit(kinds) if kinds else F.col("kinds") + 1)).alias("p"))
     out = out.select("model", "code", "n", own.alias("own"), gamma.alias("gamma"), F.col("code").bitwiseAND(F.lit((1 << bits * (order - 1)) - 1)).alias("rest"))
@@ -150,15 +153,18 @@ def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int
     return out.join(lower, ["model", "rest"]).select("model", "code", "n", (F.col("own") + F.col("gamma") * F.col("base")).alias("p"))
 
 
-def probabilities(counts: DataFrame, bits: int = BITS, kinds: int | None = SYMBOLS) -> DataFrame:
+def probabilities(counts: DataFrame, bits: int = BITS, kinds: int | None = None) -> DataFrame:
     """model, code, n, log_p of every trigram, from model, code, n: log10 of its last symbol's probability after the two before, in steps of 1 / UNIT.
 
-    An unseen symbol has one share of `kinds`, or of the language's own symbols and one more.
+    An unseen symbol has one share of `kinds`, or of the language's own symbols and one more. With columns lo and hi, the smallest and largest
+    fingerprint of the texts that have a trigram, those of one text alone count as unseen.
     """
+    if "lo" not in counts.columns:
+        counts = counts.withColumns({"lo": F.lit(0), "hi": F.lit(1)})
     grams = {3: counts}
     for order in (2, 1):
         code = F.col("code").bitwiseAND(F.lit((1 << bits * order) - 1)).alias("code")
-        grams[order] = grams[order + 1].groupBy("model", code).agg(F.count("*").alias("n"))
+        grams[order] = grams[order + 1].groupBy("model", code).agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     known = None
     for order in (1, 2, 3):
         known = _discounted(grams[order], known, bits, order, kinds)
@@ -224,7 +230,7 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """The levels of orders 1 to 3 from the counts of trigrams. Lower orders count in how many contexts an n-gram was seen."""
+    """The levels of orders 1 to 3 from the counts of trigrams of 64 symbols, in one process; the table made by Spark is tested against them. Lower orders count in how many contexts an n-gram was seen."""
     per_order = [(None, None)] * 4
     per_order[3] = (codes, counts.astype(np.float64))
     for order in (2, 1):
@@ -318,12 +324,13 @@ def counted(column: pa.Array) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Bands:
-    """A document's log10 probability per word is compared with its language's median; `width` times the usual distance on either side is
-    allowed, `least` at least, and more for short texts, whose means scatter by chance. The distance is taken from documents of `long` words or more, if there are any."""
+    """A document's log10 probability per code point is compared with its language's median; `width` times the usual distance on either side is
+    allowed, `least` at least, and more for short texts, whose means scatter by chance. The distance is taken from documents of `long` code points or more, if there are any.
+    `long` and `least` are 50 words and 0.3 a word, at six code points a word."""
 
     width: float = 9.0
-    long: int = 50
-    least: float = 0.3
+    long: int = 300
+    least: float = 0.05
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -346,32 +353,33 @@ def _measured(head_of, names: Sequence[str]):
             counts = counted(batch.column("text"))
             uid = (part << 33) + row + np.arange(texts)
             row += texts
-            columns = [*(batch.column(c) for c in names), *map(pa.array, counts), pa.array(uid), model_names(batch.column("lang")), pa.array(np.diff(sums)), *lists]
+            columns = [*(batch.column(c) for c in names), *map(pa.array, counts), pa.array(uid), model_names(batch.column("lang")), pa.array(np.diff(found.begins)), pa.array(np.diff(sums)), *lists]
             yield pa.RecordBatch.from_arrays(columns, [*names, *_COUNTS, *_OWN])
 
     return measure
 
 
-#: Columns beside those of the documents: of the n-grams in the head the sum of logarithms, and the others with their counts.
-_OWN = ("_uid", "_model", "_in_head", "_rest", "_times")
+#: Columns beside those of the documents: how many n-grams, of those in the head the sum of logarithms, and the others with their counts.
+_OWN = ("_uid", "_model", "_scored", "_in_head", "_rest", "_times")
 
 
 def judged(documents: DataFrame, bands: Bands = Bands(), columns: Sequence[str] = ("doc_id",), head: int = HEAD) -> DataFrame:
-    """The given columns of each row, the counts of its whole text, base_failed, perplexity (of a word), band_failed, kept.
+    """The given columns of each row, the counts of its whole text, base_failed, perplexity (of a code point), band_failed, kept.
 
     A null text has no words. base_failed: fewer than 10 words, or over 20 % of them in repeated windows of five. band_failed: the
-    perplexity is outside its language's band; a text without words has perplexity 1 and is not compared. A language that is
+    perplexity is outside its language's band; a text of blanks has perplexity 1 and is not compared. A language that is
     null has a band of its own. An empty table gives an empty one. Only `columns`, text and lang are read. At most `head` n-grams are broadcast.
     """
     spark, names = documents.sparkSession, list(columns)
-    counts = documents.select("text", "lang").mapInArrow(_count, "model string, code bigint, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    counts = documents.select("text", "lang", F.xxhash64("text").alias("print")).mapInArrow(_count, "model string, code bigint, n bigint, lo bigint, hi bigint")
+    counts = counts.groupBy("model", "code").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     table = stored(probabilities(stored(counts, "trigrams")), "probabilities")
     frequent, whole = _head(table, head)
     shared = spark.sparkContext.broadcast(frequent)
 
     read = documents.select(*dict.fromkeys([*names, "text", "lang"]))
     kinds = "".join(f"`{c}` {kind}, " for c, kind in documents.select(*names).dtypes)
-    kinds += "".join(f"{c} bigint, " for c in _COUNTS) + "_uid bigint, _model string, _in_head bigint, _rest array<bigint>, _times array<bigint>"
+    kinds += "".join(f"{c} bigint, " for c in _COUNTS) + "_uid bigint, _model string, _scored bigint, _in_head bigint, _rest array<bigint>, _times array<bigint>"
     rows = stored(read.mapInArrow(_measured(shared, names), kinds), "measured")
     of_rest = F.lit(0)
     if not whole:
@@ -380,20 +388,20 @@ def judged(documents: DataFrame, bands: Bands = Bands(), columns: Sequence[str]
         rest = rest.join(table, ["model", "code"]).groupBy("_uid").agg(F.sum(F.col("times") * F.col("log_p")).alias("_of_rest"))
         rows = rows.join(stored(rest, "rest"), "_uid", "left")
         of_rest = F.coalesce("_of_rest", F.lit(0))
-    rows = rows.withColumn("mean_log", (F.col("_in_head") + of_rest) / F.greatest(F.col("n_words"), F.lit(1)) / UNIT).withColumnRenamed("_model", "model")
+    rows = rows.withColumn("mean_log", (F.col("_in_head") + of_rest) / F.greatest(F.col("_scored"), F.lit(1)) / UNIT).withColumnRenamed("_model", "model")
 
-    # Bins of a two-hundredth, one row per bin, model and length class, give medians without a list of all documents.
-    usual = rows.filter("n_words > 0").select("model", (F.col("n_words") >= bands.long).alias("is_long"), F.round(F.col("mean_log") * 200).cast("int").alias("bin"))
+    # Bins of a two-thousandth, one row per bin, model and length class, give medians without a list of all documents.
+    usual = rows.filter("_scored > 0").select("model", (F.col("_scored") >= bands.long).alias("is_long"), F.round(F.col("mean_log") * 2000).cast("int").alias("bin"))
     usual = usual.groupBy("model", "is_long", "bin").agg(F.count("*").alias("n")).toPandas()
     allowed = []
     for model, part in usual.groupby("model"):
         part = part[part.is_long] if part.is_long.any() else part
-        middle = _median(part.bin.to_numpy() / 200, part.n.to_numpy())
-        spread = 1.4826 * _median(np.abs(part.bin.to_numpy() / 200 - middle), part.n.to_numpy())
+        middle = _median(part.bin.to_numpy() / 2000, part.n.to_numpy())
+        spread = 1.4826 * _median(np.abs(part.bin.to_numpy() / 2000 - middle), part.n.to_numpy())
         allowed.append((model, float(middle), float(max(spread * bands.width, bands.least))))
     limits = F.broadcast(spark.createDataFrame(allowed, "model string, middle double, allowed double"))  # one row per language
-    slack = F.col("allowed") * F.sqrt(1 + bands.long / F.greatest(F.col("n_words"), F.lit(1)))
-    outside = F.coalesce((F.col("n_words") > 0) & (F.abs(F.col("mean_log") - F.col("middle")) > slack), F.lit(False))
+    slack = F.col("allowed") * F.sqrt(1 + bands.long / F.greatest(F.col("_scored"), F.lit(1)))
+    outside = F.coalesce((F.col("_scored") > 0) & (F.abs(F.col("mean_log") - F.col("middle")) > slack), F.lit(False))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.join(limits, "model", "left").withColumn("base_failed", base).withColumn("band_failed", outside)
     out = out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("mean_log"))).withColumn("kept", ~F.col("base_failed") & ~F.col("band_failed"))

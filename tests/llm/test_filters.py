@@ -90,6 +90,26 @@ def test_probabilities_of_the_table_are_those_of_one_process(spark):
     assert len(found) == len(want) and got == pytest.approx(want, abs=1e-8)
 
 
+def test_neighbouring_characters_are_symbols_of_their_own():
+    texts = ["日本", "旦本", "日末", "ÉÀ 12", "éà 34", "😀x", "😁x"]
+    found = perplexity.trigrams(pa.array(texts), pa.array(["ja"] * 7))
+    grams = [tuple(found.code[found.which[a:b]].tolist()) for a, b in zip(found.begins[:-1], found.begins[1:], strict=True)]
+    assert grams[3] == grams[4] and len(set(grams)) == 6
+    assert grams[0] == ((32 << 42) | (0x65E5 << 21) | 0x672C, (0x65E5 << 42) | (0x672C << 21) | 32)
+
+
+def test_scripts_without_blanks_are_judged_by_what_they_say(spark):
+    rng = random.Random(14)
+    kinds = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    clean = ["".join(rng.choice(kinds) for _ in range(250)) for _ in range(120)]
+    run = [" ".join(t[k : k + 8] for k in range(0, len(t), 8)) if d % 2 else t for d, t in enumerate(clean)]
+    junk = [" ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(8)) for _ in range(60)) for _ in range(4)]
+    junk += ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(500)) for _ in range(4)]
+    frame = spark.createDataFrame([(k, t, "zh") for k, t in enumerate(run + junk)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.band_failed for r in perplexity.judged(frame).collect()}
+    assert not any(got[k] for k in range(120)) and all(got[120 + k] for k in range(8))
+
+
 def test_language_of_held_out_and_odd_rows(spark):
     rng = random.Random(9)
     rows = [(5000 + k, sentence(rng, lang, rng.randint(5, 60)), lang) for k in range(300) for lang in [rng.choice(list(SYLLABLES))]]
