@@ -162,23 +162,30 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """Per row: vec_id, n_links (other vectors at that cosine or above), component_id (smallest vec_id reachable by links), kept (it is that one).
 
     Vectors that are null, empty or zero, or hold null or non-finite places, and rows with a null vec_id have no links. Vectors of different lengths
-    have none with each other. Repeated rows are vectors of their own, linked with each other. Columns other than vec_id and embedding are not read.
+    have none with each other. Repeated rows are vectors of their own, linked with each other; a vec_id of several vectors joins their components. Columns other than vec_id and embedding are not read.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = stored(vectors.select("vec_id", "embedding").mapInArrow(_valid, f"vec_id {kind}, places binary"), "vectors")
     classes = rows.filter("places is not null").groupBy("places").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("key", F.xxhash64("places")), "classes")  # a vec_id may have several vectors, so classes go by a fingerprint of theirs
     vectors_in_all = classes.count()
-    listed = stored(classes.select("id", "places").mapInArrow(_listed(caps, vectors_in_all), f"code int, filter bigint, id {kind}"), "listed")
+    keyed = classes.select(F.col("key").alias("id"), "places")
+    listed = stored(keyed.mapInArrow(_listed(caps, vectors_in_all), "code int, filter bigint, id bigint"), "listed")
     other = listed.withColumnRenamed("id", "v")
     pairs = listed.withColumnRenamed("id", "u").join(other, ["code", "filter"]).filter("u < v").select("u", "v").distinct()
-    ends = {end: classes.select(F.col("id").alias(end), F.col("places").alias(f"places_{end}")) for end in "uv"}
+    ends = {end: classes.select(F.col("key").alias(end), F.col("places").alias(f"places_{end}")) for end in "uv"}
     full = pairs.join(ends["u"], "u").join(ends["v"], "v").select("u", "v", "places_u", "places_v")
-    links = stored(full.filter("length(places_u) = length(places_v)").mapInArrow(_linked(caps), f"u {kind}, v {kind}"), "links")
+    links = stored(full.filter("length(places_u) = length(places_v)").mapInArrow(_linked(caps), "u bigint, v bigint"), "links")
 
-    both = links.union(links.select("v", "u")).join(classes.select(F.col("id").alias("v"), "copies"), "v")
+    both = links.union(links.select("v", "u")).join(classes.select(F.col("key").alias("v"), "copies"), "v")
     others = stored(both.groupBy("u").agg(F.sum("copies").alias("others")), "others")
-    named = classes.join(others.withColumnRenamed("u", "id"), "id", "left").join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    # Components are of vec_ids: one that is in several classes ties them.
+    ids = {end: classes.select(F.col("key").alias(end), F.col("id").alias(f"id_{end}")) for end in "uv"}
+    edges = links.join(ids["u"], "u").join(ids["v"], "v").select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    members = rows.filter("places is not null and vec_id is not null").select("vec_id", "places").distinct().join(classes.select("places", "id", "key"), "places")
+    several = members.groupBy("vec_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("vec_id")
+    edges = edges.union(members.join(several, "vec_id").select(F.col("vec_id").alias("u"), F.col("id").alias("v")))
+    named = classes.join(others.withColumnRenamed("u", "key"), "key", "left").join(components(edges).withColumnRenamed("node", "id"), "id", "left")
     links_of = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
     named = stored(named.select("places", links_of.alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
     out = rows.join(named, "places", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -108,6 +108,12 @@ def test_vectors_agree_with_all_pairs(spark):
     assert caps.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
 
+def test_rows_of_one_vec_id_with_other_vectors_are_classes_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.99, 0.1, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.01]), (3, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 2.0])]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(3, 1, 3, True), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 3, False)]
+
+
 @pytest.mark.parametrize("vectors", [10, 50_000, 10**8])
 def test_filters_find_pairs_at_the_very_cosine(vectors):
     rng, plan = np.random.default_rng(6), caps.Caps()
