@@ -19,6 +19,7 @@ from ledgertally.llm.packing import packed
 from ledgertally.llm.perplexity import judged
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
+from ledgertally.llm.whitening import whitened
 
 #: A context window of so many tokens.
 WINDOW = 1024
@@ -66,6 +67,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
@@ -77,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_ids": op9_token_ids,
     "op10_langid": op10_langid,
+    "op11_whiten": op11_whiten,
 }
