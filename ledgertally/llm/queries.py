@@ -17,6 +17,7 @@ from ledgertally.llm.mixing import mixed_sources
 from ledgertally.llm.ordinal import toxicity
 from ledgertally.llm.packing import packed
 from ledgertally.llm.perplexity import judged
+from ledgertally.llm.phrases import collocations
 from ledgertally.llm.sql import ORACLE_SQL as ORACLE_SQL
 from ledgertally.llm.tables import table
 from ledgertally.llm.whitening import whitened
@@ -71,6 +72,10 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
@@ -83,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_langid": op10_langid,
     "op11_whiten": op11_whiten,
+    "op12_phrases": op12_phrases,
 }

@@ -74,4 +74,41 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN least ON vec_id = least.u LEFT JOIN degrees ON vec_id = degrees.u
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": _NEAR, "op2_mix": _MIX, "op4_caps": _VECTORS}
+_PHRASES = r"""
+WITH lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents WHERE text IS NOT NULL)
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+), places AS (
+    SELECT lang, unnest(w) AS w1, unnest(list_concat(w[2:], [NULL])) AS w2, unnest(list_concat(w[3:], [NULL, NULL])[:len(w)]) AS w3 FROM lists
+), one AS (
+    SELECT lang, w1, count(*) AS f FROM places GROUP BY ALL
+), two AS (
+    SELECT lang, w1, w2, count(*) AS f FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+), three AS (
+    SELECT lang, w1, w2, w3, count(*) AS f FROM places WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+), cuts AS (
+    SELECT two.lang, two.w1 || ' ' || two.w2 AS phrase, 1 AS k, two.f AS a, x.f AS l, y.f AS r
+    FROM two JOIN one x ON x.lang = two.lang AND x.w1 = two.w1 JOIN one y ON y.lang = two.lang AND y.w1 = two.w2
+    LEFT JOIN longer ON longer.lang = two.lang AND longer.w1 = two.w1 AND longer.w2 = two.w2
+    WHERE two.f >= 10 AND 100 * coalesce(longer.f, 0) < 50 * two.f
+    UNION ALL
+    SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || three.w3, 1, three.f, x.f, y.f
+    FROM three JOIN one x ON x.lang = three.lang AND x.w1 = three.w1 JOIN two y ON y.lang = three.lang AND y.w1 = three.w2 AND y.w2 = three.w3
+    UNION ALL
+    SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || three.w3, 2, three.f, x.f, y.f
+    FROM three JOIN two x ON x.lang = three.lang AND x.w1 = three.w1 AND x.w2 = three.w2 JOIN one y ON y.lang = three.lang AND y.w1 = three.w3
+), scored AS (
+    SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a * a) // (l::HUGEINT * r), k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash": _NEAR, "op2_mix": _MIX, "op4_caps": _VECTORS, "op12_phrases": _PHRASES}
