@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgertally.llm.arraymerge import token_counts
 from ledgertally.llm.automaton import encoded
 from ledgertally.llm.caps import near_vectors
+from ledgertally.llm.extraction import extracted
 from ledgertally.llm.langid import identify
 from ledgertally.llm.logbilinear import score
 from ledgertally.llm.minhash import Plan, near_duplicates
@@ -76,6 +77,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
@@ -89,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_whiten": op11_whiten,
     "op12_phrases": op12_phrases,
+    "op13_html": op13_html,
 }
