@@ -8,6 +8,7 @@ that an article can lose an advert and a sidebar can't keep a paragraph unless t
 from __future__ import annotations
 
 import pickle
+import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +34,15 @@ class Extraction:
     boosting: Boosting = field(default_factory=Boosting)
 
 
-#: Pages of made-up words, in case that no page marks its article.
-_FILLER = [[(True, "lorem ipsum dolor")] + [(False, " ".join(f"{a}{b}{k % 7}" for a in "abcdef" for b in ("lo", "mi", "ra, ", "te.")[: 2 + k % 3])) for k in range(1 + n % 9)] for n in range(60)]
+def _made_up(count: int = 60) -> list[list[tuple[bool, str]]]:
+    """Blocks of articles of made-up words, in case that no page marks its article."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
+    said = lambda n: " ".join(word() + (rng.choice(",.;") if rng.random() < 0.12 else "") for _ in range(n)).capitalize() + "."
+    return [[(True, said(rng.randint(2, 8))), *((False, said(rng.randint(3, 100))) for _ in range(rng.randint(1, 12)))] for _ in range(count)]
+
+
+_SYLLABLES = "lo ra mi ten der in ka sol us et an per".split()
 
 
 def holding(forest: Forest, leaves: np.ndarray) -> np.ndarray:
@@ -59,7 +67,7 @@ def _examples(pages: list[str], plan: Extraction) -> tuple[np.ndarray, np.ndarra
             blocks = [(bool(h), text) for h, text, m in zip(heading, tree.text, main) if m]
             rest = [w for text, m in zip(tree.text, main) if text and not m for w in text.split()]
             texts.append((blocks, rest + [w for _, text in blocks[:3] for w in text.split()][: len(rest) + 20]))
-    texts += [(blocks, [w for _, t in blocks for w in t.split()]) for blocks in _FILLER]
+    texts += [(blocks, [w for _, t in blocks for w in t.split()]) for blocks in _made_up()]
     for blocks, words in texts:
         for _ in range(plan.layouts * max(1, plan.pages // len(texts))):
             seed += 1
