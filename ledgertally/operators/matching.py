@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertally.functions.numbers import add_up, as_double, is_number, present, times
+from ledgertally.operators.keyfilter import only_listed
 
 #: So many attributes of a key make a salt.
 SPREAD = 100_000
@@ -51,7 +52,7 @@ def listed_totals(
     """
     key, attributes = listed.key, listed.attributes
     columns = [key, *also, *attributes, *values, *[f"{value}_rows" for value in values], "rows", "copies"]
-    facts = facts.select(key, *also, *values)
+    facts = only_listed(facts.select(key, *also, *values), listed.rows, key)
     totals = facts.groupBy(key, *also).agg(*_sums(facts, values), F.count("*").alias("rows"))
     if attributes:
         return _join_spread(totals, listed, spread).select(*columns)

@@ -48,10 +48,12 @@ def test_columns_and_filters_reach_the_scan(plans):
     assert "LessThan(p_size,25)" in plan
 
 
-def test_facts_meet_a_list_as_totals(plans):
+def test_facts_meet_a_list_by_its_filter_and_as_totals(plans):
     plan = physical(plans["ledger_contract_gas"])
-    assert plan.count("Scan parquet") == 2
     assert re.search(r"Exchange hashpartitioning\(to_address#\d+, month_index#", plan), "partial sums are shuffled, not rows"
+    for name in ["ledger_contract_gas", "ledger_top_scams", "ledger_scam_months", "ledger_top_contracts", "topk_sum_join", "topk_composite", "joined_monthly_avg", "registry_month_sum"]:
+        plan = physical(plans[name])
+        assert re.search(r"Filter .*subquery#\d+.*xxhash64\(", plan), name
 
 
 def test_each_line_is_split_once(plans):
