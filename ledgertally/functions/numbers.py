@@ -1,15 +1,15 @@
-"""Sums of amounts that come out the same however the rows are partitioned.
+"""Exact sums of amounts of any length, the same however the rows are partitioned.
 
-A ledger amount in wei does not fit 64 bits and a double sum depends on the order of addition. So a text amount becomes a
-*number*, a struct of *limbs*: whole numbers of up to 28 digits that count 10**-28, 1, 10**28 and 10**56. Limbs are added as decimals, and
-only the end makes one double of them, rounded once. Every literal of up to 84 digits before the point and 28 behind it is exact in this, with or
-without exponent (a 256-bit integer has 78 digits). What is finer or larger is added as double, in ``rest``, whose last digits depend on the order.
-The helpers below take such a struct or any plain numeric column.
+A ledger amount in wei does not fit 64 bits and a double sum depends on the order of addition. So a text amount becomes a *number*: an array of
+*limbs*, each the number of the limb and a whole number of up to 28 digits. Limb 0 counts units, limb 1 units of 10**28, limb -1 units of 10**-28, and so on: as many as the literal
+has digits for, and only those. Most amounts have one. A sum adds each limb of a group on its own, as decimals, in one grouping by key and limb; the few limbs of a key then
+make its *total*. Carries are passed on at the end, and the total becomes a double, rounded once, or the text of a whole number of any length.
+The helpers below take such a column or any plain numeric one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -18,18 +18,18 @@ from ledgertally.functions.checks import is_plain
 LIMB_DIGITS = 28
 LIMB = f"decimal({LIMB_DIGITS},0)"
 EXACT = "decimal(38,0)"
-#: From the finest to the largest; ``units`` is there whenever a literal is exact.
-LIMBS = ("fraction", "units", "high", "top")
+#: Exponents beyond this one belong to a literal that is zero in every double.
+LARGEST_EXPONENT = 99_999
 
 
 def number(text: Column) -> Column:
-    """Split a text that passed ``is_float`` into its limbs, or take it as double."""
+    """The limbs of a text that passed ``is_float`` or ``is_int``, the finest first; null of a null."""
     plain = F.when(is_plain(text), text.try_cast(LIMB))
-    missing = F.lit(None)
-    short = F.struct(
-        *[(plain if limb == "units" else missing.cast(LIMB)).alias(limb) for limb in LIMBS], missing.cast("double").alias("rest")
-    )
-    return F.when(plain.isNotNull(), short).otherwise(_split(text))
+    return F.when(plain.isNotNull(), F.array(_limb(F.lit(0), plain))).when(text.isNotNull(), _split(text))
+
+
+def _limb(limb: Column, value: Column, kind: str = LIMB) -> Column:
+    return F.struct(limb.cast("int").alias("limb"), value.cast(kind).alias("value"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,104 +38,150 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _split(text: Column) -> Column:
-    """The limbs of any literal: its digits, shifted by its exponent, in four groups."""
-    literal = F.upper(F.trim(F.regexp_replace(text, r"\s", "")))
+    """The limbs of any literal: its digits, in groups that end at multiples of 28 places from the point."""
+    literal = F.upper(F.regexp_replace(text, r"\s", ""))
     mantissa = F.substring_index(literal, "E", 1)
-    exponent = F.when(literal.contains("E"), F.substring_index(literal, "E", -1).try_cast("int")).otherwise(0)
-    behind = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
+    written = F.substring_index(literal, "E", -1)
+    beyond = F.when(written.startswith("-"), -LARGEST_EXPONENT).otherwise(LARGEST_EXPONENT)
+    exponent = F.when(literal.contains("E"), F.coalesce(written.try_cast("int"), beyond)).otherwise(0)
+    behind = F.when(mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
+    digits = F.ltrim(F.translate(mantissa, "+-.", ""), F.lit("0"))
     parts = F.struct(
-        mantissa.startswith("-").alias("negative"),
-        F.rtrim(F.translate(mantissa, "+-.", ""), F.lit("0")).alias("digits"),
-        # Places between the last digit that is not 0 and the finest one, 10**-28.
-        (
-            F.least(F.greatest(exponent, F.lit(-9999)), F.lit(9999))
-            - F.length(behind)
-            + F.length(F.translate(mantissa, "+-.", ""))
-            - F.length(F.rtrim(F.translate(mantissa, "+-.", ""), F.lit("0")))
-            + LIMB_DIGITS
-        ).alias("places"),
+        F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+        digits.alias("digits"),
+        (F.greatest(F.least(exponent, F.lit(LARGEST_EXPONENT)), F.lit(-LARGEST_EXPONENT)) - behind).alias("last"),
     )
-    width = LIMB_DIGITS * len(LIMBS)
 
-    def grouped(digits: Column, negative: Column) -> Column:
-        padded = F.lpad(digits, width, "0")
+    def grouped(p: Column) -> Column:
+        lowest = F.floor(p["last"] / LIMB_DIGITS)
+        padded = F.concat(p["digits"], F.repeat(F.lit("0"), (p["last"] - lowest * LIMB_DIGITS).cast("int")))
 
-        def limb(at: int) -> Column:
-            value = F.substring(padded, width - LIMB_DIGITS * (at + 1) + 1, LIMB_DIGITS).try_cast(LIMB)
-            return F.when(negative, -value).otherwise(value).cast(LIMB)
+        def cut(x: Column) -> Column:
+            """The groups of a text of full ones, the last of them first."""
+            count = (F.length(x["text"]) / LIMB_DIGITS).cast("int")
+            group = lambda k: F.concat(p["sign"], F.substring(x["text"], (count - 1 - k) * LIMB_DIGITS + 1, F.lit(LIMB_DIGITS))).try_cast(LIMB)
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda k: _limb(x["lowest"] + k, group(k)))
 
-        return F.struct(*[limb(at).alias(name) for at, name in enumerate(LIMBS)], F.lit(None).cast("double").alias("rest"))
+        full = F.ceil(F.length(padded) / LIMB_DIGITS) * LIMB_DIGITS
+        return _let(F.struct(lowest.alias("lowest"), F.lpad(padded, full.cast("int"), F.lit("0")).alias("text")), cut)
 
-    def fitted(p: Column) -> Column:
-        whole = F.ltrim(F.concat(p["digits"], F.repeat(F.lit("0"), p["places"])), F.lit("0"))
-        fits = (p["digits"] == "") | (p["places"] >= 0) & (F.length(p["digits"]) + p["places"] <= width + F.length(p["digits"]))
-        digits = F.when(p["digits"] == "", F.lit("0")).when(fits, whole)
-        loose = F.struct(*[F.lit(None).cast(LIMB).alias(name) for name in LIMBS], text.try_cast("double").alias("rest"))
-        return _let(digits, lambda d: F.when(F.length(d) <= width, grouped(d, p["negative"])).otherwise(loose))
+    return _let(parts, lambda p: F.when(p["digits"] == "", F.array(_limb(F.lit(0), F.lit(0)))).otherwise(grouped(p)))
 
-    return _let(parts, fitted)
 
+def is_number(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.ArrayType)
 
-def exact_int(text: Column) -> Column:
-    """decimal(38,0) of a text that passed ``is_int``; an error, never a silent null, beyond 38 digits."""
-    value = text.try_cast(EXACT)
-    return F.coalesce(value, F.raise_error(F.concat(F.lit("integer beyond 38 digits: "), text)).cast(EXACT))
 
+def sums(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Totals per group: ``*keys, *values, *values_rows, rows``, with how many rows have each value, and how many there are.
 
-def is_number(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.StructType)
+    A null is no value. A group without any has an empty total, or a null if the column is a plain one.
+    """
+    limbed = [value for value in values if is_number(df, value)]
+    plain = [value for value in values if value not in limbed]
+    counts = [*[f"{value}_rows" for value in values], "rows"]
+    if not limbed:
+        present = [F.count(value).alias(f"{value}_rows") for value in plain]
+        return df.groupBy(*keys).agg(*[F.sum(value).alias(value) for value in plain], *present, F.count("*").alias("rows"))
+
+    def entries(at: int, value: str) -> Column:
+        return F.transform(value, lambda e, k: F.struct(F.lit(at).alias("of"), e["limb"].alias("limb"), e["value"].cast(EXACT).alias("value"), (k == 0).alias("first")))
+
+    listed = [F.coalesce(entries(at, value), F.array().cast("array<struct<of:int,limb:int,value:decimal(38,0),first:boolean>>")) for at, value in enumerate(limbed)]
+    every = F.concat(*listed) if len(listed) > 1 else entries(0, limbed[0])
+    rows = df.select(*keys, *plain, F.posexplode_outer(every).alias("place", "entry"))
+    once = F.coalesce(F.col("place") == 0, F.lit(True))  # a row's first entry stands for the row
+    parts = rows.groupBy(*keys, F.col("entry.of").alias("_of"), F.col("entry.limb").alias("_limb")).agg(
+        F.sum("entry.value").alias("_value"),
+        F.count_if("entry.first").alias("_first"),
+        *[F.sum(F.when(once, F.col(value))).alias(value) for value in plain],
+        *[F.count(F.when(once, F.col(value))).alias(f"{value}_rows") for value in plain],
+        F.count_if(once).alias("rows"),
+    )
+    own = lambda at, kept: F.when(F.col("_of") == at, kept)
+    return parts.groupBy(*keys).agg(
+        *[F.collect_list(own(at, _limb(F.col("_limb"), F.col("_value"), EXACT))).alias(value) for at, value in enumerate(limbed)],
+        *[F.sum(value).alias(value) for value in plain],
+        *[F.coalesce(F.sum(own(at, F.col("_first"))), F.lit(0)).alias(f"{value}_rows") for at, value in enumerate(limbed)],
+        *[F.sum(f"{value}_rows").alias(f"{value}_rows") for value in plain],
+        F.sum("rows").alias("rows"),
+    ).select(*keys, *values, *counts)
+
+
+def _carried(total: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use`` of a total's lowest limb, its digits from there on, each below the base, and the carry that is left, which has the sign of all."""
+    base = F.lit("1" + "0" * LIMB_DIGITS).cast(EXACT)
+    limbs = F.transform(total, lambda e: e["limb"])
+    start = F.struct(F.lit(0).cast(EXACT).alias("carry"), F.array().cast(f"array<{LIMB}>").alias("digits"))
+
+    def step(state: Column, limb: Column) -> Column:
+        here = F.aggregate(F.filter(total, lambda e: e["limb"] == limb), state["carry"], lambda a, e: (a + e["value"]).cast(EXACT))
+
+        def split(x: Column) -> Column:
+            digit = F.pmod(x, base)
+            return F.struct(((x - digit) / base).cast(EXACT).alias("carry"), F.concat(state["digits"], F.array(digit.cast(LIMB))).alias("digits"))
+
+        return _let(here, split)
+
+    summed = F.aggregate(F.sequence(F.array_min(limbs), F.array_max(limbs)), start, step)
+    return _let(F.struct(F.array_min(limbs).alias("lowest"), summed.alias("sum")), lambda x: use(x["lowest"], x["sum"]["digits"], x["sum"]["carry"]))
 
 
-def add_up(df: DataFrame, column: str) -> Column:
-    """Sum of a number or of a plain numeric column, as an aggregate of the same kind."""
-    if is_number(df, column):
-        return F.struct(*[F.sum(F.col(column)[part]).alias(part) for part in (*LIMBS, "rest")])
-    return F.sum(column)
+def _negated(total: Column) -> Column:
+    return F.transform(total, lambda e: _limb(e["limb"], -e["value"], EXACT))
 
 
-def present(df: DataFrame, column: str) -> Column:
-    """How many rows have a value, as an aggregate: what a mean divides by."""
-    value = F.coalesce(F.col(column)["units"].cast("double"), F.col(column)["rest"]) if is_number(df, column) else F.col(column)
-    return F.count(value)
+def _digits(total: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a total's digits as a signed text and the number of the limb that they end with. Null for an empty total."""
+
+    def written(sign: str) -> Callable[[Column, Column, Column], Column]:
+        def joined(lowest: Column, digits: Column, carry: Column) -> Column:
+            padded = F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), LIMB_DIGITS, "0"))
+            whole = F.ltrim(F.concat(carry.cast("string"), F.array_join(padded, "")), F.lit("0"))
+            return F.when(carry >= 0, use(F.concat(F.lit(sign), F.when(whole == "", F.lit("0")).otherwise(whole)), lowest))
+
+        return joined
+
+    only = total[0]
+    single = F.when((F.size(total) == 1) & (only["limb"] == 0), use(only["value"].cast("string"), only["limb"]))
+    known = F.when(F.size(total) > 0, F.coalesce(_carried(total, written("")), _carried(_negated(total), written("-"))))
+    return F.coalesce(single, known)
 
 
 def times(df: DataFrame, column: str, factor: Column) -> Column:
     """The value counted ``factor`` times."""
-    if is_number(df, column):
-        limbs = [(F.col(column)[limb] * factor).cast(EXACT).alias(limb) for limb in LIMBS]
-        return F.struct(*limbs, (F.col(column)["rest"] * factor).alias("rest"))
-    return F.col(column) * factor
+    if not is_number(df, column):
+        return F.col(column) * factor
+    small = F.forall(column, lambda e: F.abs(e["value"]) < F.lit("1" + "0" * LIMB_DIGITS).cast(EXACT))
+
+    def below_base(lowest: Column, digits: Column, carry: Column) -> Column:
+        return F.transform(F.concat(digits.cast(f"array<{EXACT}>"), F.array(carry)), lambda d, k: _limb(lowest + k, d, EXACT))
+
+    limbs = F.when(small, F.col(column).cast(f"array<struct<limb:int,value:{EXACT}>>")).otherwise(_carried(F.col(column), below_base))
+    return F.transform(limbs, lambda e: _limb(e["limb"], e["value"] * factor, EXACT))
 
 
 def as_double(df: DataFrame, column: str) -> Column:
-    """One double of a number or of a plain numeric column; null only when there was nothing to add."""
+    """One double of a total or of a plain numeric column; null only when there was nothing to add."""
     if not is_number(df, column):
         return F.col(column).cast("double")
-    value = F.col(column)
-    zero, base = F.lit(0).cast(EXACT), F.lit("1" + "0" * LIMB_DIGITS).cast(EXACT)
-
-    def carried(limbs: list[Column], then: Callable[[list[Column]], Column], done: tuple[Column, ...] = ()) -> Column:
-        """Limbs below the base but for the last, which has the sign of all."""
-        if len(limbs) == 1:
-            return then([*done, limbs[0]])
-        low, above, *rest = limbs
-        digit = F.pmod(low, base).cast(EXACT)
-        carry = ((low - digit) / base).cast(EXACT)
-        return _let(F.struct(digit.alias("d"), (above + carry).cast(EXACT).alias("a")), lambda x: carried([x["a"], *rest], then, (*done, x["d"])))
-
-    def text(sign: str) -> Callable[[list[Column]], Column]:
-        def joined(limbs: list[Column]) -> Column:
-            fraction, units, high, top = [limb.cast("string") for limb in limbs]
-            pad = lambda limb: F.lpad(limb, LIMB_DIGITS, "0")
-            whole = F.concat(F.lit(sign), top, pad(high), pad(units), F.lit("."), pad(fraction))
-            return F.when(limbs[-1] >= 0, whole.cast("double"))
+    return _digits(F.col(column), lambda digits, lowest: F.concat(digits, F.lit("E"), (lowest * LIMB_DIGITS).cast("string")).cast("double"))
+
+
+def whole_text(total: Column) -> Column:
+    """The digits of a total of whole numbers, however many."""
+    return _digits(total, lambda digits, lowest: F.when(digits == "0", digits).otherwise(F.concat(digits, F.repeat(F.lit("0"), lowest * LIMB_DIGITS))))
+
+
+def whole_order(text: Column) -> Column:
+    """A text that sorts as the whole number of these digits does."""
+    size = F.lpad(F.length(text).cast("string"), 10, "0")
+    turned = F.translate(F.concat(size, F.substr(text, F.lit(2))), "0123456789", "9876543210")
+    return F.when(text.startswith("-"), F.concat(F.lit("0"), turned)).otherwise(F.concat(F.lit("1"), size, text))
 
-        return joined
 
-    limbs = [F.coalesce(value[limb].cast(EXACT), zero) for limb in LIMBS]
-    exact = F.coalesce(carried(limbs, text("")), carried([-limb for limb in limbs], text("-")))
-    known = F.when(value["units"].isNotNull(), exact)
-    return F.coalesce(known + value["rest"], known, value["rest"])
+#: Marks a text column that holds numbers, for sinks that tell numbers from texts.
+WHOLE = {"whole_number": True}
 
 
 def double_text(value: Column) -> Column:

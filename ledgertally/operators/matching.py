@@ -13,10 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ledgertally.functions.numbers import add_up, as_double, is_number, present, times
+from ledgertally.functions.numbers import WHOLE, as_double, sums, times
 from ledgertally.operators.keyfilter import only_listed
+from ledgertally.operators.ranking import finished, largest_first
 
 #: So many attributes of a key make a salt.
 SPREAD = 100_000
@@ -53,7 +54,7 @@ def listed_totals(
     key, attributes = listed.key, listed.attributes
     columns = [key, *also, *attributes, *values, *[f"{value}_rows" for value in values], "rows", "copies"]
     facts = only_listed(facts.select(key, *also, *values), listed.rows, key)
-    totals = facts.groupBy(key, *also).agg(*_sums(facts, values), F.count("*").alias("rows"))
+    totals = sums(facts, [key, *also], values)
     if attributes:
         return _join_spread(totals, listed, spread).select(*columns)
     return totals.join(listed.rows, key).select(*columns)
@@ -85,22 +86,19 @@ def listed_sums(
     weighted = totals.select(
         *by,
         *[times(totals, value, F.col("copies")).alias(value) for value in values],
-        *[(F.col(count) * F.col("copies")).alias(count) for count in counts],
+        *[(F.col(count) * F.col("copies")).alias(f"{count}_weighted") for count in counts],
     )
-    summed = weighted.groupBy(*by).agg(
-        *[add_up(weighted, value).alias(value) for value in values], *[F.sum(count).alias(count) for count in counts]
+    weights = [f"{count}_weighted" for count in counts]
+    summed = sums(weighted, by, [*values, *weights])
+    return summed.select(
+        *by, *[as_double(summed, value).alias(value) for value in values], *[F.col(w).alias(c) for w, c in zip(weights, counts)]
     )
-    return summed.select(*by, *[as_double(summed, value).alias(value) for value in values], *counts)
 
 
-def _sums(df: DataFrame, values: Sequence[str]) -> list[Column]:
-    return [f(df, value).alias(f"{value}{end}") for f, end in ((add_up, ""), (present, "_rows")) for value in values]
-
-
-def top_listed(totals: DataFrame, keys: Sequence[str], value: str, k: int = 10) -> DataFrame:
+def top_listed(totals: DataFrame, keys: Sequence[str], value: str, k: int = 10, whole: bool = False) -> DataFrame:
     """The k largest joined rows. A key named n times is n rows, but no more than k of them can be in the result."""
-    if is_number(totals, value):
-        totals = totals.withColumn(value, as_double(totals, value))
-    ranked = totals.orderBy(F.desc(value), *keys).limit(k)
+    totals = totals.withColumn(value, finished(totals, value, whole).alias(value, metadata=WHOLE if whole else {}))
+    order = [largest_first(totals, value), *keys]
+    ranked = totals.orderBy(*order).limit(k)
     repeated = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k)))))
-    return repeated.orderBy(F.desc(value), *keys).limit(k).select(*keys, value)
+    return repeated.orderBy(*order).limit(k).select(*keys, value)

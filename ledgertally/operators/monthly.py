@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgertally.functions.months import date_month, epoch_month, epoch_seconds, in_calendar, month_label
-from ledgertally.functions.numbers import add_up, as_double
+from ledgertally.functions.numbers import as_double, sums
 
 MONTH = "month_index"
 
@@ -42,7 +42,6 @@ def count_by_month(df: DataFrame, time: str, name: str = "transactions") -> Data
 
 
 def average_by_month(df: DataFrame, time: str, value: str, name: str = "average") -> DataFrame:
-    """Mean of a value per month: one exact sum, one division."""
-    dated = with_month(df, time)
-    summed = dated.groupBy(MONTH).agg(add_up(dated, value).alias(value), F.count(value).alias("rows"))
-    return summed.select(labelled(summed), (as_double(summed, value) / F.col("rows")).alias(name))
+    """Mean of a value per month over the rows that have one: one exact sum, one division."""
+    summed = sums(with_month(df, time), [MONTH], [value])
+    return summed.select(labelled(summed), (as_double(summed, value) / F.nullif(F.col(f"{value}_rows"), F.lit(0))).alias(name))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.functions.checks import is_int
-from ledgertally.functions.numbers import exact_int, number
+from ledgertally.functions.numbers import number
 from ledgertally.operators.matching import key_list, listed_sums, listed_totals, top_listed
 from ledgertally.operators.monthly import (
     MONTH,
@@ -29,7 +29,7 @@ from ledgertally.sources.lines import well_formed, without_header
 TOP_ROWS = 10
 TOP_SCAMS = 15
 BAD_SIZE_KEY = "0"
-BAD_SIZE_VALUE = 1
+BAD_SIZE_VALUE = "1"
 
 TIME = "block_timestamp"
 
@@ -52,22 +52,22 @@ def monthly_value(
 
 
 def top_contracts(transactions: DataFrame, contracts: DataFrame, k: int = TOP_ROWS) -> DataFrame:
-    """Contracts that received most, exact to the last wei."""
+    """Contracts that received most, exact to the last wei, as texts of digits."""
     valid = well_formed(transactions, ints=["block_number", "value"])
-    received = valid.select(F.col("to_address").alias("address"), exact_int(F.col("value")).alias("value"))
+    received = valid.select(F.col("to_address").alias("address"), number(F.col("value")).alias("value"))
     listed = key_list(contracts, "address", "address")
-    return top_listed(listed_totals(received, listed, ["value"]), ["address"], "value", k)
+    return top_listed(listed_totals(received, listed, ["value"]), ["address"], "value", k, whole=True)
 
 
 def miner_sizes(blocks: DataFrame) -> DataFrame:
-    """Size mined per miner. A block whose size is no integer counts as 1 for the key '0'."""
+    """Size mined per miner, as a text of digits. A block whose size is no integer counts as 1 for the key '0'."""
     body = without_header(blocks, "hash", "hash")
     sized = is_int(F.col("size"))
     mined = body.select(
         F.when(sized, F.col("miner")).otherwise(BAD_SIZE_KEY).alias("miner"),
-        F.when(sized, exact_int(F.col("size"))).otherwise(BAD_SIZE_VALUE).alias("size"),
+        number(F.when(sized, F.col("size")).otherwise(BAD_SIZE_VALUE)).alias("size"),
     )
-    return sum_by(mined, ["miner"], "size", name="size")
+    return sum_by(mined, ["miner"], "size", name="size", whole=True)
 
 
 def top_miners(blocks: DataFrame, k: int = TOP_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from datetime import datetime
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ledgertally.functions.numbers import double_text
+from ledgertally.functions.numbers import WHOLE, double_text
 from ledgertally.functions.texts import joined, json_scalar
 from ledgertally.sources.results import read_pairs, read_rendered
 from ledgertally.workers import importable
@@ -75,7 +75,7 @@ def _plain(df: DataFrame, name: str) -> Column:
 
 
 def _scalar(df: DataFrame, name: str, as_text: bool) -> Column:
-    if as_text or isinstance(df.schema[name].dataType, T.StringType):
+    if as_text or isinstance(df.schema[name].dataType, T.StringType) and df.schema[name].metadata != WHOLE:
         return json_scalar(_plain(df, name))
     return F.coalesce(_plain(df, name), F.lit("null"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgertally.functions.checks import is_float, is_int
 from ledgertally.functions.months import epoch_month, month_label
-from ledgertally.functions.numbers import add_up, as_double, double_text, exact_int, number
+from ledgertally.functions.numbers import as_double, double_text, number, sums, whole_order, whole_text
 from ledgertally.functions.texts import hex_bytes, joined, json_scalar, stripped, text_length
 from ledgertally.operators.monthly import with_month
 
@@ -58,7 +58,7 @@ def test_accepted_texts_have_their_python_value(spark):
     values = [row[0] for row in frame.select(as_double(frame, "v")).collect()]
     assert values == [float(t) for t in texts]
     integers = [t for t in texts if python_accepts(int, t)]
-    exact = spark.createDataFrame([(t,) for t in integers], "t string").select(exact_int(F.col("t")))
+    exact = spark.createDataFrame([(t,) for t in integers], "t string").select(whole_text(number(F.col("t"))))
     assert [int(row[0]) for row in exact.collect()] == [int(t) for t in integers]
 
 
@@ -97,19 +97,32 @@ def test_moments_outside_the_calendar_are_dropped(spark):
 
 
 def test_numbers_add_up_exactly(spark):
-    values = ["1" + "0" * 26, "1", "2.5", "1e3", "9" * 27, "1" + "0" * 35]
-    frame = spark.createDataFrame([(v,) for v in values], "v string").select(number(F.col("v")).alias("v"))
-    summed = frame.agg(add_up(frame, "v").alias("v"))
-    row = summed.select("v.fraction", "v.units", "v.high", "v.rest", as_double(summed, "v")).first()
-    assert [int(limb) for limb in row[:3]] == [5 * 10**27, 10**26 + 1 + 2 + 1000 + int("9" * 27), 10**7]
-    assert row[3] is None and row[4] == float(10**35 + 10**26 + 1003 + int("9" * 27))
-
-
-def test_exact_int_never_drops_digits(spark):
-    frame = spark.createDataFrame([("9" * 38,)], "v string")
-    assert int(frame.select(exact_int(F.col("v"))).first()[0]) == int("9" * 38)
-    with pytest.raises(Exception, match="beyond 38 digits"):
-        spark.createDataFrame([("9" * 39,)], "v string").select(exact_int(F.col("v"))).collect()
+    values = ["1" + "0" * 26, "1", "2.5", "1e3", "9" * 27, "1" + "0" * 35, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").select(number(F.col("v")).alias("v"), F.lit(2).alias("w"))
+    summed = sums(frame, [], ["v", "w"])
+    row = summed.select("v", "v_rows", "w", "w_rows", "rows", as_double(summed, "v").alias("double")).first()
+    assert {e.limb: int(e.value) for e in row.v} == {-1: 5 * 10**27, 0: 10**26 + 1 + 2 + 1000 + int("9" * 27), 1: 10**7}
+    assert row.double == float(10**35 + 10**26 + 1003 + int("9" * 27)) and list(row)[1:5] == [6, 14, 7, 7]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_whole_numbers_of_any_length(spark, partitions):
+    chosen = random.Random(partitions)
+    texts = [str(chosen.randrange(-(10**n), 10**n)) for n in [1, 5, 27, 28, 29, 38, 39, 56, 57, 85, 200, 1000] for _ in range(60)] + ["0", "-0", " 12 ", "+007", "9" * 200, "-" + "9" * 84]
+    frame = spark.createDataFrame([(t, i % 5) for i, t in enumerate(texts)], "v string, k int").repartition(partitions)
+    summed = sums(frame.select("k", number(F.col("v")).alias("v")), ["k"], ["v"])
+    found = {row.k: row.text for row in summed.select("k", whole_text(F.col("v")).alias("text")).collect()}
+    assert found == {k: str(sum(int(t) for t in texts[k::5])) for k in range(5)}
+    each = frame.select("v", whole_text(number(F.col("v"))).alias("text"))
+    assert all(row.text == str(int(row.v)) for row in each.collect())
+    ordered = [int(row.text) for row in each.orderBy(whole_order(F.col("text"))).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_literals_of_any_size(spark):
+    texts = ["1e300", "1e-300", "-2.5e-310", "0e99999999999", "1e-99999999999", "1" * 300 + ".5", "7." + "3" * 300, "-1e28", "0.000"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", number(F.col("t")))
+    assert [row[0] for row in frame.select(as_double(frame, "v")).collect()] == [float(t) for t in texts]
 
 
 def test_double_text(spark):

@@ -117,7 +117,15 @@ def test_sums_are_exact_and_rounded_once(spark, partitions):
     assert found == {k: float(total) for k, total in exact.items()}
 
 
-def test_literals_beyond_the_limbs_are_added_as_double(spark):
-    frame = spark.createDataFrame([("1e300",), ("1e-40",), ("7",)], "v string").select(number(F.col("v")).alias("v"))
-    assert sum_by(frame.withColumn("k", F.lit(1)), ["k"], "v").first().total == 1e300
-    assert sum_by(frame.where("v.units is null").withColumn("k", F.lit(1)), ["k"], "v").first().total == 1e300
+def test_large_and_fine_literals_cancel_exactly(spark):
+    values = ["1e300", "1e-40", "7", "-1e300", "-1e-40"]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").select(number(F.col("v")).alias("v"), F.lit(1).alias("k"))
+    assert sum_by(frame, ["k"], "v").first().total == 7.0
+    assert sum_by(frame.limit(0), ["k"], "v").count() == 0
+
+
+def test_means_leave_out_rows_without_a_value(spark):
+    rows = [("2020-01-05", "10", 10), ("2020-01-09", None, None), ("2020-02-01", None, None)]
+    frame = spark.createDataFrame(rows, "d string, v string, w int").select(F.col("d").cast("date").alias("d"), number(F.col("v")).alias("v"), "w")
+    for value in ("v", "w"):
+        assert {r.month: r.average for r in average_by_month(frame, "d", value).collect()} == {"01/2020": 10.0, "02/2020": None}
