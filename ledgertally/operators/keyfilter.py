@@ -35,12 +35,23 @@ def key_words(keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> DataFr
     return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda pair: pair["bits"]).alias("words"))
 
 
-def only_listed(facts: DataFrame, keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> DataFrame:
-    """The facts without most of those whose key is none of the keys. Keys of another type than the facts' are left to the join."""
-    if facts.schema[key].dataType != keys.schema[key].dataType:
-        return facts
+def may_be_listed(keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> Column:
+    """Whether the filter of the keys lets a fact's key through; false for a null. Both keys have one type."""
     words = key_words(keys, key, most_words).scalar()
     hashed, size = F.xxhash64(key), F.size(words).cast("bigint")
     word = F.get(words, F.pmod(F.shiftright(hashed, 18), size).cast("int"))
     bits = _bits(hashed)
-    return facts.where(word.bitwiseAND(bits) == bits)
+    return F.col(key).isNotNull() & (word.bitwiseAND(bits) == bits)
+
+
+def only_listed(facts: DataFrame, keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> DataFrame:
+    """The facts without most of those whose key is none of the keys. Keys of another type than the facts' are left to the join."""
+    if facts.schema[key].dataType != keys.schema[key].dataType:
+        return facts
+    return facts.where(may_be_listed(keys, key, most_words))
+
+
+def split_by_list(facts: DataFrame, keys: DataFrame, key: str, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Facts whose key may be one of the keys, and facts whose key is none of them, with those without a key. Only the first need a join."""
+    listed = may_be_listed(keys, key, most_words)
+    return facts.where(listed), facts.where(~listed)

@@ -22,11 +22,16 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove_folder(path: str) -> None:
+    """Deletes a scratch folder that nothing will read again, as far as its session still lives."""
+    spark = _made.pop(path, None)
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def remove_folders() -> None:
-    """Deletes the folders of this program, as far as its session still lives."""
-    for path, spark in list(_made.items()):
-        with contextlib.suppress(Exception):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.pop(path)
+    """Deletes the folders of this program that are left."""
+    for path in list(_made):
+        remove_folder(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgertally.operators.keyfilter import key_words, only_listed
+from ledgertally.operators.keyfilter import key_words, only_listed, split_by_list
 from ledgertally.operators.matching import key_list, listed_sums
 
 
@@ -50,3 +50,11 @@ def test_what_is_not_listed_is_not_shuffled(spark):
     keys = keys_of(spark, 400, 997)
     assert only_listed(facts, keys, "key").count() < 400_000 / 100
     assert listed_sums(facts, key_list(keys, "key", "key"), ["key"], ["value"]).count() == 400
+
+
+def test_split_loses_no_row(spark):
+    keys = keys_of(spark, 300, 50)
+    facts = keys_of(spark, 20_000).union(spark.createDataFrame([(None,)] * 7, "key string"))
+    listed, rest = split_by_list(facts, keys, "key")
+    assert listed.count() + rest.count() == 20_007 and rest.where("key is null").count() == 7
+    assert rest.join(keys, "key", "left_semi").count() == 0 and listed.join(keys, "key", "left_semi").count() == 300
