@@ -21,8 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertally.llm.components import components
-from ledgertally.llm.tables import slices, stored
+from ledgertally.llm.tables import passing, slices, stored
 from ledgertally.llm.words import mixed, words
+from ledgertally.operators.keyfilter import only_listed, split_by_list
 
 _TURN = np.uint64(0x9FB21C651E98DF25)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -232,26 +233,32 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, found: Dat
     split = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
     split = stored(split.select("key", F.ceil(F.col("size") / plan.block).cast("int").alias("blocks")), "split")
     open_rows = stored(rows.join(split, "key"), "open")
-    cells = _in_cells(open_rows.join(classes.select("id", "minima"), "id"))
+    cells = _in_cells(open_rows.join(only_listed(classes.select("id", "minima"), open_rows, "id"), "id"))
     near = cells.groupBy("key", "cell").applyInArrow(_minima_cells(plan), kind)
     groups = components(stored(near, "near")).select(F.col("node").alias("component"), F.col("component").alias("group"))
 
     grouped = stored(open_rows.select("id", "component").distinct().join(stored(groups, "groups"), "component"), "grouped")
-    asked = stored(grouped.join(classes.select("id", "print", "minima"), "id"), "asked")
-    wanted = texts.join(stored(asked.select("id", "print"), "prints"), ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
-    full = stored(asked.join(wanted, ["id", "print"]).drop("print"), "full")
+    asked = stored(grouped.join(only_listed(classes.select("id", "print", "minima"), grouped, "id"), "id"), "asked")
+    full = stored(asked.join(_wanted(texts, asked), ["id", "print"]).drop("print"), "full")
     sizes = full.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("rows") / plan.block, F.col("bytes") / plan.block_bytes, F.lit(1))).cast("int")
     sizes = stored(sizes.select("group", blocks.alias("blocks")), "blocks")
     return _in_cells(full.join(sizes, "group")).groupBy("group", "cell").applyInArrow(_set_cells(plan), kind)
 
 
+def _wanted(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row for each asked id and print, with its text. A filter of what is asked for is applied where the texts are read, so that few others are moved."""
+    both = F.xxhash64("id", "print").alias("both")
+    asked = stored(asked.select("id", "print"), "prints")
+    near = only_listed(texts.select("*", both), asked.select(both), "both").drop("both")
+    return near.join(asked, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+
+
 def _links(close: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """Of pairs (u, v) those whose full texts are alike enough."""
-    ends = close.select("u").union(close.select("v")).distinct().withColumnRenamed("u", "id")
-    asked = stored(ends.join(classes.select("id", "print"), "id"), "asked")
-    wanted = texts.join(asked, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
-    wanted = stored(wanted.select("id", "text"), "texts")
+    ends = stored(close.select("u").union(close.select("v")).distinct().withColumnRenamed("u", "id"), "ends")
+    asked = ends.join(only_listed(classes.select("id", "print"), ends, "id"), "id")
+    wanted = stored(_wanted(texts, asked).select("id", "text"), "texts")
     of = {end: wanted.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")) for end in "uv"}
     full = close.join(of["u"], "u").join(of["v"], "v").select("u", "v", "text_u", "text_v")
     return stored(full.mapInArrow(_confirm(plan), kind), "links")
@@ -266,25 +273,38 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """
     id_type = documents.schema["doc_id"].dataType
     id_kind = id_type.simpleString()
-    kind = f"u {id_kind}, v {id_kind}"
-    texts = documents.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"))
     signed = documents.select("doc_id", "text", F.xxhash64("text").alias("print"))
     kinds = f"doc_id {id_kind}, print bigint, n_shingles bigint, low bigint, high bigint, uid bigint, bands binary, minima binary"
     signed = stored(signed.mapInArrow(_signatures(plan), kinds), "signatures")
+    with passing():
+        named = _named(documents, signed, plan)
+    named = signed.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high"], "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    # A class's representative is one row of its smallest doc_id; wide columns are moved once it is known.
+
+def _named(documents: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
+    """low, high, component_id of each class of equal sets."""
+    id_kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = f"u {id_kind}, v {id_kind}"
+    texts = documents.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"))
+
+    # A class's representative is one row of its smallest doc_id. Only rows of classes of several rows are moved for that.
     numbered = signed.filter("n_shingles > 0 and doc_id is not null")
-    least = stored(numbered.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id")), "least")
-    narrow = numbered.select("low", "high", "doc_id", "uid").join(least, ["low", "high", "doc_id"])
+    least = stored(numbered.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "least")
+    several, alone = split_by_list(numbered, least.filter("rows > 1").select("low"), "low")
+    narrow = several.select("low", "high", "doc_id", "uid").join(least, ["low", "high", "doc_id"])
     chosen = stored(narrow.groupBy("low", "high").agg(F.min("uid").alias("uid")).select("uid"), "chosen")
-    classes = numbered.join(chosen, "uid").select(F.col("doc_id").alias("id"), "low", "high", "print", "bands", "minima")
-    classes = stored(classes, "classes")
+    classes = several.join(chosen, "uid", "left_semi").unionByName(alone).select(F.col("doc_id").alias("id"), "low", "high", "print", "bands", "minima")
+    classes, least = stored(classes.drop("low", "high"), "classes"), least.drop("rows")
 
     banded = classes.select("id", "bands").mapInArrow(_banded(plan), f"key bigint, id {id_kind}")
     heads = stored(banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"), "heads")
-    members = stored(banded.join(heads, "key"), "members")
+    members = stored(only_listed(banded, heads, "key").join(heads, "key"), "members")
     first = members.filter("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     by = {end: classes.select(F.col("id").alias(end), F.col("minima").alias(f"minima_{end}")) for end in "uv"}
+    first = stored(first, "pairs")
+    by = {end: only_listed(by[end], first.select(end), end) for end in "uv"}
     first = first.join(by["u"], "u").join(by["v"], "v").select("u", "v", "minima_u", "minima_v").mapInArrow(_agree(plan), kind)
     links = _links(stored(first, "first"), classes, texts, plan, kind)
     links = stored(links.union(_same_document(numbered, least)), "links-1")
@@ -293,10 +313,9 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     if not second.isEmpty():
         found = components(links.union(second))
 
-    of_class = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
-    named = signed.select("doc_id", "n_shingles", "low", "high").join(stored(of_class, "named"), ["low", "high"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Classes on their own are named by their document; the others take what their component is called.
+    of_class = least.select("low", "high", F.col("doc_id").alias("id")).join(found.withColumnRenamed("node", "id"), "id", "left")
+    return stored(of_class.select("low", "high", F.coalesce("component", "id").alias("component_id")), "named", keep=True)
 
 
 def _same_document(numbered: DataFrame, least: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertally.sources.scratch import scratch_folder
+from ledgertally.sources.scratch import remove_folder, scratch_folder
 from ledgertally.workers import importable
 
 #: A task works on slices of about so many bytes of text; a longer text is a slice of its own.
@@ -20,10 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """The rows of a frame, written as Parquet to the shared folder and read from there: lost executors don't recompute them."""
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables stored inside, but for those to keep, are deleted at the end: by then what is read from them has been stored itself."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove_folder(path)
+
+
+def stored(frame: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """The rows of a frame, written as Parquet to the shared folder and read from there: lost executors don't recompute them. With `keep` the table outlives the innermost `passing`."""
     importable(frame.sparkSession)
     path = scratch_folder(frame.sparkSession, label)
+    of = len(_passing) - 1 - keep
+    if of >= 0:
+        _passing[of].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
