@@ -16,19 +16,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgertally.llm.tables import slices, stored
+from ledgertally.llm.tables import SLICE_BYTES, slices, stored
 
 BITS = 16
 ORDERS = 3
 UNKNOWN = "und"
 _SCALE = 10.0
+#: Some 80 bytes are held for each byte of a slice.
+_SLICE = SLICE_BYTES >> 2
 
 
 @dataclass(frozen=True)
 class Fit:
-    """`sample`: documents that the regression is fitted on, over all languages; a language gets an equal share of it."""
+    """`sample`: documents that the regression is fitted on, over all languages; a language gets an equal share of it. `languages`: so many values of lang, the most
+    frequent ones (ties to the smaller), are learned; weights and the memory of the fit grow with their number."""
 
     sample: int = 8000
+    languages: int = 256
     epochs: int = 3
     rate: float = 0.5
     beta: float = 1.0
@@ -96,7 +100,7 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, texts = np.zeros(1 << BITS, np.int64), 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=_SLICE):
         found, starts, has = grams([t or "" for t in batch.column("text").to_pylist()])
         for row in np.flatnonzero(has):
             seen = np.zeros(1 << BITS, bool)
@@ -163,10 +167,10 @@ def fitted(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[str],
 def train(documents: DataFrame, fit: Fit = Fit()) -> Model | None:
     """A model from the text and lang of all given rows; None without a row that has a letter and a lang.
 
-    To the driver come one row per language, at most one count per feature, and the model.
+    To the driver come one row per learned language, at most one count per feature, and the model.
     """
     rows = documents.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.languages).collect()}
     totals = rows.select("text").mapInArrow(_frequencies, "feature bigint, documents bigint").groupBy("feature").agg(F.sum("documents").alias("documents")).toPandas()
     frequencies, n = np.zeros(1 << BITS), 0
     for feature, documents_with in zip(totals.feature, totals.documents, strict=True):
@@ -179,15 +183,14 @@ def train(documents: DataFrame, fit: Fit = Fit()) -> Model | None:
     idf = np.where(frequencies > 0, np.log((1 + n) / (1 + frequencies)) + 0.1, 0)
     languages = sorted(counts)
     share = fit.sample / len(languages)
-    rate = F.lit(0.0)
-    for name in languages:
-        rate = F.when(F.col("lang") == name, min(1.0, share / counts[name])).otherwise(rate)
+    rates = documents.sparkSession.createDataFrame([(name, min(1.0, share / counts[name])) for name in languages], "lang string, rate double")  # a row for each learned value
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = stored(rows.filter(draw < rate), "sample").repartition(1).sortWithinPartitions(F.xxhash64("text", "doc_id"), "doc_id")
+    sample = rows.join(rates, "lang").filter(draw < F.col("rate")).select("doc_id", "text", "lang")
+    sample = stored(sample, "sample").repartition(1).sortWithinPartitions(F.xxhash64("text", "doc_id"), "doc_id")
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             rows += _sparse(batch.column("text").to_pylist(), idf)
             labels += batch.column("lang").to_pylist()
         out = io.BytesIO()
@@ -213,7 +216,7 @@ def identified(documents: DataFrame, model: Model | None, columns: Sequence[str]
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
                 p, has = scores(model, [t or "" for t in batch.column("text").to_pylist()])
