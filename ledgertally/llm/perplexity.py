@@ -129,7 +129,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int, kinds: int | None) -> DataFrame:
     """model, code, n, p of the n-grams of one order, from their counts and the probabilities one order below; as `kneser_ney` has it, but n-grams
-    and contexts of one text alone (lo = hi) count as unseen."""
+    of one text alone (lo = hi) count as unseen."""
     n, step = F.col("n"), [1, 2, 3]
     m1, m2, m3, m4 = (F.col(f"m{k}") for k in (*step, 4))
     few, y = F.least(m1, m2, m3, m4) == 0, m1 / (m1 + 2 * m2)
@@ -138,14 +138,15 @@ def _discounted(grams: DataFrame, lower: DataFrame | None, bits: int, order: int
     times = [F.sum((n == k).cast("long")).cast("double").alias(f"m{k}") for k in (*step, 4)]
     discounts = grams.groupBy("model").agg(*times, F.count("*").alias("kinds")).select("model", "kinds", *taken)  # one row per language
     grams = grams.withColumn("context", F.shiftright("code", bits))
-    texts = [F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all")]
-    contexts = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), *texts, *(F.sum((F.least(n, F.lit(3)) == k).cast("long")).alias(f"c{k}") for k in step))
+    kept = F.col("lo") < F.col("hi")
+    own_counts = [F.sum((kept & (F.least(n, F.lit(3)) == k)).cast("long")).alias(f"c{k}") for k in step]
+    contexts = grams.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum(F.when(kept, F.lit(0)).otherwise(n)).alias("alone"), *own_counts)
     contexts = F.broadcast(contexts) if lower is None else contexts  # of single symbols there is one per language
     out = grams.join(contexts, ["model", "context"]).join(F.broadcast(discounts), "model")
-    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-    gamma = F.when(F.col("lo_all") == F.col("hi_all"), F.lit(1.0)).otherwise(gamma)
+    # What the n-grams of one text would have goes to the order below, with the discounts of the others: the probabilities after a context add to 1.
+    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3") + F.col("alone")) / F.col("total")
     own = (n - F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    own = F.when(F.col("lo") == F.col("hi"), F.lit(0.0)).otherwise(own)
+    own = F.when(kept, own).otherwise(F.lit(0.0))
     if lower is None:
         return out.select("model", "code", "n", (own + gamma / (F.lit(kinds) if kinds else F.col("kinds") + 1)).alias("p"))
     out = out.select("model", "code", "n", own.alias("own"), gamma.alias("gamma"), F.col("code").bitwiseAND(F.lit((1 << bits * (order - 1)) - 1)).alias("rest"))
