@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm import automaton, langid, minhash, mixing, perplexity
-from ledgertally.llm.tables import stored, table
+from ledgertally.llm.tables import passing, stored, table
+from ledgertally.operators.keyfilter import split_by_list
 from ledgertally.workers import importable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,17 +30,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what fails the rules on counts, or whose perplexity is outside its language's band."""
+    """Rejects what fails the rules on counts, or whose perplexity is outside its language's band. Texts are judged by themselves and their lang, so rejected ones are told by both."""
     importable(spark)
-    return perplexity.judged(docs, columns=COLUMNS).filter("kept").select(*COLUMNS)
+    keyed = docs.select("*", *[F.xxhash64(F.lit(seed), "lang", "text").alias(f"_print{seed}") for seed in (1, 2)])
+    with passing():
+        verdicts = perplexity.judged(keyed, columns=["_print1", "_print2"])
+        rejected = stored(verdicts.filter("not kept").select("_print1", "_print2").distinct(), "rejected", keep=True)
+    near, clean = split_by_list(keyed, rejected, "_print1")
+    return clean.unionByName(near.join(rejected, ["_print1", "_print2"], "left_anti")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group at 80 % of five-word shingles. Of rows alike in doc_id one stays; those without one all stay."""
+    """Keeps the document of the smallest doc_id of each group at 80 % of five-word shingles.
+
+    Rows alike in doc_id and text are one document, of which the one with the smallest other columns stays. Other rows that share a doc_id are documents of their own, told apart by a
+    fingerprint of their text. Rows without a doc_id all stay.
+    """
     importable(spark)
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(stored(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    with passing():
+        shared = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).filter("a <> b").select("doc_id"), "shared", keep=True)
+        row = F.col("doc_id")
+        if not shared.isEmpty():
+            row = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 60) + F.pmod(F.xxhash64("text"), F.lit(1 << 60))
+            row = row.cast("decimal(38,0)")
+        keyed = docs.withColumn("_row", row)
+        found = stored(minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).filter("doc_id is not null"), "found")
+        of_row = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+        touched = stored(of_row.filter("not kept or rows > 1"), "touched", keep=True)
+    near, alone = split_by_list(keyed, touched, "_row")
+    near = near.join(touched.filter("not kept").select("_row"), "_row", "left_anti")
+    one = near.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("document")).select("document.*")
+    return alone.select(*COLUMNS).unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +90,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name)  # what a stage leaves besides its rows is small
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -90,6 +90,32 @@ def test_probabilities_of_the_table_are_those_of_one_process(spark):
     assert len(found) == len(want) and got == pytest.approx(want, abs=1e-8)
 
 
+def test_probabilities_add_to_one_where_some_ngrams_are_of_one_text(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for a in range(5):
+        for b in range(5):
+            for c in range(5):
+                text = int(rng.integers(0, 4))
+                rows.append(("m", a * 4096 + b * 64 + c, int(rng.geometric(0.3)), text, text if rng.random() < 0.5 or a == 3 else text + 1))
+    rows += [("of one text", code, n, 1, 1) for _, code, n, _, _ in rows]
+    found = perplexity.probabilities(spark.createDataFrame(rows, "model string, code bigint, n bigint, lo bigint, hi bigint"), 6, 5).collect()
+    sums: dict = {}
+    for r in found:
+        sums[r.model, r.code // 64] = sums.get((r.model, r.code // 64), 0) + 10 ** (r.log_p / 10**9)
+    assert len(sums) == 50 and all(s == pytest.approx(1, abs=1e-7) for s in sums.values())
+
+
+def test_more_languages_than_are_learned(spark):
+    rng = random.Random(21)
+    rows = [(k, sentence(rng, "en", 12), f"l{k % 1500}", "s", 1) for k in range(3000)] + [(9000 + k, sentence(rng, "fr", 30), "fr", "s", 1) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    model = langid.train(frame, langid.Fit(languages=12, epochs=1, sample=400))
+    assert len(model.languages) == 12 and "fr" in model.languages
+    got = {r.doc_id: r.lang_pred for r in langid.identified(frame, model).collect()}
+    assert sum(got[9000 + k] == "fr" for k in range(60)) >= 55 and set(got.values()) <= set(model.languages)
+
+
 def test_neighbouring_characters_are_symbols_of_their_own():
     texts = ["日本", "旦本", "日末", "ÉÀ 12", "éà 34", "😀x", "😁x"]
     found = perplexity.trigrams(pa.array(texts), pa.array(["ja"] * 7))
