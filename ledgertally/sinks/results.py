@@ -6,16 +6,14 @@ then streams: for reports, such as top-k lists or a row per month.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgertally.functions.numbers import WHOLE, double_text
 from ledgertally.functions.texts import joined, json_scalar
 from ledgertally.sources.results import read_pairs, read_rendered
-from ledgertally.workers import importable
 
 # Fixed value: the time stamp in the name of a run's folder (no colons, which paths cannot hold).
 RUN_STAMP = "%d-%m-%Y_%H_%M_%S"
@@ -86,21 +84,18 @@ def _pair(df: DataFrame, keys: Sequence[str], value: str, value_as_text: bool) -
     return F.concat(F.lit("["), key, F.lit(", "), _scalar(df, value, value_as_text), F.lit("]"))
 
 
-def _array_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The items of a file as the lines of one JSON array: a bracket, an item behind a blank, the others behind commas, a bracket."""
-    mark = " "
-    yield pa.RecordBatch.from_pydict({"value": ["["]})
-    for batch in batches:
-        lines = []
-        for item in batch.column("item").to_pylist():
-            lines.append(mark + item)
-            mark = ","
-        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
-    yield pa.RecordBatch.from_pydict({"value": ["]"]})
-
-
 def _write_array(df: DataFrame, item: Column, path: str, single: bool) -> None:
-    importable(df.sparkSession)
-    items = df.select(item.alias("item"))
-    lines = (items.coalesce(1) if single else items).mapInArrow(_array_lines, "value string")
-    lines.write.mode("errorifexists").text(path)
+    """Lines of one JSON array in each file: a bracket, an item behind a blank, the others behind commas, a bracket.
+
+    A row that closes the array is added to each partition, behind the others; which row is the first one its number within the partition says.
+    """
+    spark = df.sparkSession
+    files = 1 if single else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = spark.range(0, files, 1, 1).select(F.lit(None).cast("string").alias("item"), F.col("id").cast("int").alias("file"), F.lit(2**63 - 1).alias("place"))
+    items = df.select(item.alias("item"), F.pmod(F.spark_partition_id(), F.lit(files)).alias("file"), F.monotonically_increasing_id().alias("place"))
+    rows = items.union(ends)
+    rows = rows.coalesce(1) if single else rows.repartitionById(files, F.col("file")).sortWithinPartitions("place")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    line = F.when(first, F.concat(F.lit("[\n"), F.coalesce(F.concat(F.lit(" "), "item"), F.lit("]"))))
+    line = F.coalesce(line, F.concat(F.lit(","), "item"), F.lit("]"))
+    rows.select(line.alias("value")).write.mode("errorifexists").text(path)

@@ -123,3 +123,35 @@ def test_run_folder():
 def test_preview(spark, capsys):
     results.preview(spark.range(20), 3)
     assert capsys.readouterr().out.count("|") == 2 * 4
+
+
+@pytest.mark.parametrize("single", [True, False])
+@pytest.mark.parametrize("count, parts", [(0, 3), (1, 1), (1, 4), (1000, 30)])
+def test_every_file_is_one_array(spark, folder, single, count, parts):
+    frame = spark.range(0, count, 1, parts).selectExpr("concat('k', id) as k", "id as v")
+    results.write_json_array(frame, folder, single=single)
+    files = glob.glob(f"{folder}/part-*")
+    arrays = [json.load(open(name, encoding="utf-8")) for name in files]
+    assert len(files) == 1 if single else len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(pair[1] for array in arrays for pair in array) == list(range(count))
+    assert all([pair[1] for pair in array] == sorted(pair[1] for pair in array) for array in arrays) or not single
+    assert read_pairs(spark, folder, ["k", "v"]).count() == count
+
+
+def test_arrays_need_no_python_worker(spark, folder, monkeypatch):
+    plans = []
+    write = type(spark.range(0).write).text
+    monkeypatch.setattr(type(spark.range(0).write), "text", lambda self, path, *a, **b: (plans.append(self._df._jdf.queryExecution().toString()), write(self, path, *a, **b))[1])
+    results.write_json_array(spark.range(5).selectExpr("id as k", "id as v"), folder)
+    assert len(plans) == 1 and "Python" not in plans[0] and "Arrow" not in plans[0]
+
+
+def test_whole_numbers_in_texts_are_numbers_in_json(spark, folder):
+    from ledgertally.functions.numbers import number
+    from ledgertally.operators.ranking import sum_by, top_k
+
+    rows = [("a", "9" * 50), ("a", "1"), ("b", "-5"), ("c", "7")]
+    frame = spark.createDataFrame(rows, "k string, t string").selectExpr("k", "t")
+    sums = sum_by(frame.select("k", number(frame.t).alias("v")), ["k"], "v", whole=True)
+    results.write_json_array(top_k(sums, "total", ["k"], 10), folder, single=True)
+    assert json.loads(written(folder)) == [["a", 10**50], ["c", 7], ["b", -5]]
