@@ -25,7 +25,7 @@ from ledgertally.operators.storage import column_bytes, column_shares
 from ledgertally.operators.transfers import self_pairs
 from ledgertally.jobs import read_job_result, run_job
 from ledgertally.plans import ledger_lines as lines
-from ledgertally.plans import questions
+from ledgertally.plans import questions, studies
 from ledgertally.plans.ledger_lines import table
 from ledgertally.sinks.results import (
     reheader,
@@ -369,6 +369,33 @@ def ledger_block_shares(spark: SparkSession, folder: str) -> DataFrame:
     return questions.block_column_shares(lines.block_table(spark, folder))
 
 
+# --- wider questions, from text lines -----------------------------------------------------------------
+
+
+def ledger_monthly_activity(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.monthly_activity(_transactions(spark, folder))
+
+
+def ledger_monthly_gas(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.monthly_gas(_transactions(spark, folder), _contracts(spark, folder))
+
+
+def ledger_popular_gas(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.popular_contract_gas(_transactions(spark, folder), _contracts(spark, folder))
+
+
+def ledger_rings(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.trade_rings(_transactions(spark, folder))
+
+
+def ledger_contract_features(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.contract_features(_transactions(spark, folder), _contracts(spark, folder))
+
+
+def ledger_contract_types(spark: SparkSession, folder: str) -> DataFrame:
+    return studies.contract_types(_transactions(spark, folder), _contracts(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_count": monthly_count,
     "first_months": first_months,
@@ -411,4 +438,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_self_transfers": ledger_self_transfers,
     "ledger_block_bytes": ledger_block_bytes,
     "ledger_block_shares": ledger_block_shares,
+    "ledger_monthly_activity": ledger_monthly_activity,
+    "ledger_monthly_gas": ledger_monthly_gas,
+    "ledger_popular_gas": ledger_popular_gas,
+    "ledger_rings": ledger_rings,
+    "ledger_contract_features": ledger_contract_features,
+    "ledger_contract_types": ledger_contract_types,
 }

@@ -108,6 +108,16 @@ GAS_PRICE = f"""WITH {TX}
          sum(round(l_discount * 100)::bigint * 1000000000)::varchar::double / count(*) AS average
   FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1"""
 
+CONTRACT_GAS = f"""SELECT {MONTH.format('l_shipdate')} AS month, sum(l_quantity::bigint)::varchar::double / count(*) AS average
+        FROM tx JOIN contracts ON to_address = address
+        WHERE int_time AND float_price AND float_gas GROUP BY 1"""
+# Values as doubles, as far as a line has one.
+VALUE = "(CASE WHEN l_linenumber = 2 THEN cents::varchar || '.5e-3' ELSE cents::varchar || '0000000000000' END)::double"
+FEATURES = f"""SELECT to_address AS address, count(*) AS calls, count(DISTINCT from_address) AS senders,
+               quantile_disc({VALUE}, 0.25) AS q25, quantile_disc({VALUE}, 0.5) AS median,
+               quantile_disc({VALUE}, 0.75) AS q75, quantile_disc({VALUE}, 0.95) AS q95
+        FROM tx WHERE float_value AND to_address IN (SELECT address FROM contracts) GROUP BY 1"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "monthly_count": f"""SELECT {MONTH.format('o_orderdate')} AS month, count(*) AS orders
@@ -205,4 +215,42 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY 1, 2 ORDER BY total DESC, 1, 2 LIMIT 10""",
     "ledger_block_bytes": _column_bytes("orders", {name: BLOCK_COLUMNS[name] for name in DROPPABLE_BLOCK_COLUMNS}),
     "ledger_block_shares": _column_shares("orders", BLOCK_COLUMNS),
+    "ledger_monthly_activity": f"""WITH {TX}
+        SELECT month, transactions, average
+        FROM (SELECT {MONTH.format('l_shipdate')} AS month, count(*) AS transactions FROM tx WHERE int_time GROUP BY 1)
+             LEFT JOIN ({MONTHLY_VALUE}) USING (month)""",
+    "ledger_monthly_gas": f"""WITH {TX}, {CONTRACTS}
+        SELECT 'gas price' AS question, month, average FROM ({GAS_PRICE})
+        UNION ALL SELECT 'contract gas', month, average FROM ({CONTRACT_GAS})""",
+    "ledger_popular_gas": f"""WITH {TX}, {CONTRACTS}, top_rows AS (  -- the ten joined rows, a contract named twice among them
+          SELECT DISTINCT to_address FROM (
+            SELECT to_address, units FROM (SELECT to_address, sum(wei) AS units FROM tx
+              WHERE int_block AND float_value AND l_linenumber <> 2 GROUP BY 1) JOIN contracts ON to_address = address
+            ORDER BY units DESC, to_address LIMIT 10)),
+        calls AS (
+          SELECT {MONTH.format('l_shipdate')} AS month, l_quantity::bigint AS gas, to_address IN (SELECT to_address FROM top_rows) AS popular
+          FROM tx JOIN contracts ON to_address = address WHERE int_time AND float_price AND float_gas)
+        SELECT month, sum(gas)::varchar::double / count(*) AS average, count(*) AS calls,
+               (sum(gas) FILTER (WHERE popular))::varchar::double / nullif(count(*) FILTER (WHERE popular), 0) AS popular_average,
+               count(*) FILTER (WHERE popular) AS popular_calls
+        FROM calls GROUP BY 1""",
+    "ledger_rings": f"""WITH RECURSIVE {TX}, moves AS (
+          SELECT * FROM tx WHERE float_value AND from_address <> to_address AND from_address <> '' AND to_address <> ''),
+        steps AS (
+          SELECT DISTINCT from_address AS u, to_address AS v FROM moves WHERE to_address IN (SELECT from_address FROM moves)),
+        reached AS (
+          SELECT u, v FROM steps UNION SELECT reached.u, steps.v FROM reached JOIN steps ON reached.v = steps.u),
+        members AS (
+          SELECT a.u AS node, least(a.u, min(a.v)) AS ring FROM reached a JOIN reached b ON a.u = b.v AND a.v = b.u
+          WHERE a.u <> a.v GROUP BY a.u)
+        SELECT x.ring, (SELECT count(*) FROM members WHERE members.ring = x.ring) AS traders,
+               count(DISTINCT from_address || ' ' || to_address) AS pairs, count(*) AS transfers, {VALUE_SUM} AS total
+        FROM moves JOIN members x ON from_address = x.node JOIN members y ON to_address = y.node AND x.ring = y.ring
+        GROUP BY x.ring""",
+    "ledger_contract_features": f"WITH {TX}, {CONTRACTS} {FEATURES}",
+    "ledger_contract_types": f"""WITH {TX}, {CONTRACTS}, features AS ({FEATURES})
+        SELECT CASE WHEN calls <= 10 THEN 'idle' WHEN senders <= 2 THEN 'private' WHEN q75 <= 2 * q25 THEN 'even'
+                    WHEN q95 >= 2 * median THEN 'peaked' ELSE 'mixed' END AS contract_type,
+               count(*) AS contracts, sum(calls)::bigint AS calls
+        FROM features GROUP BY 1""",
 }

@@ -6,7 +6,7 @@ import atexit
 import contextlib
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
 
@@ -22,6 +22,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The rows of a frame, written as Parquet and read from there: what follows has a short lineage, which lost executors don't repeat."""
+    path = scratch_folder(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def remove_folder(path: str) -> None:
     """Deletes a scratch folder that nothing will read again, as far as its session still lives."""
     spark = _made.pop(path, None)
