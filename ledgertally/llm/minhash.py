@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertally.llm.components import components
 from ledgertally.llm.tables import passing, slices, stored
 from ledgertally.llm.words import mixed, words
-from ledgertally.operators.keyfilter import only_listed, split_by_list
+from ledgertally.operators.keyfilter import only_listed
 
 _TURN = np.uint64(0x9FB21C651E98DF25)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -233,12 +233,12 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, found: Dat
     split = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
     split = stored(split.select("key", F.ceil(F.col("size") / plan.block).cast("int").alias("blocks")), "split")
     open_rows = stored(rows.join(split, "key"), "open")
-    cells = _in_cells(open_rows.join(only_listed(classes.select("id", "minima"), open_rows, "id"), "id"))
+    cells = _in_cells(open_rows.join(classes.select("id", "minima"), "id"))
     near = cells.groupBy("key", "cell").applyInArrow(_minima_cells(plan), kind)
     groups = components(stored(near, "near")).select(F.col("node").alias("component"), F.col("component").alias("group"))
 
     grouped = stored(open_rows.select("id", "component").distinct().join(stored(groups, "groups"), "component"), "grouped")
-    asked = stored(grouped.join(only_listed(classes.select("id", "print", "minima"), grouped, "id"), "id"), "asked")
+    asked = stored(grouped.join(classes.select("id", "print", "minima"), "id"), "asked")
     full = stored(asked.join(_wanted(texts, asked), ["id", "print"]).drop("print"), "full")
     sizes = full.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("rows") / plan.block, F.col("bytes") / plan.block_bytes, F.lit(1))).cast("int")
@@ -256,8 +256,8 @@ def _wanted(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _links(close: DataFrame, classes: DataFrame, texts: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """Of pairs (u, v) those whose full texts are alike enough."""
-    ends = stored(close.select("u").union(close.select("v")).distinct().withColumnRenamed("u", "id"), "ends")
-    asked = ends.join(only_listed(classes.select("id", "print"), ends, "id"), "id")
+    ends = close.select("u").union(close.select("v")).distinct().withColumnRenamed("u", "id")
+    asked = ends.join(classes.select("id", "print"), "id")
     wanted = stored(_wanted(texts, asked).select("id", "text"), "texts")
     of = {end: wanted.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")) for end in "uv"}
     full = close.join(of["u"], "u").join(of["v"], "v").select("u", "v", "text_u", "text_v")
@@ -289,22 +289,19 @@ def _named(documents: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     kind = f"u {id_kind}, v {id_kind}"
     texts = documents.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"))
 
-    # A class's representative is one row of its smallest doc_id. Only rows of classes of several rows are moved for that.
+    # A class's representative is one row of its smallest doc_id; wide columns are moved once it is known.
     numbered = signed.filter("n_shingles > 0 and doc_id is not null")
-    least = stored(numbered.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "least")
-    several, alone = split_by_list(numbered, least.filter("rows > 1").select("low"), "low")
-    narrow = several.select("low", "high", "doc_id", "uid").join(least, ["low", "high", "doc_id"])
+    least = stored(numbered.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id")), "least")
+    narrow = numbered.select("low", "high", "doc_id", "uid").join(least, ["low", "high", "doc_id"])
     chosen = stored(narrow.groupBy("low", "high").agg(F.min("uid").alias("uid")).select("uid"), "chosen")
-    classes = several.join(chosen, "uid", "left_semi").unionByName(alone).select(F.col("doc_id").alias("id"), "low", "high", "print", "bands", "minima")
-    classes, least = stored(classes.drop("low", "high"), "classes"), least.drop("rows")
+    classes = stored(numbered.join(chosen, "uid", "left_semi").select(F.col("doc_id").alias("id"), "print", "bands", "minima"), "classes")
 
     banded = classes.select("id", "bands").mapInArrow(_banded(plan), f"key bigint, id {id_kind}")
     heads = stored(banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size"), "heads")
     members = stored(only_listed(banded, heads, "key").join(heads, "key"), "members")
+    classes = stored(classes.drop("bands").join(members.select("id").distinct(), "id", "left_semi"), "met")  # the others have no link
     first = members.filter("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     by = {end: classes.select(F.col("id").alias(end), F.col("minima").alias(f"minima_{end}")) for end in "uv"}
-    first = stored(first, "pairs")
-    by = {end: only_listed(by[end], first.select(end), end) for end in "uv"}
     first = first.join(by["u"], "u").join(by["v"], "v").select("u", "v", "minima_u", "minima_v").mapInArrow(_agree(plan), kind)
     links = _links(stored(first, "first"), classes, texts, plan, kind)
     links = stored(links.union(_same_document(numbered, least)), "links-1")
