@@ -15,7 +15,7 @@ from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertally.plans import questions
+from ledgertally.plans import questions, studies
 from ledgertally.sinks.results import (
     preview,
     report_csv,
@@ -28,7 +28,8 @@ from ledgertally.sinks.results import (
 from ledgertally.sources.layouts import BLOCKS, BLOCKS_SCHEMA, CONTRACTS, SCAMS, TRANSACTIONS, Layout
 from ledgertally.sources.lines import read_fields, read_staged, stage_fields
 from ledgertally.sources.results import read_pairs, read_rendered, read_result_csv
-from ledgertally.sources.tables import read_csv, read_registry
+from ledgertally.sources.registry_scan import read_registry_entries
+from ledgertally.sources.tables import read_csv
 
 LAYOUTS: dict[str, Layout] = {
     "transactions": TRANSACTIONS,
@@ -65,6 +66,16 @@ JOBS: dict[str, Job] = {
     "top-self-transfers": Job(
         questions.top_self_transfers, ("transactions",), "pairs", ("From", "To", "Value")
     ),
+    "monthly-activity": Job(studies.monthly_activity, ("transactions",), "csv", ("Date", "Transactions", "Value")),
+    "monthly-gas": Job(studies.monthly_gas, ("transactions", "contracts"), "text-pairs", ("Question", "Date", "Value")),
+    "popular-contract-gas": Job(
+        studies.popular_contract_gas,
+        ("transactions", "contracts"),
+        "csv",
+        ("Date", "Gas", "Calls", "Popular Gas", "Popular Calls"),
+    ),
+    "trade-rings": Job(studies.trade_rings, ("transactions",), "csv", ("Ring", "Traders", "Pairs", "Transfers", "Value")),
+    "contract-types": Job(studies.contract_types, ("transactions", "contracts"), "csv", ("Type", "Contracts", "Calls")),
     "droppable-block-bytes": Job(
         questions.droppable_block_bytes, ("block_table",), "csv", ("column_name", "size_bytes")
     ),
@@ -76,7 +87,7 @@ JOBS: dict[str, Job] = {
 
 def read_input(spark: SparkSession, name: str, path: str, staged: bool = False, infer: bool = False) -> DataFrame:
     if name == "registry":
-        return read_registry(spark, path)
+        return read_registry_entries(spark, path)
     if name == "block_table":
         return read_csv(spark, path, None if infer else BLOCKS_SCHEMA)
     layout = LAYOUTS[name]

@@ -33,11 +33,13 @@ from ledgertally.sinks.results import (
     write_csv,
     write_json,
     write_json_array,
+    write_json_map,
     write_rendered_array,
 )
 from ledgertally.sources.layouts import BLOCKS, BLOCKS_SCHEMA, CONTRACTS, REGISTRY_SCHEMA, SCAMS, TRANSACTIONS
 from ledgertally.sources.lines import read_fields, read_staged, split_fields, stage_fields
 from ledgertally.sources.results import read_pairs, read_rendered, read_result_csv, split_rendered
+from ledgertally.sources.registry_scan import read_registry_entries
 from ledgertally.sources.scratch import scratch_folder
 from ledgertally.sources.tables import read_csv, read_registry
 
@@ -265,6 +267,15 @@ def registry_file(spark: SparkSession, folder: str) -> DataFrame:
     return listed.groupBy("category", "status").agg(F.count("*").alias("addresses"))
 
 
+def registry_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole registry as one document in one file, read by many tasks."""
+    path = scratch_folder(spark, "document")
+    entries = lines.registry_documents(spark, folder).select(F.explode("result").alias("key", "entry"))
+    write_json_map(entries.select("key", F.to_json("entry").alias("entry")), path, '{"success": true, "result": {', "}}", single=True)
+    listed = registry_addresses(read_registry_entries(spark, path))
+    return listed.groupBy("category", "status").agg(F.count("*").alias("addresses"))
+
+
 def block_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The block table as CSV with header, read back with its schema."""
     path = scratch_folder(spark, "blocks")
@@ -421,6 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "staged_fields": staged_fields,
     "text_files": text_files,
     "registry_file": registry_file,
+    "registry_document": registry_document,
     "block_csv": block_csv,
     "block_csv_inferred": block_csv_inferred,
     "job_result": job_result,

@@ -108,6 +108,8 @@ GAS_PRICE = f"""WITH {TX}
          sum(round(l_discount * 100)::bigint * 1000000000)::varchar::double / count(*) AS average
   FROM tx WHERE int_time AND float_price GROUP BY 1 ORDER BY 1"""
 
+REGISTRY_SIZES = f"""WITH {REGISTRY}
+        SELECT category, 'Active' AS status, count(*) AS addresses FROM registry GROUP BY 1"""
 CONTRACT_GAS = f"""SELECT {MONTH.format('l_shipdate')} AS month, sum(l_quantity::bigint)::varchar::double / count(*) AS average
         FROM tx JOIN contracts ON to_address = address
         WHERE int_time AND float_price AND float_gas GROUP BY 1"""
@@ -176,8 +178,8 @@ ORACLE_SQL: dict[str, str] = {
     "json_roundtrip": "SELECT * FROM part",
     "staged_fields": MONTHLY_VALUE,
     "text_files": GAS_PRICE,
-    "registry_file": f"""WITH {REGISTRY}
-        SELECT category, 'Active' AS status, count(*) AS addresses FROM registry GROUP BY 1""",
+    "registry_file": REGISTRY_SIZES,
+    "registry_document": REGISTRY_SIZES,
     "block_csv": _column_shares("orders", BLOCK_COLUMNS),
     "block_csv_inferred": _column_shares("orders", BLOCK_COLUMNS),
     "job_result": f"""WITH {TX}

@@ -84,7 +84,13 @@ def _pair(df: DataFrame, keys: Sequence[str], value: str, value_as_text: bool) -
     return F.concat(F.lit("["), key, F.lit(", "), _scalar(df, value, value_as_text), F.lit("]"))
 
 
-def _write_array(df: DataFrame, item: Column, path: str, single: bool) -> None:
+def write_json_map(df: DataFrame, path: str, opening: str = "{", closing: str = "}", single: bool = False) -> None:
+    """A JSON object in each file, from a key column and a column of JSON texts: ``{"k": …, …}``. The frame may have more around it."""
+    key, value = df.columns
+    _write_array(df, F.concat(json_scalar(F.col(key)), F.lit(": "), F.col(value)), path, single, opening, closing)
+
+
+def _write_array(df: DataFrame, item: Column, path: str, single: bool, opening: str = "[", closing: str = "]") -> None:
     """Lines of one JSON array in each file: a bracket, an item behind a blank, the others behind commas, a bracket.
 
     A row that closes the array is added to each partition, behind the others; which row is the first one its number within the partition says.
@@ -96,6 +102,6 @@ def _write_array(df: DataFrame, item: Column, path: str, single: bool) -> None:
     rows = items.union(ends)
     rows = rows.coalesce(1) if single else rows.repartitionById(files, F.col("file")).sortWithinPartitions("place")
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    line = F.when(first, F.concat(F.lit("[\n"), F.coalesce(F.concat(F.lit(" "), "item"), F.lit("]"))))
-    line = F.coalesce(line, F.concat(F.lit(","), "item"), F.lit("]"))
+    line = F.when(first, F.concat(F.lit(f"{opening}\n"), F.coalesce(F.concat(F.lit(" "), "item"), F.lit(closing))))
+    line = F.coalesce(line, F.concat(F.lit(","), "item"), F.lit(closing))
     rows.select(line.alias("value")).write.mode("errorifexists").text(path)
