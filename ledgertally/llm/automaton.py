@@ -25,6 +25,7 @@ from ledgertally.llm import pretokens
 from ledgertally.llm.tables import slices
 
 _START = -1
+_NONE = -2
 
 
 class Automaton:
@@ -40,7 +41,7 @@ class Automaton:
         self.token_of: dict[str, int] = {c: file.vocab[c] for c in base if c in file.vocab}
         for rank, (left, right) in enumerate(file.merges):
             self._gadget(rank, file.vocab[left], file.vocab[right], file.vocab[left + right], left + right)
-        self.longest = max(map(len, self.token_of), default=0)
+        self.letters = _letter_table(self.token_of, file.suffix)
         self.left, self.right, self.made = self.left.tolist(), self.right.tolist(), self.made.tolist()
 
     def _gadget(self, rank: int, left: int, right: int, whole: int, name: str) -> None:
@@ -72,34 +73,67 @@ class Automaton:
                 now, state, token = of_state, self.right[state], self.left[token]
 
     def arc(self, state: int, token: int) -> bool:
-        if state == _START:
-            return True
+        """Whether two tokens can stand side by side; from the start every token can."""
         key = (state << 32) | token
         found = self.arcs.get(key)
         if found is None:
             found = self.arcs[key] = self._open(state, token, 1 << 60)
         return found
 
-    def encode(self, word: str, suffix: str) -> list[int]:
-        """Token ids of a word in byte letters: at each place the one token that ends there on a path from the start."""
-        size, token_of, longest = len(word), self.token_of, self.longest
-        ends = [_START] + [-2] * size  # the state after so many letters; -2: no path ends there
+    def encode(self, word: str) -> list[int]:
+        """Token ids of a word in byte letters: at each place the one token that ends there on a path from the start.
+
+        Tokens are read off the letter table from each place that a path reaches, the first places first; a place that a longer token has reached is not reached again.
+        """
+        size, arcs, table = len(word), self.arcs, self.letters
+        states = [_START] + [_NONE] * size  # the state after so many letters
         froms = [0] * (size + 1)
-        for end in range(1, size + 1):
-            tail = suffix if end == size else ""
-            for begin in range(max(0, end - longest), end):
-                if ends[begin] != -2:
-                    token = token_of.get(word[begin:end] + tail)
-                    if token is not None and self.arc(ends[begin], token):
-                        ends[end], froms[end] = token, begin
-                        break
+        for begin in range(size):
+            state = states[begin]
+            if state == _NONE:
+                continue
+            node, high = table, state << 32
+            for end in range(begin + 1, size + 1):
+                node = node[0].get(word[end - 1])
+                if node is None:
+                    break
+                token = node[2] if end == size else node[1]
+                if token is not None and states[end] == _NONE:
+                    found = not begin or arcs.get(high | token)
+                    if found is None:
+                        found = self.arc(state, token)
+                    if found:
+                        states[end], froms[end] = token, begin
+            if states[size] != _NONE:
+                break
         path, end = [], size
         while end:
-            path.append(ends[end])
+            path.append(states[end])
             end = froms[end]
         return path[::-1]
 
 
+def _letter_table(token_of: dict[str, int], suffix: str) -> tuple:
+    """Transitions by letters from the first letter of a token on: a node is its transitions, the token that its letters are within a word, and the one that they are at its end."""
+    nodes: dict[str, list] = {"": [{}, None, None]}
+
+    def node_of(letters: str) -> list:
+        node = nodes.get(letters)
+        if node is None:
+            node = nodes[letters] = [{}, None, None]
+            node_of(letters[:-1])[0][letters[-1]] = node
+        return node
+
+    for name, token in token_of.items():
+        if not suffix:
+            node_of(name)[1:] = [token, token]
+        elif name.endswith(suffix):
+            node_of(name[: -len(suffix)])[2] = token
+        else:
+            node_of(name)[1] = token
+    return tuple(nodes[""])
+
+
 class Coder:
     """Encodes whole texts; `remembered` pre-tokens keep their path as text of ids and of arc labels."""
 
@@ -113,7 +147,7 @@ class Coder:
         if isinstance(piece, int):
             ids = [piece]
         else:
-            ids = self.automaton.encode("".join([self.letters[b] for b in piece.encode()]), self.file.suffix)
+            ids = self.automaton.encode("".join([self.letters[b] for b in piece.encode()]))
         found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
         self.known[piece] = found
         return found
