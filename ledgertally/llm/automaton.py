@@ -26,6 +26,8 @@ from ledgertally.llm.tables import slices
 
 _START = -1
 _NONE = -2
+#: Pre-tokens that a worker keeps, of about 900 bytes each; a stage of the pipeline shares its executor with the workers of others.
+REMEMBERED = 150_000
 
 
 class Automaton:
@@ -158,9 +160,9 @@ class Coder:
         return " ".join([names[i] for i in ids])
 
     def encode(self, text: str) -> tuple[str, str, int]:
-        if len(self.known) > pretokens.REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.automaton.arcs) > 3 * pretokens.REMEMBERED:
+        if len(self.automaton.arcs) > 6 * REMEMBERED:
             self.automaton.arcs.clear()
         known, path = self.known, self.path
         found = [known.get(piece) or path(piece) for piece in self.file.pieces(text)]
