@@ -3,8 +3,9 @@
 The model predicts the class of each token from that of the one before: the most frequent words are classes of their own, the others
 share classes by their last two bytes, and the end is one. A context vector, turned by a shared matrix, meets an output vector and a bias;
 training tells observed pairs from pairs with noise words, in numpy, data-parallel over shards of contexts with averaging after each round. Its
-data are the counts of all pairs in all training documents, of which there are `classes` squared at most, whatever the corpus. To score, products of
-whole matrices give the normalised log probabilities of every class after every class. A word within a shared class has its smoothed share of the class's count.
+data are the counts of all pairs in all training documents. The number of classes grows with the root of the number of different words, and so do the contexts; the number of shards grows
+with that of different pairs, of which each shard draws about as many in a round as it has. To score, products of whole matrices give each context's normaliser, and those of a slice's contexts
+and classes the log probabilities of its tokens. A word within a shared class has its smoothed share of the class's count.
 
 Words are told apart by fingerprints. Counts of the `head` most frequent ones go to every task; the others' are joined, one row for each document and word.
 """
@@ -13,26 +14,32 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertally.llm.langid import remainder
-from ledgertally.llm.tables import slices, stored
+from ledgertally.llm.tables import passing, slices, stored
 from ledgertally.llm.words import words
 
 _SUFFIXES = 255
+#: Contexts whose normalisers are worked out together, and tokens that are scored together.
+_BLOCK = 512
+_TOKENS = 1 << 15
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """`classes`: of tokens, with 255 shared ones and the end among them. `head`: words whose counts are broadcast, 16 bytes each.
-    `noise`: words drawn for each pair; `batch`: pairs of one gradient; `steps`: gradients of each shard in a round."""
+    """`classes`: of tokens, with 255 shared ones and the end among them, at least; `per_root`: classes for each unit of the root of the number of different words. `head`: words
+    whose counts are broadcast, 16 bytes each. `noise`: words drawn for each pair; `batch`: pairs of one gradient; `steps`: gradients of each shard in a round. `shards`: at least; a shard
+    has no more than about `batch` times `steps` different pairs."""
 
     classes: int = 2048
+    per_root: float = 4.0
     head: int = 1 << 17
     places: int = 48
     noise: int = 12
@@ -124,6 +131,12 @@ class Model:
         most = scores.max(axis=1, keepdims=True)
         return scores - most - np.log(np.exp(scores - most).sum(axis=1, keepdims=True))
 
+    def normalisers(self, a: int, b: int) -> np.ndarray:
+        """The logarithms that the scores after the contexts from a to b are lowered by."""
+        scores = self.context[a:b] @ self.turn @ self.output.T + self.bias
+        most = scores.max(axis=1)
+        return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, **{k: v.astype(np.float32) for k, v in vars(self).items()})
@@ -188,45 +201,79 @@ def contrasted(model: Model, before: np.ndarray, after: np.ndarray, n: np.ndarra
 
 
 def _learned(shared, unigram: np.ndarray, sizes: Sizes, turn: int):
+    """The rows of a shard's model: of its own contexts, and of what all shards share, with the weight of its pairs."""
+
     def learn(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("before", "ascending"), ("after", "ascending")])
         before, after, n = (shard.column(c).to_numpy() for c in ("before", "after", "n"))
         number = int(before[0]) % sizes.shards
         found = contrasted(Model.from_bytes(shared.value), before, after, n, unigram, sizes, 1000 * turn + number)
-        return pa.table({"shard": pa.array([number]), "n": pa.array([float(n.sum())]), "model": pa.array([found.to_bytes()], pa.binary())})
+        contexts = np.arange(number, len(found.context), sizes.shards)
+        parts = [("context", contexts, found.context[contexts]), ("turn", np.arange(len(found.turn)), found.turn), ("output", np.arange(len(found.output)), np.c_[found.output, found.bias])]
+        columns = [
+            pa.array([name for name, rows, _ in parts for _ in rows]),
+            pa.array(np.concatenate([rows for _, rows, _ in parts]), pa.int32()),
+            pa.array(np.full(sum(len(rows) for _, rows, _ in parts), float(n.sum()))),
+            pa.array([v for _, _, values in parts for v in values.astype(np.float64)], pa.list_(pa.float64())),
+        ]
+        return pa.table(columns, ["part", "row", "n", "places"])
 
     return learn
 
 
+def _averaged(model: Model, parts: DataFrame, total: float, sizes: Sizes) -> Model:
+    """The model with rows replaced by the shards' means, weighted by their pairs. Sums are of decimals, so that the order of shards doesn't matter."""
+    weight = F.col("n") / F.lit(total)
+    sums = [F.sum((F.get("places", F.lit(k)) * weight).cast("decimal(38,18)")).cast("double").alias(f"p{k}") for k in range(sizes.places + 1)]
+    mean = parts.groupBy("part", "row").agg(F.sum(weight.cast("decimal(38,18)")).cast("double").alias("weight"), *sums).toArrow()
+    now = Model(*(v.copy() for v in vars(model).values()))
+    names, rows, weights = mean.column("part").to_numpy(zero_copy_only=False), mean.column("row").to_numpy(), mean.column("weight").to_numpy()
+    values = np.stack([pc.fill_null(mean.column(f"p{k}"), 0).to_numpy() for k in range(sizes.places + 1)], axis=1) / weights[:, None]
+    for name in ("context", "turn", "output"):
+        at = names == name
+        getattr(now, name)[rows[at]] = values[at, : sizes.places]
+    now.bias[rows[names == "output"]] = values[names == "output", sizes.places]
+    return now
+
+
 def trained(pairs: DataFrame, unigram: np.ndarray, sizes: Sizes) -> Model:
-    """From counts of pairs (before, after, n): rounds of training on every shard, each from the mean of the last round's models."""
+    """From counts of pairs (before, after, n): rounds of training on every shard, each from the mean of the last round's models. To the driver come the rows of one model."""
     model = fresh(unigram, sizes)
+    different, total = pairs.agg(F.count("*"), F.sum("n")).first()
+    if not different:
+        return model
+    sizes = replace(sizes, shards=max(sizes.shards, -(-different // (sizes.batch * sizes.steps))))
     cells = pairs.withColumn("shard", F.col("before") % sizes.shards)
     for turn in range(sizes.rounds):
         shared = pairs.sparkSession.sparkContext.broadcast(model.to_bytes())
-
-        done = cells.groupBy("shard").applyInArrow(_learned(shared, unigram, sizes, turn), "shard bigint, n double, model binary").collect()
-        if not done:
-            break
-        done = sorted(done, key=lambda row: row.shard)
-        models, weight = [Model.from_bytes(row.model) for row in done], np.array([row.n for row in done])
-        mean = {k: np.average([getattr(m, k) for m in models], axis=0, weights=weight).astype(np.float32) for k in vars(model)}
-        for row, own in zip(done, models, strict=True):  # a context belongs to one shard
-            mean["context"][row.shard :: sizes.shards] = own.context[row.shard :: sizes.shards]
-        model = Model(**mean)
+        with passing():
+            parts = cells.groupBy("shard").applyInArrow(_learned(shared, unigram, sizes, turn), "part string, row int, n double, places array<double>")
+            model = _averaged(model, stored(parts, "parts"), float(total), sizes)
         shared.unpersist()
     return model
 
 
+def _normalisers(spark: SparkSession, shared, contexts: int) -> np.ndarray:
+    """Of all contexts, worked out by blocks of them."""
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.from_bytes(shared.value)
+        for batch in batches:
+            for block in batch.column("id").to_numpy():
+                found = model.normalisers(int(block) * _BLOCK, min(contexts, (int(block) + 1) * _BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([int(block)]), pa.array([found.astype(np.float64)], pa.list_(pa.float64()))], ["block", "values"])
+
+    count = -(-contexts // _BLOCK)
+    found = spark.range(0, count, 1, count).mapInArrow(blocks, "block bigint, values array<double>").collect()
+    return np.concatenate([row["values"] for row in sorted(found, key=lambda row: row.block)])
+
+
 def _pairs(head_of, sizes: Sizes):
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((sizes.classes + 1) * sizes.classes, np.int64)
         for batch in slices(batches):
             found = tokens(batch.column("text"), head_of.value, sizes)
             codes, n = np.unique(found.before * sizes.classes + found.classes, return_counts=True)
-            counts[codes] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at // sizes.classes), pa.array(at % sizes.classes), pa.array(counts[at])], ["before", "after", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes // sizes.classes), pa.array(codes % sizes.classes), pa.array(n)], ["before", "after", "n"])
 
     return pairs
 
@@ -238,15 +285,25 @@ def _summed(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(text, values, texts) if len(text) else np.zeros(texts)
 
 
+def _log10_of(model: Model, turned: np.ndarray, normalisers: np.ndarray, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of classes after the classes before."""
+    out = np.empty(len(before))
+    for a in range(0, len(before), _TOKENS):
+        c, w = before[a : a + _TOKENS], classes[a : a + _TOKENS]
+        out[a : a + _TOKENS] = np.einsum("ij,ij->i", turned[c], model.output[w]) + model.bias[w] - normalisers[c]
+    return out / np.log(10)
+
+
 def _scored(shared, sizes: Sizes):
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, data, share = shared.value
-        log_p = (Model.from_bytes(data).log_probabilities() / np.log(10)).astype(np.float32)
+        head, data, normalisers, share = shared.value
+        model = Model.from_bytes(data)
+        turned = model.context @ model.turn
         part, row = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             texts = batch.num_rows
             found = tokens(batch.column("text"), head, sizes)
-            score = _summed(log_p[found.before, found.classes], found.text, texts)
+            score = _summed(_log10_of(model, turned, normalisers, found.before, found.classes), found.text, texts)
             spread = found.own < 0  # words of a shared class: their share of it
             score -= _summed(share[found.shared[spread]], found.word_text[spread], texts)
             known = found.counts >= 0
@@ -286,6 +343,7 @@ def score(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     counts = stored(counts, "counts")
     shares = counts.groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
     total, kinds = int(shares.n.sum()) + ends, int(shares.kinds.sum()) + (ends > 0)
+    sizes = replace(sizes, classes=max(sizes.classes, int(sizes.per_root * kinds**0.5)))
 
     # The head: down to the lowest level of counts, in eighths of a doubling, that fits; its own classes are its first words.
     level = F.floor(F.log2("n") * 8)
@@ -315,7 +373,8 @@ def score(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     pairs = training.select("text").mapInArrow(_pairs(head_of, sizes), "before bigint, after bigint, n bigint").groupBy("before", "after").agg(F.sum("n").alias("n"))
     model = trained(stored(pairs, "pairs"), unigram, sizes)
 
-    shared = spark.sparkContext.broadcast((head, model.to_bytes(), share))
+    normalisers = _normalisers(spark, spark.sparkContext.broadcast(model.to_bytes()), len(model.context))
+    shared = spark.sparkContext.broadcast((head, model.to_bytes(), normalisers, share))
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = read.mapInArrow(_scored(shared, sizes), f"doc_id {kind}, uid bigint, n_tokens bigint, in_head bigint, base double, own double, rest array<bigint>, times array<int>")
     rows = stored(rows, "scored")
