@@ -26,8 +26,6 @@ from ledgertally.llm.tables import slices
 
 _START = -1
 _NONE = -2
-#: Pre-tokens that a worker keeps, of about 900 bytes each; a stage of the pipeline shares its executor with the workers of others.
-REMEMBERED = 150_000
 
 
 class Automaton:
@@ -82,12 +80,12 @@ class Automaton:
             found = self.arcs[key] = self._open(state, token, 1 << 60)
         return found
 
-    def encode(self, word: str) -> list[int]:
-        """Token ids of a word in byte letters: at each place the one token that ends there on a path from the start.
+    def encode(self, word: str, suffix: str) -> list[int]:
+        """Token ids of a word in byte letters, whose last token has the suffix: at each place the one token that ends there on a path from the start.
 
         Tokens are read off the letter table from each place that a path reaches, the first places first; a place that a longer token has reached is not reached again.
         """
-        size, arcs, table = len(word), self.arcs, self.letters
+        size, arcs, table, last = len(word), self.arcs, self.letters, 2 if suffix else 1
         states = [_START] + [_NONE] * size  # the state after so many letters
         froms = [0] * (size + 1)
         for begin in range(size):
@@ -99,7 +97,7 @@ class Automaton:
                 node = node[0].get(word[end - 1])
                 if node is None:
                     break
-                token = node[2] if end == size else node[1]
+                token = node[last if end == size else 1]
                 if token is not None and states[end] == _NONE:
                     found = not begin or arcs.get(high | token)
                     if found is None:
@@ -128,7 +126,7 @@ def _letter_table(token_of: dict[str, int], suffix: str) -> tuple:
 
     for name, token in token_of.items():
         if not suffix:
-            node_of(name)[1:] = [token, token]
+            node_of(name)[1] = token
         elif name.endswith(suffix):
             node_of(name[: -len(suffix)])[2] = token
         else:
@@ -149,7 +147,7 @@ class Coder:
         if isinstance(piece, int):
             ids = [piece]
         else:
-            ids = self.automaton.encode("".join([self.letters[b] for b in piece.encode()]))
+            ids = self.automaton.encode("".join([self.letters[b] for b in piece.encode()]), self.file.suffix)
         found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
         self.known[piece] = found
         return found
@@ -160,9 +158,9 @@ class Coder:
         return " ".join([names[i] for i in ids])
 
     def encode(self, text: str) -> tuple[str, str, int]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > pretokens.REMEMBERED // 2:  # 900 bytes each, and other stages share the executor
             self.known.clear()
-        if len(self.automaton.arcs) > 6 * REMEMBERED:
+        if len(self.automaton.arcs) > 3 * pretokens.REMEMBERED:
             self.automaton.arcs.clear()
         known, path = self.known, self.path
         found = [known.get(piece) or path(piece) for piece in self.file.pieces(text)]
