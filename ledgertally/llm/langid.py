@@ -183,9 +183,10 @@ def train(documents: DataFrame, fit: Fit = Fit()) -> Model | None:
     idf = np.where(frequencies > 0, np.log((1 + n) / (1 + frequencies)) + 0.1, 0)
     languages = sorted(counts)
     share = fit.sample / len(languages)
-    rates = documents.sparkSession.createDataFrame([(name, min(1.0, share / counts[name])) for name in languages], "lang string, rate double")  # a row for each learned value
+    # A row for each learned value, which Fit.languages bounds.
+    rates = documents.sparkSession.createDataFrame([(name, min(1.0, share / counts[name])) for name in languages], "lang string, rate double")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(rates, "lang").filter(draw < F.col("rate")).select("doc_id", "text", "lang")
+    sample = rows.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("doc_id", "text", "lang")
     sample = stored(sample, "sample").repartition(1).sortWithinPartitions(F.xxhash64("text", "doc_id"), "doc_id")
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
