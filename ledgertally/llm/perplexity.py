@@ -85,8 +85,8 @@ class Grams:
 
 
 def _distinct(values: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted values below `kinds` that occur, how often, and where among them each value is."""
-    if kinds > _DENSE:
+    """Sorted values below `kinds` that occur, how often, and where among them each value is. A table addressed directly grows with the values, not with `kinds`."""
+    if kinds > min(_DENSE, 2 * len(values) + 4096):
         at, which, n = np.unique(values, return_inverse=True, return_counts=True)
         return at, n, which
     counts = np.bincount(values, minlength=1)

@@ -189,3 +189,20 @@ def test_thresholds_are_in_order_and_odds_sum_to_one():
     odds = model.odds(np.linspace(-9, 9, 50))
     assert np.allclose(odds.sum(axis=1), 1) and (np.diff(odds @ np.arange(4)) > 0).all()
     assert (model.odds(np.add.reduceat(model.weights[at], begins[:-1])).argmax(axis=1) == grade).mean() > 0.95
+
+
+def test_trigram_tables_grow_with_the_slice_not_with_its_symbols():
+    import tracemalloc
+
+    values = np.array([5, (1 << 24) - 1, 5, 7], np.int64)
+    tracemalloc.start()
+    try:
+        at, n, which = perplexity._distinct(values, 1 << 24)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 1 << 20
+    assert at.tolist() == [5, 7, (1 << 24) - 1] and n.tolist() == [2, 1, 1] and which.tolist() == [0, 2, 0, 1]
+    text = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300)) * 2
+    found = perplexity.trigrams(pa.array([text, "ab ab", None]), pa.array(["zh", None, "zh"]))
+    assert found.n.sum() == len(found.which) and found.begins[-1] == len(found.which)
