@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -46,8 +48,21 @@ def stored(frame: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def released() -> None:
+    """Gives the memory that this process freed back to the system: Arrow's pool and the C heap keep it otherwise, and a Python worker that
+    Spark reuses would carry the largest slice of every task it ran into the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+if _libc is not None and not hasattr(_libc, "malloc_trim"):
+    _libc = None
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in the same order, in slices of about `limit` bytes of one column."""
+    """The rows of the batches in the same order, in slices of about `limit` bytes of one column. When they are all taken, freed memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,3 +74,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = row, 0
             held += int(size)
         yield batch.slice(start)
+    released()

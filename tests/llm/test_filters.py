@@ -206,3 +206,17 @@ def test_trigram_tables_grow_with_the_slice_not_with_its_symbols():
     text = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300)) * 2
     found = perplexity.trigrams(pa.array([text, "ab ab", None]), pa.array(["zh", None, "zh"]))
     assert found.n.sum() == len(found.which) and found.begins[-1] == len(found.which)
+
+
+def test_a_task_gives_back_the_memory_it_freed(monkeypatch):
+    from ledgertally.llm import tables
+
+    calls = []
+    monkeypatch.setattr(tables, "released", lambda: calls.append(len(calls)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 300, None, "b" * 300, "c"])], ["text"])
+    out = tables.slices([batch, batch], limit=400)
+    taken = [next(out), next(out), next(out)]
+    assert not calls  # not while slices are still being taken
+    taken += list(out)
+    assert [s.num_rows for s in taken] == [2, 2, 2, 2] and calls == [0]
+    tables.released()  # the real one runs where the C library has no malloc_trim too
